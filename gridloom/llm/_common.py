@@ -100,22 +100,33 @@ def lookup(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "left
     return left.join(right, [*on, salt], how).drop(salt)
 
 
-def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, per_task: int = 20_000) -> DataFrame:
+def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, plan: DataFrame | None = None, per_task: int = 20_000) -> DataFrame:
     """Add the rank from 0 of each row within its group, in an order fixed by a hash of ``order``.
 
-    A group may hold a third of all rows. Groups are cut into sub-groups of about ``per_task``
-    rows by that hash; ranks are counted inside the sub-groups and shifted by the sizes of the
-    sub-groups before. df must be materialized, since it is read three times.
+    plan: rows with each key once, whose other columns are added too. A group may hold a third of
+    all rows, so groups are cut by that hash into sub-groups of about ``per_task`` rows; ranks are
+    counted inside the sub-groups and shifted by the sizes of the sub-groups before. The keys must
+    not be null. df and plan must be materialized, since they are read again.
     """
+    keys = list(keys)
     h, sub, n, parts, base = (fresh(df, x) for x in ("hash", "sub", "n", "parts", "base"))
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(n))
-    sizes = materialize(sizes.select(*keys, F.ceil(F.col(n) / per_task).cast("int").alias(parts)).where(F.col(parts) > 1), "sizes")
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(n)).where(F.col(n) > per_task)
+    hot = materialize(sizes.select(*keys, F.ceil(F.col(n) / per_task).cast("int").alias(parts)), "hot")
     hashed = df.withColumn(h, F.xxhash64(*order))
-    cut = lookup(hashed, sizes, keys, spread=F.col(h)).withColumn(sub, F.when(F.col(parts).isNull(), 0).otherwise(F.pmod(F.col(h), F.col(parts))).cast("int"))
+    few = hot.limit(BROADCAST_ROWS + 1).count()
+    side = F.broadcast(hot) if few <= BROADCAST_ROWS else hot
+    if few:
+        cut = hashed.join(side, keys, "left").withColumn(sub, F.when(F.col(parts).isNull(), 0).otherwise(F.pmod(F.col(h), F.col(parts))).cast("int")).drop(parts)
+    else:
+        cut = hashed.withColumn(sub, F.lit(0))
     before = Window.partitionBy(*keys).orderBy(sub).rowsBetween(Window.unboundedPreceding, -1)
-    bases = cut.where(F.col(parts).isNotNull()).groupBy(*keys, sub).agg(F.count(F.lit(1)).alias(n)).select(*keys, sub, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(base))
-    bases = materialize(bases, "bases")
+    counted = cut.join(F.broadcast(hot) if few <= BROADCAST_ROWS else hot, keys, "left_semi").groupBy(*keys, sub).agg(F.count(F.lit(1)).alias(n))
+    bases = counted.select(*keys, sub, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(base))
+    if plan is None:
+        plan = hot.select(*keys)
+    info = plan.join(side, keys, "left").withColumn(sub, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(parts), F.lit(1)) - 1))).drop(parts)
+    info = materialize(info.join(bases, [*keys, sub], "left"), "ranks")
     inner = Window.partitionBy(*keys, sub).orderBy(h, *order)
     ranked = cut.withColumn(name, F.row_number().over(inner).cast("long") - 1)
-    out = lookup(ranked, bases, [*keys, sub], spread=F.col(h))
-    return out.withColumn(name, F.col(name) + F.coalesce(F.col(base), F.lit(0))).drop(h, sub, parts, base)
+    out = ranked.join(info, [*keys, sub], "left")
+    return out.withColumn(name, F.col(name) + F.coalesce(F.col(base), F.lit(0))).drop(h, sub, base)

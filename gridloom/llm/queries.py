@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import chat, quality, urls
+from . import chat, lines, mixing, packing, quality, urls
 
 QUERIES = {
     "op1_compression_bands": quality.op1_compression_bands,
+    "op2_site_line_dedup": lines.op2_site_line_dedup,
+    "op3_entropy_mix": mixing.op3_entropy_mix,
     "op4_association_urls": urls.op4_association_urls,
+    "op6_histogram_best_fit": packing.op6_histogram_best_fit,
     "op9_relational_chat": chat.op9_relational_chat,
 }
 
-SQL = {"op9_relational_chat": chat.OP9_SQL}
+SQL = {"op2_site_line_dedup": lines.OP2_SQL, "op9_relational_chat": chat.OP9_SQL}
