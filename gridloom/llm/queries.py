@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, lines, mixing, packing, quality, urls
+from . import chat, lines, mixing, neighbours, packing, quality, urls
 
 QUERIES = {
     "op1_compression_bands": quality.op1_compression_bands,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_entropy_mix": mixing.op3_entropy_mix,
     "op4_association_urls": urls.op4_association_urls,
     "op6_histogram_best_fit": packing.op6_histogram_best_fit,
+    "op8_hilbert_neighbours": neighbours.op8_hilbert_neighbours,
     "op9_relational_chat": chat.op9_relational_chat,
 }
 
