@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, lines, mixing, neighbours, packing, quality, urls
+from . import chat, lines, mixing, neighbours, ngram_join, packing, quality, urls
 
 QUERIES = {
     "op1_compression_bands": quality.op1_compression_bands,
     "op2_site_line_dedup": lines.op2_site_line_dedup,
     "op3_entropy_mix": mixing.op3_entropy_mix,
     "op4_association_urls": urls.op4_association_urls,
+    "op5_multi_order_jaccard": ngram_join.op5_multi_order_jaccard,
     "op6_histogram_best_fit": packing.op6_histogram_best_fit,
     "op8_hilbert_neighbours": neighbours.op8_hilbert_neighbours,
     "op9_relational_chat": chat.op9_relational_chat,
