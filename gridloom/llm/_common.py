@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Small sides are broadcast only up to this many rows; larger ones are joined by shuffling.
 BROADCAST_ROWS = 100_000
@@ -72,7 +73,7 @@ def add_from_column(df: DataFrame, source: str, fields: Sequence[T.StructField],
     kept = [c for c in df.columns if c.lower() not in low]
     frame = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{source}`").alias(hidden))
     schema = T.StructType([frame.schema[c] for c in kept] + list(fields))
-    kinds = {f.name: pa.int64() if f.dataType == T.LongType() else pa.float64() if f.dataType == T.DoubleType() else pa.bool_() if f.dataType == T.BooleanType() else None for f in fields}
+    kinds = {f.name: to_arrow_type(f.dataType) for f in fields}
 
     def run(batches: Iterable[pa.RecordBatch]):
         fn = make()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, lines, mixing, neighbours, ngram_join, packing, quality, urls
+from . import chat, lines, mixing, neighbours, ngram_join, packing, quality, toxicity, urls
 
 QUERIES = {
     "op1_compression_bands": quality.op1_compression_bands,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_histogram_best_fit": packing.op6_histogram_best_fit,
     "op8_hilbert_neighbours": neighbours.op8_hilbert_neighbours,
     "op9_relational_chat": chat.op9_relational_chat,
+    "op10_nearest_examples": toxicity.op10_nearest_examples,
 }
 
 SQL = {"op2_site_line_dedup": lines.OP2_SQL, "op9_relational_chat": chat.OP9_SQL}
