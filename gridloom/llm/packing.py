@@ -43,7 +43,7 @@ class WordIds(dict):
     generations bound the memory.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 500_000):
         super().__init__()
         self.tokenizer, self.most, self.old = Tokenizer.from_file(path), most, {}
         with open(path, encoding="utf-8") as f:
@@ -61,8 +61,16 @@ class WordIds(dict):
     def __missing__(self, word: bytes) -> bytes:
         ids = self.old.get(word)
         if ids is None:
-            text = word.decode("utf-8")
-            got = self.latin(text) if len(word) < 64 and text.isprintable() and "<|" not in text and max(text) < "Ā" else self.tokenizer.encode(text, add_special_tokens=False).ids
+            if word.isalpha() and len(word) < 64:
+                got = self.merge(word.lower())
+            elif word[:-1].isalpha() and word[-1] in b".,;:!?" and len(word) < 64:
+                got = [*self.merge(word[:-1].lower()), self.final[word[-1]]]
+            else:
+                text = word.decode("utf-8")
+                if len(word) < 64 and text.isprintable() and "<|" not in text and max(text) < "Ā":
+                    got = [i for part in self.cut.findall(text.lower()) for i in self.merge(part.encode())]
+                else:
+                    got = self.tokenizer.encode(text, add_special_tokens=False).ids
             ids = struct.pack(f"<{len(got)}I", *got)
         if len(self) >= self.most:
             self.old = dict(self)
@@ -70,24 +78,21 @@ class WordIds(dict):
         self[word] = ids
         return ids
 
-    def latin(self, text: str) -> list[int]:
-        out: list[int] = []
+    def merge(self, raw: bytes) -> list[int]:
+        """Ids of one piece of a word: the pair of lowest rank is merged, the first of equals, while there is one."""
         rank, merged, none = self.ranks.get, self.merged, len(self.merged)
-        for part in self.cut.findall(text.lower()):
-            raw = part.encode()
-            ids = [self.inner[b] for b in raw]
-            ids[-1] = self.final[raw[-1]]
-            near = [rank(a << 20 | b, none) for a, b in zip(ids, ids[1:], strict=False)]
-            while near and (best := min(near)) < none:
-                i = near.index(best)
-                ids[i] = merged[best]
-                del ids[i + 1], near[i]
-                if i < len(near):
-                    near[i] = rank(ids[i] << 20 | ids[i + 1], none)
-                if i:
-                    near[i - 1] = rank(ids[i - 1] << 20 | ids[i], none)
-            out += ids
-        return out
+        ids = [*map(self.inner.__getitem__, raw)]
+        ids[-1] = self.final[raw[-1]]
+        near = [rank(a << 20 | b, none) for a, b in zip(ids, ids[1:], strict=False)]
+        while near and (best := min(near)) < none:
+            i = near.index(best)
+            ids[i] = merged[best]
+            del ids[i + 1], near[i]
+            if i < len(near):
+                near[i] = rank(ids[i] << 20 | ids[i + 1], none)
+            if i:
+                near[i - 1] = rank(ids[i - 1] << 20 | ids[i], none)
+        return ids
 
 
 @cache
