@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, lines, mixing, neighbours, ngram_join, packing, quality, toxicity, urls
+from . import chat, lines, mixing, neighbours, ngram_join, packing, pii, quality, toxicity, urls
 
 QUERIES = {
     "op1_compression_bands": quality.op1_compression_bands,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_association_urls": urls.op4_association_urls,
     "op5_multi_order_jaccard": ngram_join.op5_multi_order_jaccard,
     "op6_histogram_best_fit": packing.op6_histogram_best_fit,
+    "op7_bootstrapped_pii": pii.op7_bootstrapped_pii,
     "op8_hilbert_neighbours": neighbours.op8_hilbert_neighbours,
     "op9_relational_chat": chat.op9_relational_chat,
     "op10_nearest_examples": toxicity.op10_nearest_examples,
