@@ -41,13 +41,26 @@ class Bootstrap:
     longest: int = 100
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed once: a plain column in a lambda would be computed for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _starts(pieces: Column, found: Column, step: int = 512) -> Column:
-    """Start of each match in code points, from the pieces between the matches; sums go by blocks of step."""
-    lens = F.zip_with(F.slice(pieces, F.lit(1), F.size(found)), found, lambda p, m: F.length(p) + F.length(m))
+    """Start of each match in code points, from the pieces between the matches; sums go by blocks of step.
+
+    Both arrays must be lambda variables or columns.
+    """
     total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
-    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(found) / step).cast("int")), lambda b: total(F.slice(lens, b * step + 1, F.lit(step))))
-    before = F.transform(blocks, lambda _, i: total(F.slice(blocks, F.lit(1), i)))
-    return F.transform(found, lambda m, i: F.get(before, F.floor(i / step).cast("int")) + total(F.slice(lens, (F.floor(i / step) * step + 1).cast("int"), i % step)) + F.length(F.get(pieces, i)))
+    lens = F.zip_with(F.slice(pieces, F.lit(1), F.size(found)), found, lambda p, m: F.length(p) + F.length(m))
+    block = lambda i: F.floor(i / step).cast("int")
+
+    def by_blocks(lens: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), block(F.size(found))), lambda b: total(F.slice(lens, b * step + 1, F.lit(step))))
+        before = let(blocks, lambda sums: F.transform(sums, lambda _, i: total(F.slice(sums, F.lit(1), i))))
+        return let(before, lambda t: F.transform(found, lambda m, i: F.get(t, block(i)) + total(F.slice(lens, block(i) * step + 1, i % step)) + F.length(F.get(pieces, i))))
+
+    return let(lens, by_blocks)
 
 
 def _luhn(digits: Column) -> Column:
@@ -72,11 +85,14 @@ def _spans(text: Column, kind: str) -> Column:
     """Spans of one kind: array of (start, kind, end); the texts that can't have any skip the search."""
     pattern = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}[kind]
     may = {"email": F.contains(text, F.lit("@")), "ip": text.rlike(r"[0-9]\.[0-9]+\.[0-9]"), "card": text.rlike(r"[0-9](?:[ -]?[0-9]){13}"), "phone": F.contains(text, F.lit("+"))}[kind]
-    found, pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    both = F.arrays_zip(_starts(pieces, found).alias("start"), found.alias("m"))
-    good = F.filter(both, lambda x: _passes(kind, x.m))
-    spans = F.transform(good, lambda x: F.struct(x.start.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), (x.start + F.length(x.m)).alias("end")))
-    return F.when(may & (F.size(found) > 0), spans).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int>>"))
+    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("pieces"))
+
+    def spans(z: Column) -> Column:
+        starts = F.zip_with(_starts(z.pieces, z.found), z.found, lambda a, m: F.struct(a.alias("start"), m.alias("m")))
+        good = F.filter(starts, lambda x: _passes(kind, x.m))
+        return F.transform(good, lambda x: F.struct(x.start.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), (x.start + F.length(x.m)).alias("end")))
+
+    return F.when(may, let(both, spans)).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int>>"))
 
 
 def base_spans(text: Column) -> Column:
@@ -86,11 +102,12 @@ def base_spans(text: Column) -> Column:
 
 def _instances(text: Column, how: Bootstrap) -> Column:
     """Tokens with a digit or @: array of (start, end, token, left, right), left two words and right one, digits as 0."""
-    found, pieces = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), F.split(text, TOKEN, -1)
-    raw = F.transform(
-        F.arrays_zip(_starts(pieces, found).alias("start"), found.alias("m")),
-        lambda x, i: F.struct(x.start.alias("start"), x.m.alias("m"), F.get(pieces, i).alias("before"), F.get(pieces, i + 1).alias("after")),
-    )
+    both = F.struct(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)).alias("found"), F.split(text, TOKEN, -1).alias("pieces"))
+
+    def around(z: Column) -> Column:
+        return let(_starts(z.pieces, z.found), lambda t: F.transform(z.found, lambda m, i: F.struct(F.get(t, i).alias("start"), m.alias("m"), F.get(z.pieces, i).alias("before"), F.get(z.pieces, i + 1).alias("after"))))
+
+    raw = let(both, around)
     short = F.filter(raw, lambda x: F.length(x.m) <= how.longest)
 
     def cut(x: Column) -> Column:
@@ -103,7 +120,7 @@ def _instances(text: Column, how: Bootstrap) -> Column:
 
     out = F.filter(F.transform(short, cut), lambda x: F.length(x.token) >= how.shortest)
     kind = "array<struct<start:int,end:int,token:string,left:string,right:string>>"
-    return F.when(text.rlike("[0-9@]") & (F.size(found) > 0), out).otherwise(F.array().cast(kind)).cast(kind)
+    return F.when(text.rlike("[0-9@]"), out).otherwise(F.array().cast(kind)).cast(kind)
 
 
 def discover(scanned: DataFrame, how: Bootstrap = Bootstrap()) -> DataFrame:
