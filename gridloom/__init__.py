@@ -1 +1,51 @@
 """Labelled N-dimensional arrays on Spark DataFrames."""
+
+from .array import LabelArray
+from .axis import Axis
+from .dataset import Dataset, concatenate_ds, stack_ds
+from .functions import percentile, quantile
+from .operators.align import align, align_dims, array, broadcast_arrays, concatenate, stack
+from .options import get_option, print_options, reset_options, set_option
+from .sources.store import open_store, read
+
+
+def full(spark, value, axes=None, dims=None, shape=None, **attrs) -> LabelArray:
+    return LabelArray.constant(spark, value, axes, dims, shape, attrs)
+
+
+def zeros(spark, axes=None, dims=None, shape=None, **attrs) -> LabelArray:
+    return full(spark, 0.0, axes, dims, shape, **attrs)
+
+
+def ones(spark, axes=None, dims=None, shape=None, **attrs) -> LabelArray:
+    return full(spark, 1.0, axes, dims, shape, **attrs)
+
+
+def nans(spark, axes=None, dims=None, shape=None, **attrs) -> LabelArray:
+    from pyspark.sql import functions as F
+
+    out = full(spark, 0.0, axes, dims, shape, **attrs)
+    return out.make(out.cells.withColumn("value", F.lit(None).cast("double")), out.axes)
+
+
+empty = nans
+
+
+def zeros_like(a: LabelArray) -> LabelArray:
+    return zeros(a.spark, list(a.axes))
+
+
+def ones_like(a: LabelArray) -> LabelArray:
+    return ones(a.spark, list(a.axes))
+
+
+def nans_like(a: LabelArray) -> LabelArray:
+    return nans(a.spark, list(a.axes))
+
+
+empty_like = nans_like
+
+__all__ = [
+    "Axis", "Dataset", "LabelArray", "align", "align_dims", "array", "broadcast_arrays", "concatenate", "concatenate_ds", "empty", "empty_like", "full", "get_option", "nans", "nans_like",
+    "ones", "ones_like", "open_store", "percentile", "print_options", "quantile", "read", "reset_options", "set_option", "stack", "stack_ds", "zeros", "zeros_like",
+]
