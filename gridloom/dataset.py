@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from copy import deepcopy
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from .array import LabelArray
@@ -92,8 +93,10 @@ class Dataset:
         return out
 
     def _with(self, arrays: dict[str, LabelArray]) -> Dataset:
+        """A variable reduced to a number stays an array, without dimensions."""
         out = Dataset(attrs=self.attrs)
-        out.variables = arrays
+        spark = next((v.spark for v in self.values()), None)
+        out.variables = {k: v if isinstance(v, LabelArray) else LabelArray.from_values(spark, np.array(np.nan if v is None else v)) for k, v in arrays.items()}
         return out
 
     def equals(self, other) -> bool:
