@@ -51,7 +51,7 @@ class Join:
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
@@ -103,8 +103,9 @@ def _first_pass(docs: DataFrame, id_col: str, text: str, how: Join) -> DataFrame
 
 def _prefixes(nodes: DataFrame, how: Join) -> DataFrame:
     """token, node of the prefixes by the first order, without tokens of one document."""
-    rows = nodes.select("node", F.explode("slice").alias("token"))
-    counts = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    # dealt by token once: counting and joining both read this exchange (counting node keeps its column in it)
+    rows = nodes.select("node", F.explode("slice").alias("token")).where("node is not null and token is not null").repartition("token")
+    counts = rows.groupBy("token").agg(F.count("node").alias("df")).where("df > 1")
     shared = rows.join(counts, "token").groupBy("node").agg(F.collect_list(F.struct("df", "token")).alias("shared"))
     need = F.expr(f"n - ({how.percent} * n + 99) div 100 + 1") - (F.size("slice") - F.size("shared"))
     picked = F.transform(F.slice(F.array_sort("shared"), F.lit(1), F.greatest(need, F.lit(0)).cast("int")), lambda x: x.token)
@@ -229,7 +230,7 @@ def _links(docs: DataFrame, id_col: str, text: str, classes: DataFrame, how: Joi
     sets = some.select("node", "component", "text").mapInArrow(whole, "node long, cls long, n long, tokens binary")
     sets = materialize(sets.dropDuplicates(["node"]), "sets")
     sizes = sets.groupBy("cls").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("all"))
-    blocks = F.ceil(F.greatest(F.col("m") / how.block, F.col("all") / (how.block * 1000))).cast("int")
+    blocks = F.ceil(F.greatest(F.col("m") / how.block, F.col("all") / (how.block * 300))).cast("int")
     plain = sizes.select("cls", blocks.alias("blocks"))
     plain = materialize(plain, "classes")
     tagged = sets.join(plain, "cls")
