@@ -81,6 +81,8 @@ def add_from_column(df: DataFrame, source: str, fields: Sequence[T.StructField],
             got = fn(b.column(b.num_columns - 1).to_pylist())
             arrays = [b.column(i) for i in range(b.num_columns - 1)] + [pa.array(got[n], type=kinds[n]) for n in new]
             yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *new])
+            del arrays, got
+        pa.default_memory_pool().release_unused()
 
     return frame.mapInArrow(run, schema)
 

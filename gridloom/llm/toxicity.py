@@ -63,7 +63,7 @@ class _Terms(dict):
     def __missing__(self, word: bytes) -> tuple:
         got = terms_of(word.decode("utf-8", "surrogatepass"), self.how.stems)
         got = tuple(got) if self.vocab is None else tuple(self.vocab[t] for t in got if t in self.vocab)
-        if len(self) > 300_000:
+        if len(self) > (30_000 if self.vocab is None else 100_000):
             self.clear()
         self[word] = got
         return got
@@ -221,7 +221,7 @@ def score_toxicity(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id",
                     w = cos * cos
                     bad = (w * index.toxic[best]).sum()
                     out = (float((bad + how.prior * share) / ((w * (index.toxic + index.clean)[best]).sum() + how.prior)), [{"id": int(i), "cosine": float(x)} for i, x in zip(index.ids[best[:3]], cos[:3], strict=True)])
-                if len(seen) > 50_000:
+                if len(seen) > 10_000:
                     seen.clear()
                 seen[key] = out
             return seen[key]
