@@ -31,12 +31,16 @@ def word_count(text: Column) -> Column:
     return F.when(inner == "", F.lit(0)).otherwise(F.length(inner) - F.length(F.replace(inner, F.lit(" "), F.lit(""))) + 1).cast("long")
 
 
+_own_dir: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from ``spark.checkpoint.dir``; set here only where it is unset."""
+    """The folder that all executors share, from ``spark.checkpoint.dir``; where it is unset, as in tests, one of this process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='gridloom-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not _own_dir:
+            _own_dir.append(f"file://{tempfile.mkdtemp(prefix='gridloom-')}")
+        found = _own_dir[0]
     return found.rstrip("/")
 
 

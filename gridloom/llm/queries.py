@@ -17,4 +17,4 @@ QUERIES = {
     "op10_nearest_examples": toxicity.op10_nearest_examples,
 }
 
-SQL = {"op2_site_line_dedup": lines.OP2_SQL, "op9_relational_chat": chat.OP9_SQL}
+SQL = {"op2_site_line_dedup": lines.OP2_SQL, "op5_multi_order_jaccard": ngram_join.OP5_SQL, "op9_relational_chat": chat.OP9_SQL}

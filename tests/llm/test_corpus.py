@@ -23,6 +23,17 @@ def test_rank_within_hot_groups(spark):
     assert len(got) == 3000 and all(sorted(v) == list(range(len(v))) for v in by.values())
 
 
+def test_without_broadcasts(spark, odd, monkeypatch):
+    want = sorted(map(str, mixing.mix_sources(odd).select("doc_id", "taken").collect()))
+    seqs = packing.pack(odd).agg({"sequence_id": "max"}).first()[0]
+    groups = sorted(map(str, ngram_join.jaccard_components(odd).collect()))
+    for module in (_common, ngram_join):
+        monkeypatch.setattr(module, "BROADCAST_ROWS", 0)
+    assert sorted(map(str, mixing.mix_sources(odd).select("doc_id", "taken").collect())) == want
+    assert packing.pack(odd).agg({"sequence_id": "max"}).first()[0] == seqs
+    assert sorted(map(str, ngram_join.jaccard_components(odd).collect())) == groups
+
+
 def test_targets():
     totals = {"a": 10, "b": 100, "c": 100, "d": 1000, "": 0}
     got = mixing.targets(totals)
