@@ -328,7 +328,16 @@ class LabelArray(IndexOps, AlignOps, ArithOps, ReduceOps, ScanOps, InterpOps, Mi
         return write_array(self, path, mode, name, **how)
 
     def __setattr__(self, name: str, value) -> None:
-        if name in ("axes", "cells", "attrs", "by") or name.startswith("_"):
+        """Unknown names are attributes of the array; dims, labels and the name of a dimension change the axes in place."""
+        if name == "dims":
+            new = self.rename(**dict(zip(self.dims, value, strict=True)))
+            self.cells, self.axes = new.cells, new.axes
+        elif name == "labels" or name in [a.name for a in self.__dict__.get("axes", ())]:
+            new = self
+            for d, labels in zip(self.dims, value, strict=True) if name == "labels" else [(name, value)]:
+                new = new.set_axis(list(labels), axis=d)
+            self.cells, self.axes = new.cells, new.axes
+        elif name in ("axes", "cells", "attrs", "by") or name.startswith("_"):
             object.__setattr__(self, name, value)
         else:
             self.attrs[name] = value

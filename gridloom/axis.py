@@ -120,6 +120,50 @@ class Axis:
             raise ValueError(f"axis {self.name!r} has {self.size} labels, not {len(labels)}")
         return replace(Axis.of(name or self.name, labels, self.tol), attrs=dict(self.attrs))
 
+    def __len__(self) -> int:
+        return self.size
+
+    def __getitem__(self, at):
+        """A label for a position, an axis for a slice or list of positions."""
+        if isinstance(at, slice):
+            return self.take(range(self.size)[at])
+        return self.values[at] if isinstance(at, int) else self.take(list(at))
+
+    def copy(self) -> Axis:
+        return replace(self, attrs=dict(self.attrs))
+
+    def sort(self, key=None) -> Axis:
+        if self.members:
+            raise NotImplementedError("flattened axes have the order of their members")
+        return self.take(self.sorted_by(key))
+
+    def cast(self, kind: str) -> Axis:
+        """Labels as bool, int, float or str."""
+        f = {"bool": bool, "int": int, "float": float, "str": str}[kind]
+        return self.relabel([f(x) for x in self.values])
+
+    def put(self, position: int, label) -> Axis:
+        """With one label replaced; labels of another kind change the kind of all."""
+        labels = list(self.values)
+        labels[position] = plain(label)
+        return self.relabel(labels)
+
+    def to_pandas(self):
+        import pandas as pd
+
+        return pd.MultiIndex.from_tuples(self.values, names=[m.name for m in self.members]) if self.members else pd.Index(self.values, name=self.name)
+
+    @staticmethod
+    def from_pandas(index, name: str | None = None) -> Axis:
+        """A MultiIndex of all combinations becomes a flattened axis."""
+        if index.nlevels == 1:
+            return Axis.of(name or index.name or "x0", list(index))
+        levels = tuple(Axis.of(n or f"x{i}", list(dict.fromkeys(index.get_level_values(i)))) for i, n in enumerate(index.names))
+        out = Axis(",".join(m.name for m in levels), members=levels)
+        if out.values != tuple(index):
+            raise ValueError("the index does not hold all combinations in order")
+        return out
+
     def sorted_by(self, key=None) -> list[int]:
         """Positions in order of the labels, or of a function or mapping of them."""
         f = (lambda x: key[x]) if isinstance(key, dict) else key or (lambda x: x)

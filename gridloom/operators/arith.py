@@ -12,6 +12,13 @@ from .align import align
 
 INF = float("inf")
 
+#: NumPy's names of elementwise functions. Outside of their domain the result is missing.
+UNARY = {
+    "exp": F.exp, "expm1": F.expm1, "sqrt": lambda c: F.sqrt(F.when(c >= 0, c)), "log": lambda c: F.ln(F.when(c > 0, c)), "log10": lambda c: F.log10(F.when(c > 0, c)), "log2": lambda c: F.log2(F.when(c > 0, c)),
+    "log1p": lambda c: F.log1p(F.when(c > -1, c)), "absolute": F.abs, "negative": lambda c: -c, "positive": lambda c: c, "sin": F.sin, "cos": F.cos, "tan": F.tan, "arctan": F.atan, "arcsin": lambda c: F.asin(F.when(F.abs(c) <= 1, c)), "arccos": lambda c: F.acos(F.when(F.abs(c) <= 1, c)),
+    "sinh": F.sinh, "cosh": F.cosh, "tanh": F.tanh, "floor": lambda c: F.floor(c).cast("double"), "ceil": lambda c: F.ceil(c).cast("double"), "rint": lambda c: F.rint(c), "sign": F.signum, "square": lambda c: c * c, "deg2rad": F.radians, "rad2deg": F.degrees, "cbrt": F.cbrt,
+}
+
 
 def _divide(a: Column, b: Column) -> Column:
     """IEEE rules: x/0 is infinite with the sign of x, 0/0 is missing."""
@@ -95,7 +102,19 @@ class ArithOps:
     __rfloordiv__ = lambda self, o: self._binary("floor", o, True)
     __pow__ = lambda self, o: self._binary("pow", o)
     __rpow__ = lambda self, o: self._binary("pow", o, True)
-    __array_ufunc__ = None
+
+    def __array_ufunc__(self, ufunc, method: str, *inputs, **kwargs):
+        """NumPy functions on arrays, as Column expressions."""
+        if method != "__call__" or kwargs:
+            return NotImplemented
+        name = ufunc.__name__
+        if len(inputs) == 1 and name in UNARY:
+            return self.apply(UNARY[name])
+        op = {"add": "add", "subtract": "sub", "multiply": "mul", "divide": "div", "true_divide": "div", "floor_divide": "floor", "power": "pow"}.get(name)
+        if len(inputs) == 2 and op:
+            left, right = inputs
+            return left._binary(op, right) if isinstance(left, ArithOps) else self._binary(op, left, True)
+        return NotImplemented
 
     def __neg__(self):
         return self.make(self.cells.withColumn("value", -F.col("value")), self.axes, keep=False)

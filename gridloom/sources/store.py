@@ -101,6 +101,9 @@ class Store:
     def keys(self) -> list[str]:
         return list(self.meta["variables"])
 
+    def summary(self) -> str:
+        return "\n".join(f"{k}: {tuple(a['name'] for a in v['axes'])} {v['dtype']}" for k, v in self.meta["variables"].items())
+
     def __getitem__(self, name: str) -> LabelArray:
         var = self.meta["variables"][name]
         axes = [axis_from(a) for a in var["axes"]]

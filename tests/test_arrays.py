@@ -200,3 +200,23 @@ def test_udf_and_exports(a, holes):
     same(a.to_masked().sum(), np.nansum(holes))
     same(LabelArray.from_nested(a.spark, {"u": [1, 2], "v": [3, 4]}).values, [[1, 2], [3, 4]])
     assert "10 non-null elements (2 null)" in a.summary()
+
+
+def test_numpy_functions_and_names(spark, a, holes):
+    same(np.exp(a).values, np.exp(holes))
+    same((np.float64(2) * a).values, 2 * holes)
+    same(np.add(a, 1).values, holes + 1)
+    b = a.copy()
+    b.dims = ("year", "lat")
+    b.year = [1, 2, 3, 4]
+    b.note = "renamed"
+    assert b.dims == ("year", "lat") and b.labels[0] == (1, 2, 3, 4) and b.attrs["note"] == "renamed" and "note" not in a.attrs
+    same(b.values, holes)
+
+
+def test_axis_methods():
+    x = Axis.of("d", [3, 1, 2])
+    assert x[0] == 3 and x[1:].values == (1, 2) and x.sort().values == (1, 2, 3) and x.cast("str").values == ("3", "1", "2") and x.put(0, 1.5).values == (1.5, 1.0, 2.0)
+    assert Axis.from_pandas(x.to_pandas()) == x and len(x) == 3 and not x.is_monotonic()
+    two = Axis("a,b", members=(Axis.of("a", [0, 1]), Axis.of("b", ["u", "v"])))
+    assert Axis.from_pandas(two.to_pandas()) == two and two.values[1] == (0, "v")
