@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Sequence
@@ -51,6 +52,17 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def few_rows(batches: Iterable[pa.RecordBatch], most: int = 500) -> Iterable[pa.RecordBatch]:
+    """The batches in slices, so that few texts are Python objects at a time; in the end freed memory goes back to the system."""
+    for b in batches:
+        for i in range(0, b.num_rows, most):
+            yield b.slice(i, most)
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -81,12 +93,10 @@ def add_from_column(df: DataFrame, source: str, fields: Sequence[T.StructField],
 
     def run(batches: Iterable[pa.RecordBatch]):
         fn = make()
-        for b in batches:
+        for b in few_rows(batches):
             got = fn(b.column(b.num_columns - 1).to_pylist())
             arrays = [b.column(i) for i in range(b.num_columns - 1)] + [pa.array(got[n], type=kinds[n]) for n in new]
             yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *new])
-            del arrays, got
-        pa.default_memory_pool().release_unused()
 
     return frame.mapInArrow(run, schema)
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import BROADCAST_ROWS, materialize, table
+from ._common import BROADCAST_ROWS, few_rows, materialize, table
 from .graph import components
 
 
@@ -87,7 +87,7 @@ def _first_pass(docs: DataFrame, id_col: str, text: str, how: Join) -> DataFrame
     def run(batches: Iterable[pa.RecordBatch]):
         known = _Hashes()
         bar = how.bar
-        for b in batches:
+        for b in few_rows(batches):
             rows: list[list] = [[] for _ in range(4)]
             for t in b.column(1).to_pylist():
                 s = shingles(t, how.words, known)
@@ -223,7 +223,7 @@ def _links(docs: DataFrame, id_col: str, text: str, classes: DataFrame, how: Joi
 
     def whole(batches: Iterable[pa.RecordBatch]):
         known = _Hashes()
-        for b in batches:
+        for b in few_rows(batches):
             got = [shingles(t, how.words, known).tobytes() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("node"), b.column("component"), pa.array([len(g) // 8 for g in got], pa.int64()), pa.array(got, pa.binary())], names=["node", "cls", "n", "tokens"])
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ._common import materialize, rank_within, table
+from ._common import few_rows, materialize, rank_within, table
 
 LIMIT = 4096
 END = 1
@@ -43,7 +43,7 @@ class WordIds(dict):
     generations bound the memory.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 250_000):
         super().__init__()
         self.tokenizer, self.most, self.old = Tokenizer.from_file(path), most, {}
         with open(path, encoding="utf-8") as f:
@@ -116,7 +116,7 @@ def cut_pieces(docs: DataFrame, id_col: str = "doc_id", text: str = "text", toke
 
     def run(batches: Iterable[pa.RecordBatch]):
         known = word_ids(path)
-        for b in batches:
+        for b in few_rows(batches):
             rows: list[list] = [[] for _ in names]
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 raw = text_ids(t, known)

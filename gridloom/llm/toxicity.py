@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import add_from_column, fresh, materialize, table
+from ._common import add_from_column, few_rows, fresh, materialize, table
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -82,7 +82,7 @@ def choose_terms(examples: DataFrame, how: Votes = Votes()) -> list[str]:
 
     def run(batches: Iterable[pa.RecordBatch]):
         known, seen = _Terms(how), {}
-        for b in batches:
+        for b in few_rows(batches):
             for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 for x in _count(t, known):
                     c = seen.setdefault(x, [0, 0])
