@@ -39,13 +39,14 @@ class WordIds(dict):
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of its
     words one after the other. Printable Latin words are merged here by the tokenizer's own merge
-    list, which costs far less than a call for each; all others go to the tokenizer. Two
-    generations bound the memory.
+    list, which costs far less than a call for each; all others go to the tokenizer. A word is kept
+    from the second time on, by a bit map of those seen, and two generations bound the memory.
     """
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 350_000):
         super().__init__()
         self.tokenizer, self.most, self.old = Tokenizer.from_file(path), most, {}
+        self.seen, self.marks = bytearray(1 << 23), 0
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab = spec["model"]["vocab"]
@@ -72,6 +73,13 @@ class WordIds(dict):
                 else:
                     got = self.tokenizer.encode(text, add_special_tokens=False).ids
             ids = struct.pack(f"<{len(got)}I", *got)
+            at = hash(word) & 0x7FFFFF
+            if not self.seen[at]:
+                self.seen[at] = 1
+                self.marks += 1
+                if self.marks > 1 << 21:
+                    self.seen, self.marks = bytearray(1 << 23), 0
+                return ids
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
