@@ -1,7 +1,8 @@
 """Toxicity by the nearest labelled examples.
 
-Terms are words and word beginnings that labels single out; a text is their TF-IDF vector. The
-nearest labelled examples by exact cosine are found with an inverted index whose postings come in
+Terms are words and word beginnings that labels single out; a text is their TF-IDF vector, so this
+is not the cosine of whole texts: other words are neither in the vector nor in its norm, and a text
+of other words alone is not searched. The nearest labelled examples by exact cosine are found with an inverted index whose postings come in
 blocks with their largest weight: blocks are read from the highest bound down, until no block
 left can hold a nearer example. Votes weighted by similarity give the score, and the
 examples themselves are the evidence.
