@@ -56,6 +56,21 @@ def test_compression_judges_junk():
     assert quality.compression("A short plain sentence, which is fine as it stands.", bands, packer)[3]
 
 
+def test_compression_judges_every_chunk():
+    import zstandard
+
+    packer, bands = zstandard.ZstdCompressor(level=3), quality.Bands()
+    r = random.Random(2)
+    words = ["".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 9))) for _ in range(300)]
+    prose = " ".join(r.choice(words) for _ in range(20_000))
+    noise = "".join(chr(r.randint(33, 126)) for _ in range(20_000))
+    for good, bad in ((3900, 4096), (1500, 700), (6000, 1500), (60_000, 15_000)):
+        assert quality.compression(prose[:good], bands, packer)[3]
+        for text in (prose[:good] + noise[:bad], noise[:bad] + prose[:good], prose[:good] + "x" * bad):
+            assert not quality.compression(text, bands, packer)[3]
+    assert [quality.compression(prose[:n], bands, packer)[1] for n in (1023, 1024, 1025, 2048, 2049)] == [0, 1, 2, 2, 3]
+
+
 def test_line_dedup(spark, odd, void):
     pages = [(i, "host", f"menu\nbody {i} only\n\nmenu " if i < 6 else f"body {i}", "x") for i in range(12)] + [(99, None, "menu\nalone", "x"), (98, "small", "menu\nmenu", "x"), (97, "host", None, "x")]
     df = spark.createDataFrame(pages, "doc_id long, source string, text string, n_dropped string")
