@@ -1,7 +1,8 @@
 """Personal data: fixed patterns, and more found by bootstrapped contexts. Spark expressions only.
 
-The fixed patterns give emails, IP addresses, cards and phones. Tokens with a digit or an @ are
-instances; the words around them are lexical patterns. Instances that the fixed patterns cover are
+The fixed patterns give emails, IP addresses, cards and phones. Phones, cards, runs of digit groups
+with one blank between them, and tokens with a digit or an @ are instances, each as a whole; the
+words around them are lexical patterns. Instances that the fixed patterns cover are
 seeds of their kind. Patterns are scored by their instances and instances by their patterns, in
 turn; instances that no fixed pattern covers but good patterns hold are added.
 
@@ -26,7 +27,12 @@ IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){13,18}+(?![ -]?[0-9])"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
-TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+#: Phones and cards as the fixed patterns find them, without the checks of their digits but the number.
+SPACED = rf"(?:\+[0-9](?:[ ().-]*+[0-9]){{9,14}}+(?![ ().-]*+[0-9])|{CARD})"
+#: Digit groups of up to 12 characters, up to 8 of them with one blank between two; longer numbers stand alone.
+GROUP = r"[0-9](?:[0-9().-]{0,9}[0-9)])?+(?![0-9])"
+RUN = rf"[^\s\p{{L}}0-9@]*+{GROUP}(?:[ \t]\(?{GROUP}(?=[^\s\p{{L}}0-9@]*+(?:\s|$))){{1,7}}+"
+INSTANCE = rf"{SPACED}|(?<!\S)(?![^\s0-9@+]*+{SPACED})(?:{RUN}|[^\s0-9@]*+[0-9@]\S*+)"
 
 
 @dataclass(frozen=True)
@@ -101,22 +107,28 @@ def base_spans(text: Column) -> Column:
 
 
 def _instances(text: Column, how: Bootstrap) -> Column:
-    """Tokens with a digit or @: array of (start, end, token, left, right), left two words and right one, digits as 0."""
-    both = F.struct(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)).alias("found"), F.split(text, TOKEN, -1).alias("pieces"))
+    """Matches of INSTANCE: array of (start, end, token, left, right), two words on either side (fewer only at the text's ends), digits as 0."""
+    both = F.struct(F.regexp_extract_all(text, F.lit(INSTANCE), F.lit(0)).alias("found"), F.split(text, INSTANCE, -1).alias("pieces"))
+
+    def before(z: Column, i: Column) -> Column:  # up to two instances back, so that neighbours are context too
+        return F.concat(F.coalesce(F.get(z.found, i - 2), F.lit("")), F.when(i > 0, F.get(z.pieces, i - 1)).otherwise(""), F.coalesce(F.get(z.found, i - 1), F.lit("")), F.get(z.pieces, i))
+
+    def after(z: Column, i: Column) -> Column:
+        return F.concat(F.get(z.pieces, i + 1), F.coalesce(F.get(z.found, i + 1), F.lit("")), F.coalesce(F.get(z.pieces, i + 2), F.lit("")), F.coalesce(F.get(z.found, i + 2), F.lit("")))
 
     def around(z: Column) -> Column:
-        return let(_starts(z.pieces, z.found), lambda t: F.transform(z.found, lambda m, i: F.struct(F.get(t, i).alias("start"), m.alias("m"), F.get(z.pieces, i).alias("before"), F.get(z.pieces, i + 1).alias("after"))))
+        return let(_starts(z.pieces, z.found), lambda t: F.transform(z.found, lambda m, i: F.struct(F.get(t, i).alias("start"), m.alias("m"), before(z, i).alias("before"), after(z, i).alias("after"))))
 
     raw = let(both, around)
     short = F.filter(raw, lambda x: F.length(x.m) <= how.longest)
 
     def cut(x: Column) -> Column:
-        lead = F.length(F.regexp_extract(x.m, r"^[^\p{L}\p{N}@+]*+", 0))
+        lead = F.length(F.regexp_extract(x.m, r"^(?:(?!\([0-9]+\))[^\p{L}\p{N}@+])*+", 0))
         core = F.regexp_replace(F.substring(x.m, lead + 1, F.lit(how.longest)), r"[^\p{L}\p{N}]+$", "")
         plain = lambda c: F.regexp_replace(F.lower(c), "[0-9]", "0")
-        left = F.regexp_extract(F.substring(x.before, F.greatest(F.length(x.before) - 60, F.lit(1)), F.lit(61)), r"(\S+)\s+(\S+)\s*$", 0)
-        right = F.regexp_extract(F.substring(x.after, F.lit(1), F.lit(60)), r"^\s*(\S+)", 1)
-        return F.struct((x.start + lead).alias("start"), (x.start + lead + F.length(core)).alias("end"), core.alias("token"), plain(F.trim(F.regexp_replace(left, r"\s+", " "))).alias("left"), plain(right).alias("right"))
+        left = F.regexp_extract(F.substring(x.before, F.greatest(F.length(x.before) - 60, F.lit(1)), F.lit(61)), r"(?:\S+\s+)?\S+\s*$", 0)
+        right = F.regexp_extract(F.substring(x.after, F.lit(1), F.lit(60)), r"^[^\s\p{L}\p{N}]*+\s*+(\S+(?:\s+\S+)?)", 1)
+        return F.struct((x.start + lead).alias("start"), (x.start + lead + F.length(core)).alias("end"), core.alias("token"), plain(F.trim(F.regexp_replace(left, r"\s+", " "))).alias("left"), plain(F.regexp_replace(right, r"\s+", " ")).alias("right"))
 
     out = F.filter(F.transform(short, cut), lambda x: F.length(x.token) >= how.shortest)
     kind = "array<struct<start:int,end:int,token:string,left:string,right:string>>"
@@ -134,7 +146,8 @@ def discover(scanned: DataFrame, how: Bootstrap = Bootstrap()) -> DataFrame:
     cover = F.filter("spans", lambda s: (s.start < F.col("i.end")) & (s.end > F.col("i.start")))
     seen = one.select("i.token", F.get(cover, F.lit(0)).kind.alias("seed"), F.explode(F.array(
         F.when(F.col("i.left") != "", F.concat(F.lit("L "), "i.left")),
-        F.when((F.col("i.left") != "") & (F.col("i.right") != ""), F.concat(F.lit("S "), F.substring_index("i.left", " ", -1), F.lit(" _ "), "i.right")),
+        F.when((F.col("i.left") != "") & (F.col("i.right") != ""), F.concat(F.lit("S "), F.substring_index("i.left", " ", -1), F.lit(" _ "), F.substring_index("i.right", " ", 1))),
+        F.when(F.col("i.right") != "", F.concat(F.lit("R "), "i.right")),
     )).alias("pattern"))
     edges = materialize(seen.where("pattern is not null").groupBy("pattern", "token").agg(F.min("seed").alias("seed")), "edges")
     seeds = edges.groupBy("token").agg(F.min("seed").alias("kind")).where("kind is not null").withColumn("score", F.lit(1.0))

@@ -120,6 +120,35 @@ def test_bootstrapped_contexts(spark, odd, void):
     assert pii.personal_data(odd).count() == odd.count() and pii.personal_data(void).count() == 0
 
 
+def test_spaced_instances(spark):
+    def instances(text):
+        got = spark.createDataFrame([(text,)], "text string").select(pii._instances(F.col("text"), pii.Bootstrap()).alias("i")).first().i
+        assert all(text[x.start : x.end] == x.token for x in got)
+        return [(x.token, x.left, x.right) for x in got]
+
+    assert instances("so call me +1 (017) 555-7713, then wait") == [("+1 (017) 555-7713", "call me", "then wait")]
+    assert instances("é (tel:+49 30 1234567890) ok") == [("+49 30 1234567890", "é (tel:", "ok")]
+    assert instances("4111 1111 1111 1111 is mine") == [("4111 1111 1111 1111", "", "is mine")]
+    assert instances("a (017) 555-7713\nb 12 34 x") == [("(017) 555-7713", "a", "b 00")]
+    assert instances("7536784127813050 4845168114407329 z") == [("7536784127813050", "", "0000000000000000 z"), ("4845168114407329", "0000000000000000", "z")]
+
+
+def test_bootstrapped_contexts_of_each_kind(spark):
+    def luhn(n):
+        return next(c for c in range(10) if sum(int(d) if i % 2 else sum(divmod(2 * int(d), 10)) for i, d in enumerate(reversed(str(n)))) % 10 == (10 - c) % 10)
+
+    cards = [f"{400000111122220 + 7 * i}{luhn(400000111122220 + 7 * i)}" for i in range(12)]
+    spaced = [" ".join(c[i : i + 4] for i in (0, 4, 8, 12)) for c in cards]
+    known = [f"you can reach me at +1 ({200 + i}) 555-77{10 + i} all day" for i in range(12)]
+    known += [f"my card number {c} will expire" for c in spaced] + [f"a host named 10.0.{i}.7 went down" for i in range(12)]
+    known += [f"please write to user{i}@mail.example.org very soon" for i in range(12)] + [f"+1 ({300 + i}) 555-88{10 + i} rings every night" for i in range(12)]
+    hidden = {"you can reach me at (017) 555-7713 all day": (20, 3, 34), "my card number 1234 5678 will expire": (15, 2, 24), "a host named box-77a went down": (13, 1, 20), "please write to secret77 very soon": (16, 0, 24), "(018) 555-9999 rings every night": (0, 3, 14)}
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*known, *hidden])], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.personal_data(df).collect()}
+    for i, span in enumerate(hidden.values(), len(known)):
+        assert [tuple(s) for s in got[i].spans] == [span] and got[i].base == []
+
+
 def test_toxicity(spark, odd, void):
     r = random.Random(3)
     clean = ["the", "house", "stands", "near", "river", "and", "people", "walk", "there", "often", "while", "birds", "sing"]
