@@ -37,10 +37,10 @@ INSTANCE = rf"{SPACED}|(?<!\S)(?![^\s0-9@+]*+{SPACED})(?:{RUN}|[^\s0-9@]*+[0-9@]
 
 @dataclass(frozen=True)
 class Bootstrap:
-    """rounds: of scoring; support: least distinct seeds of a pattern; confidence: least share of
+    """rounds: of scoring, which ends when one finds nothing new; more than this many raise. support: least distinct seeds of a pattern; confidence: least share of
     a pattern's instances, and least score of an instance; shortest, longest: characters of an instance."""
 
-    rounds: int = 3
+    rounds: int = 100
     support: int = 5
     confidence: float = 0.9
     shortest: int = 6
@@ -167,6 +167,8 @@ def discover(scanned: DataFrame, how: Bootstrap = Bootstrap()) -> DataFrame:
             break
         new = new.unionByName(step)
         believed = materialize(believed.unionByName(step), "believed")
+    else:
+        raise RuntimeError(f"contexts still find identifiers after {how.rounds} rounds")
     return new.select("token", "kind")
 
 

@@ -149,6 +149,15 @@ def test_bootstrapped_contexts_of_each_kind(spark):
         assert [tuple(s) for s in got[i].spans] == [span] and got[i].base == []
 
 
+def test_bootstrapping_goes_on_until_nothing_is_new(spark):
+    mails, level = [f"u{i}@mail.example.org" for i in range(44)], lambda k: [f"key{k}x{i}77" for i in range(3)] if k else ["v1@a.org", "v2@a.org", "v3@a.org"]
+    rows = [([(0, 0, 20)] if "@" in t else [], [(0, 20, t, f"left {k}", "")]) for k in range(1, 6) for t in [*mails, *level(k - 1), *level(k)]]
+    df = spark.createDataFrame(rows, "spans array<struct<start:int,kind:int,end:int>>, instances array<struct<start:int,end:int,token:string,left:string,right:string>>")
+    assert sorted(tuple(r) for r in pii.discover(df).collect()) == sorted((t, 0) for k in range(1, 6) for t in level(k))
+    with pytest.raises(RuntimeError):
+        pii.discover(df, pii.Bootstrap(rounds=3))
+
+
 def test_toxicity(spark, odd, void):
     r = random.Random(3)
     clean = ["the", "house", "stands", "near", "river", "and", "people", "walk", "there", "often", "while", "birds", "sing"]
