@@ -230,6 +230,16 @@ def test_chat_round_trip(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_pipeline_drops_lines_of_a_thirteenth(spark):
+    import corpus_pipeline
+
+    rows = [(i, f"menu\nbody {i}" if i < 3 else f"twice\nbody {i}" if i < 5 else f"body {i}", "en", "s", 1) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r for r in corpus_pipeline.drop_boilerplate(spark, docs, "").collect()}
+    assert [got[i].text for i in (0, 1, 2, 5)] == ["body 0", "body 1", "body 2", "body 5"] and got[0].n_chars == 6
+    assert got[3].text == "twice\nbody 3"
+
+
 def test_pipeline_small(spark):
     import corpus_pipeline
 
