@@ -36,9 +36,14 @@ _own_dir: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from ``spark.checkpoint.dir``; where it is unset, as in tests, one of this process."""
+    """The folder that all executors share, from ``spark.checkpoint.dir``; where it is unset, as in tests, one of this process.
+
+    Unset on anything but a local master is an error: executors would write to folders of their own.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         if not _own_dir:
             _own_dir.append(f"file://{tempfile.mkdtemp(prefix='gridloom-')}")
         found = _own_dir[0]
@@ -67,6 +72,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows of a scan, dealt anew if they come in fewer partitions than there are cores, as from one small file."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def fresh(df: DataFrame, stem: str) -> str:
     """A column name that df does not have."""
     taken = {c.lower() for c in df.columns}
@@ -76,26 +87,27 @@ def fresh(df: DataFrame, stem: str) -> str:
     return name
 
 
-def add_from_column(df: DataFrame, source: str, fields: Sequence[T.StructField], make: Callable[[], Callable[[list], dict[str, list]]]) -> DataFrame:
+def add_from_column(df: DataFrame, source: str, fields: Sequence[T.StructField], make: Callable[[], Callable[[list], dict[str, list]]], drop: Sequence[str] = ()) -> DataFrame:
     """Append columns computed from one column, batch by batch, in Arrow.
 
     ``make()`` runs once a task and returns a function from a list of values to a dict of
-    lists. Other columns pass through untouched. A column of df with the name of a new one is
-    replaced. Rows are never regrouped, so there is no shuffle.
+    lists. Other columns but those in drop pass through untouched. A column of df with the name of a
+    new one is replaced. Rows are never regrouped, so there is no shuffle.
     """
     new = [f.name for f in fields]
-    low = {n.lower() for n in new}
+    gone = {n.lower() for n in (*new, *drop)}
+    kept = [c for c in df.columns if c.lower() not in gone]
     hidden = fresh(df, "input")
-    kept = [c for c in df.columns if c.lower() not in low]
-    frame = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{source}`").alias(hidden))
+    own = next((i for i, c in enumerate(kept) if c.lower() == source.lower()), len(kept))
+    frame = df.select(*[F.col(f"`{c}`") for c in kept], *[F.col(f"`{source}`").alias(hidden)] * (own == len(kept)))
     schema = T.StructType([frame.schema[c] for c in kept] + list(fields))
     kinds = {f.name: to_arrow_type(f.dataType) for f in fields}
 
     def run(batches: Iterable[pa.RecordBatch]):
         fn = make()
         for b in few_rows(batches):
-            got = fn(b.column(b.num_columns - 1).to_pylist())
-            arrays = [b.column(i) for i in range(b.num_columns - 1)] + [pa.array(got[n], type=kinds[n]) for n in new]
+            got = fn(b.column(own).to_pylist())
+            arrays = [b.column(i) for i in range(len(kept))] + [pa.array(got[n], type=kinds[n]) for n in new]
             yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *new])
 
     return frame.mapInArrow(run, schema)

@@ -109,9 +109,9 @@ def whole_copies(cells: pd.DataFrame, most: int) -> pd.Series:
     return pd.Series(out, dtype="int64")
 
 
-def with_sizes(docs: DataFrame, text: str) -> DataFrame:
-    """Add size, the number of words; 0 for null."""
-    return add_from_column(docs, text, [T.StructField("size", T.LongType())], lambda: lambda texts: {"size": [len(words(t)) for t in texts]})
+def with_sizes(docs: DataFrame, text: str, drop: tuple[str, ...] = ()) -> DataFrame:
+    """Add size, the number of words; 0 for null. Columns in drop are left out."""
+    return add_from_column(docs, text, [T.StructField("size", T.LongType())], lambda: lambda texts: {"size": [len(words(t)) for t in texts]}, drop)
 
 
 def mix_sources(docs: DataFrame, source: str = "source", text: str = "text", by: str = "doc_id", mix: Mix = Mix()) -> DataFrame:
@@ -165,5 +165,5 @@ def repeat_copies(mixed: DataFrame) -> DataFrame:
 
 
 def op3_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sized = with_sizes(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "text").drop("text")
+    sized = with_sizes(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "text", ("text",))
     return mix_sized(sized).select("doc_id", "size", "source_size", "target", "taken")

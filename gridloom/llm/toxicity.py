@@ -1,11 +1,12 @@
 """Toxicity by the nearest labelled examples.
 
-Terms are words and word beginnings that labels single out; a text is their TF-IDF vector, so this
-is not the cosine of whole texts: other words are neither in the vector nor in its norm, and a text
-of other words alone is not searched. The nearest labelled examples by exact cosine are found with an inverted index whose postings come in
-blocks with their largest weight: blocks are read from the highest bound down, until no block
-left can hold a nearer example. Votes weighted by similarity give the score, and the
-examples themselves are the evidence.
+A text is the vector of all its words: (1 + log of the count) * inverse document frequency * what
+the labels say of the word. That last factor is a floor, the same for all words, plus the lower
+confidence bound of the word's log odds between toxic and clean examples; no word is left out of a
+vector or its norm. The nearest labelled examples by exact cosine are found with an inverted index
+whose postings come in blocks with their largest weight: the blocks of highest bound are read
+first, then those that may still hold a nearer example. Votes weighted by the squared cosine give
+the score, and the examples themselves are the evidence.
 """
 
 from __future__ import annotations
@@ -21,141 +22,128 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import add_from_column, few_rows, fresh, materialize, table
+from ._common import add_from_column, few_rows, materialize, spread, table
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
 @dataclass(frozen=True)
 class Votes:
-    """fit_rows: most labelled rows used as examples and to choose terms, those of smallest hash;
-    least_rows: fewest of them with a term; least_z: least deviation of the term's label counts from
-    chance; least_share: least share of toxic rows among those with the term, classes weighed alike;
-    most_terms: terms kept, by deviation; stems: lengths of word beginnings; k: examples that
-    vote; prior: weight of the overall share in a vote; block: postings of a block."""
-
-    fit_rows: int = 20_000
-    least_rows: int = 3
-    least_z: float = 4.5
-    least_share: float = 0.95
-    most_terms: int = 4096
-    stems: tuple[int, ...] = (4, 5, 6)
+    """fit_rows: most labelled rows used as examples, those of smallest hash; floor: factor of a word
+    that labels say nothing of; sure: standard errors taken off a word's log odds; k: labelled rows that
+    vote; prior: weight of the overall share in a vote; block: examples of a block; first: blocks read
+    before the bar for others is set."""
+
+    fit_rows: int = 4096
+    floor: float = 0.05
+    sure: float = 2.0
     k: int = 15
     prior: float = 0.5
-    block: int = 64
-
-
-def terms_of(word: str, stems: tuple[int, ...]) -> list[str]:
-    """The letter runs of a word, lower-cased, and their beginnings (with a dash)."""
-    out = []
-    for w in _LETTERS.findall(word.lower()):
-        out.append(w)
-        out += [w[:n] + "-" for n in stems if len(w) > n]
-    return out
+    block: int = 128
+    first: int = 4
 
 
 class _Terms(dict):
-    """Term numbers of a word, by the vocabulary if there is one."""
+    """The terms (lower-cased letter runs) of a word: their numbers in the vocabulary, or else themselves."""
 
-    def __init__(self, how: Votes, vocab: dict[str, int] | None = None):
+    def __init__(self, vocab: dict[str, int], most: int = 100_000):
         super().__init__()
-        self.how, self.vocab = how, vocab
+        self.vocab, self.most = vocab, most
 
     def __missing__(self, word: bytes) -> tuple:
-        got = terms_of(word.decode("utf-8", "surrogatepass"), self.how.stems)
-        got = tuple(got) if self.vocab is None else tuple(self.vocab[t] for t in got if t in self.vocab)
-        if len(self) > (30_000 if self.vocab is None else 100_000):
+        known = self.vocab.get
+        got = tuple(known(t, t) for t in _LETTERS.findall(word.decode("utf-8", "surrogatepass").lower()))
+        if len(self) > self.most:
             self.clear()
         self[word] = got
         return got
 
 
-def _count(text: str | None, known: _Terms) -> Counter:
+def count_terms(text: str | None, known: _Terms) -> Counter:
     out: Counter = Counter()
     for got in map(known.__getitem__, text.encode("utf-8", "surrogatepass").split() if text else ()):
-        if got:
-            out.update(got)
+        for t in got:
+            out[t] += 1
     return out
 
 
-def choose_terms(examples: DataFrame, how: Votes = Votes()) -> list[str]:
-    """Terms that toxic examples have more often than chance allows. examples: text, toxic (0 or 1)."""
-
-    def run(batches: Iterable[pa.RecordBatch]):
-        known, seen = _Terms(how), {}
-        for b in few_rows(batches):
-            for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for x in _count(t, known):
-                    c = seen.setdefault(x, [0, 0])
-                    c[y] += 1
-        items = list(seen.items())
-        for i in range(0, len(items), 50_000):
-            part = items[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in part], pa.string()), pa.array([c[0] for _, c in part], pa.int64()), pa.array([c[1] for _, c in part], pa.int64())], names=["term", "clean", "toxic"])
-
-    sums = examples.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("bad")).first()
-    if not sums.n or not sums.bad or sums.bad == sums.n:
-        return []
-    n1, n0 = float(sums.bad), float(sums.n - sums.bad)
-    counts = examples.select("text", "toxic").mapInArrow(run, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    both = (F.col("clean") + F.col("toxic")) / (n0 + n1)
-    share = (F.col("toxic") / n1) / (F.col("toxic") / n1 + F.col("clean") / n0)
-    z = (F.col("toxic") / n1 - F.col("clean") / n0) / F.sqrt(both * (1 - both) * (1 / n0 + 1 / n1))
-    top = counts.where((F.col("clean") + F.col("toxic") >= how.least_rows) & (both < 1)).withColumn("z", z).where((F.col("z") >= how.least_z) & (share >= how.least_share))
-    return [r.term for r in top.orderBy(F.desc("z"), "term").limit(how.most_terms).select("term").collect()]
+def label_factor(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int, how: Votes = Votes()) -> np.ndarray:
+    """Factor of words that so many of the toxic and clean examples have."""
+    a, b = toxic + 0.5, clean + 0.5
+    c, d = n_toxic - toxic + 0.5, n_clean - clean + 0.5
+    odds = np.abs(np.log(a / c) - np.log(b / d)) - how.sure * np.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
+    return how.floor + np.maximum(0.0, odds)
 
 
 class Index:
-    """Examples as unit TF-IDF vectors in postings with block maxima.
+    """Examples as unit vectors in postings, cut into blocks of examples with their largest weights.
 
-    vectors: (terms, counts) of the examples; votes: (clean, toxic, smallest id) of each. All that
-    have equal vectors are one example with their votes together.
+    vectors: (terms, counts) of the examples, without two equal ones; votes: (clean, toxic, smallest
+    id) of each; weight: of each term; other: weight of the terms that no example has.
     """
 
-    def __init__(self, vectors: list[tuple[tuple[int, ...], tuple[int, ...]]], votes: list[tuple[int, int, int]], idf: np.ndarray, how: Votes):
-        self.idf, self.how = idf, how
+    def __init__(self, vectors: list[tuple[tuple[int, ...], tuple[int, ...]]], votes: list[tuple[int, int, int]], weight: np.ndarray, other: float, how: Votes):
+        self.weight, self.other, self.how = weight, other, how
         self.clean, self.toxic, self.ids = (np.array([v[i] for v in votes], np.int64) for i in range(3))
-        n = len(vectors)
-        self.blocks = -(-n // how.block)
-        rows, cols, vals = [], [], []
-        for i, (t, c) in enumerate(vectors):
-            w = self.weights(t, c)
-            rows += [i] * len(t)
-            cols += t
-            vals += w.tolist()
-        rows_, cols_, vals_ = np.array(rows, np.int64), np.array(cols, np.int64), np.array(vals, np.float64)
-        order = np.lexsort((rows_, cols_))
-        self.row, self.val, term = rows_[order], vals_[order], cols_[order]
-        self.start = np.searchsorted(term, np.arange(len(idf) + 1))
-        self.top = np.zeros((len(idf), self.blocks))
-        np.maximum.at(self.top, (term, self.row // how.block), self.val)
-
-    def weights(self, terms, counts) -> np.ndarray:
-        w = (1 + np.log(np.array(counts, np.float64))) * self.idf[list(terms)]
-        return w / np.sqrt((w * w).sum())
-
-    def nearest(self, terms, counts) -> tuple[np.ndarray, np.ndarray]:
-        """Examples in order of cosine, until k labelled rows are reached, and their cosines."""
-        q, k, size = self.weights(terms, counts), self.how.k, self.how.block
-        bound = q @ self.top[list(terms)]
+        self.n, size = len(vectors), len(weight)
+        self.blocks = max(1, -(-self.n // how.block))
+        row = np.repeat(np.arange(self.n), [len(t) for t, _ in vectors])
+        col = np.array([x for t, _ in vectors for x in t], np.int64)
+        val = np.concatenate([self.unit(np.array(t, np.int64), np.array(c), ()) for t, c in vectors]) if vectors else np.zeros(0)
+        order = np.lexsort((row, col))
+        self.row, self.val, col = row[order].astype(np.int32), val[order], col[order]
+        cell = col * self.blocks + self.row // how.block
+        self.start = np.searchsorted(cell, np.arange(size * self.blocks + 1)).astype(np.int32)
+        top = np.zeros(size * self.blocks)
+        np.maximum.at(top, cell, self.val)
+        self.top = np.nextafter(top.astype(np.float32), np.float32(np.inf)).reshape(size, self.blocks)
+
+    def unit(self, terms: np.ndarray, counts: np.ndarray, others) -> np.ndarray:
+        """Weights of the known terms in the unit vector; others: counts of the terms that no example has."""
+        w = (1 + np.log(counts)) * self.weight[terms]
+        norm = (w * w).sum() + ((self.other * (1 + np.log(np.array(others)))) ** 2).sum() if len(others) else (w * w).sum()
+        return w / np.sqrt(norm)
+
+    def _read(self, blocks: np.ndarray, terms: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Examples in the blocks with a term of the query, and their cosines."""
+        cell = terms[:, None] * self.blocks + blocks[None, :]
+        low = self.start[cell].ravel()
+        size = self.start[cell + 1].ravel() - low
+        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(low, size)
+        got = np.bincount(self.row[at], np.repeat(np.repeat(w, len(blocks)), size) * self.val[at], self.n)
+        hit = np.flatnonzero(got)
+        return hit, got[hit]
+
+    def _cut(self, rows: np.ndarray, cos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """In order of cosine, until k labelled rows are reached; equal vectors (the text itself) don't count."""
+        other = cos < 1 - 1e-9
+        rows, cos = rows[other], cos[other]
+        k = self.how.k
+        if len(rows) > 4 * k:
+            bar = np.partition(cos, len(cos) - k)[len(cos) - k]
+            some = cos >= bar - 1e-12
+            rows, cos = rows[some], cos[some]
+        o = np.lexsort((rows, -np.round(cos, 12)))
+        rows, cos = rows[o], cos[o]
+        keep = int(np.searchsorted(np.cumsum((self.clean + self.toxic)[rows]), k)) + 1
+        return rows[:keep], cos[:keep]
+
+    def nearest(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest examples with a common term, but for the text itself, and their cosines."""
+        known = {t: c for t, c in counts.items() if not isinstance(t, str)}
+        if not known:
+            return np.zeros(0, np.int64), np.zeros(0)
+        terms = np.fromiter(known, np.int64, len(known))
+        w = self.unit(terms, np.fromiter(known.values(), np.int64, len(known)), [c for t, c in counts.items() if isinstance(t, str)])
+        bound = w @ self.top[terms]
         order = np.argsort(-bound, kind="stable")
-        best, cos = np.zeros(0, np.int64), np.zeros(0)
-        for b in order[bound[order] > 0]:
-            votes = np.cumsum((self.clean + self.toxic)[best]) if len(best) else np.zeros(0)
-            enough = int(np.searchsorted(votes, k))
-            if enough < len(best) and bound[b] < cos[enough] - 1e-12:
-                break
-            got = np.zeros(size)
-            for t, w in zip(terms, q, strict=True):
-                lo, hi = self.start[t], self.start[t + 1]
-                i, j = lo + np.searchsorted(self.row[lo:hi], [b * size, (b + 1) * size])
-                got[self.row[i:j] - b * size] += w * self.val[i:j]
-            hit = np.flatnonzero(got > 0)
-            best, cos = np.concatenate([best, hit + b * size]), np.concatenate([cos, got[hit]])
-            o = np.lexsort((best, -np.round(cos, 12)))
-            best, cos = best[o], cos[o]
-            keep = int(np.searchsorted(np.cumsum((self.clean + self.toxic)[best]), k)) + 1
-            best, cos = best[:keep], cos[:keep]
+        first, rest = order[: self.how.first], order[self.how.first :]
+        best, cos = self._cut(*self._read(first, terms, w))
+        full = (self.clean + self.toxic)[best].sum() >= self.how.k
+        rest = rest[bound[rest] >= (cos[-1] - 1e-9 if full else 1e-12)]
+        if len(rest):
+            more, their = self._read(rest, terms, w)
+            best, cos = self._cut(np.concatenate([best, more]), np.concatenate([cos, their]))
         return best, cos
 
 
@@ -163,83 +151,106 @@ def crc_mod5(id_col: str) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5
 
 
-def score_toxicity(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text: str = "text", how: Votes = Votes()) -> DataFrame:
-    """Add score, predicted and evidence (nearest examples' ids and cosines, up to 3) to each row of docs.
-
-    labelled: id, toxic; rows with a null in either are left out, of several for one id the largest
-    counts. At most how.fit_rows of them, and their vectors, are on the driver. Term statistics of
-    the vectors (document frequencies) are counted over all rows of docs. A text without terms, null
-    or empty or of any length, gets the share of toxic examples among those without terms. Without
-    examples every score is 0. Repeated rows are scored alike; columns of docs named like the new
-    ones are replaced.
-    """
-    known = labelled.where(F.col(id_col).isNotNull() & F.col("toxic").isNotNull()).groupBy(id_col).agg(F.max("toxic").cast("int").alias("toxic"))
+def _examples(docs: DataFrame, labelled: DataFrame, id_col: str, text: str, how: Votes) -> list:
+    """(words, counts, toxic, id) of the chosen labelled rows; how.fit_rows at most."""
+    known = labelled.where(F.col(id_col).isNotNull() & F.col("toxic").isNotNull()).groupBy(id_col).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     chosen = materialize(known.orderBy(F.xxhash64(id_col), id_col).limit(how.fit_rows), "examples")
-    ex_text = docs.select(id_col, F.col(text).alias("text")).join(F.broadcast(chosen), id_col)
-    vocab = choose_terms(ex_text.select("text", "toxic"), how)
-    numbers = {t: i for i, t in enumerate(vocab)}
-    terms, counts = fresh(docs, "terms"), fresh(docs, "counts")
+    own = docs.select(id_col, F.col(f"`{text}`").alias("text")).join(F.broadcast(chosen), id_col)
+    own = own.groupBy(id_col, "toxic").agg(F.min_by("text", F.coalesce(F.xxhash64("text"), F.lit(0))).alias("text"))  # one text, if an id stands on several
+
+    def run(batches: Iterable[pa.RecordBatch]):
+        memo = _Terms({})
+        for b in few_rows(batches):
+            got = [sorted(count_terms(t, memo).items()) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([[t for t, _ in g] for g in got], pa.list_(pa.string())), pa.array([[c for _, c in g] for g in got], pa.list_(pa.int64())), b.column(1), b.column(2)], names=["terms", "counts", "toxic", "id"])
 
-    def make():
-        memo = _Terms(how, numbers)
+    vectors = own.select("text", "toxic", F.col(id_col).cast("long").alias("id")).mapInArrow(run, "terms array<string>, counts array<long>, toxic int, id long")
+    return vectors.collect()
 
-        def run(texts: list) -> dict[str, list]:
-            got = [sorted(_count(t, memo).items()) for t in texts]
-            return {terms: [[t for t, _ in g] for g in got], counts: [[c for _, c in g] for g in got]}
 
-        return run
+def document_frequencies(docs: DataFrame, text: str, vocab: dict[str, int]) -> tuple[int, np.ndarray]:
+    """Number of rows, and of rows with each term of the vocabulary. A task sends one sum a term."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocab)
 
-    ints = T.ArrayType(T.IntegerType())
-    vectors = materialize(add_from_column(docs.select(id_col, text), text, [T.StructField(terms, ints), T.StructField(counts, ints)], make).drop(text), "vectors")
-    n = vectors.count()
-    df = np.zeros(len(vocab))
-    for r in vectors.select(F.explode(terms).alias("t")).groupBy("t").count().collect():  # most_terms rows at most
-        df[r.t] = r["count"]
-    idf = np.log((1 + n) / (1 + df)) + 1
-    mine = vectors.join(F.broadcast(chosen), id_col).dropDuplicates([id_col])
+    def run(batches: Iterable[pa.RecordBatch]):
+        memo, sums = _Terms(shared.value), np.zeros(len(shared.value) + 1, np.int64)
+        for b in few_rows(batches):
+            for t in b.column(0).to_pylist():
+                seen = {x for got in map(memo.__getitem__, set(t.encode("utf-8", "surrogatepass").split()) if t else ()) for x in got if not isinstance(x, str)}
+                sums[list(seen)] += 1
+            sums[-1] += b.num_rows
+        hit = np.flatnonzero(sums)
+        for i in range(0, len(hit), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(hit[i : i + 50_000]), pa.array(sums[hit[i : i + 50_000]])], names=["term", "n"])
+
+    out = np.zeros(len(vocab) + 1, np.int64)
+    sums = docs.select(F.col(f"`{text}`")).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()  # a row a term of the examples
+    out[sums["term"]] = sums["n"]
+    return int(out[-1]), out[:-1]
+
+
+def fit(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text: str = "text", how: Votes = Votes()) -> tuple[dict[str, int], Index, float, float]:
+    """Vocabulary and index of the examples, score of texts without terms, share of toxic examples."""
+    rows = _examples(docs, labelled, id_col, text, how)
+    vocab = {t: i for i, t in enumerate(sorted({t for r in rows for t in r.terms}))}
+    with_term = np.zeros((2, len(vocab)), np.int64)
     merged: dict[tuple, list[int]] = {}
-    for r in mine.select(id_col, terms, counts, "toxic").collect():  # fit_rows rows at most
-        v = merged.setdefault((tuple(r[1]), tuple(r[2])), [0, 0, r[0]])
-        v[1 if r.toxic else 0] += 1
-        v[2] = min(v[2], r[0])
-    clean, toxic, _ = merged.pop(((), ()), [0, 0, 0])
-    all_toxic = toxic + sum(v[1] for v in merged.values())
-    share = all_toxic / max(1, clean + toxic + sum(v[0] + v[1] for v in merged.values()))
-    bare = (toxic + how.prior * share) / max(clean + toxic + how.prior, 1e-9)
-    order = sorted(merged)
-    index = Index(order, [tuple(merged[v]) for v in order], idf, how)
+    bare = [0, 0]
+    for r in rows:
+        terms = tuple(vocab[t] for t in r.terms)
+        if terms:
+            with_term[r.toxic, list(terms)] += 1
+            v = merged.setdefault((terms, tuple(r.counts)), [0, 0, r.id])
+            v[r.toxic] += 1
+            v[2] = min(v[2], r.id)
+        else:
+            bare[r.toxic] += 1
+    n_toxic = sum(r.toxic for r in rows)
+    share = n_toxic / max(1, len(rows))
+    n, df = document_frequencies(docs, text, vocab)
+    weight = (np.log((1 + n) / (1 + df)) + 1) * label_factor(with_term[1], with_term[0], n_toxic, len(rows) - n_toxic, how)
+    # coherent blocks have low bounds for others: examples stand by their heaviest term
+    vectors = sorted(merged, key=lambda v: (-max((1 + np.log(c)) * weight[t] for t, c in zip(*v, strict=True)), v))
+    index = Index(vectors, [tuple(merged[v]) for v in vectors], weight, how.floor * (np.log((1 + n) / 2) + 1), how)
+    return vocab, index, (bare[1] + how.prior * share) / (sum(bare) + how.prior), share
+
+
+def score_toxicity(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text: str = "text", how: Votes = Votes(), drop: tuple[str, ...] = ()) -> DataFrame:
+    """Add score, predicted and evidence (nearest examples' ids and cosines, up to 3) to each row of docs.
+
+    labelled: id, toxic; rows with a null in either are left out, of several for one id the largest
+    counts. At most how.fit_rows of them, and their vectors, are on the driver. Where an id stands on
+    several texts, that of the smallest hash is the example. Document frequencies are counted over all
+    rows of docs; a word that no example has counts in the norm as one found in a single row. A score
+    is a function of the text alone: examples with the text's own vector, so the row itself and its
+    copies, have no vote. A text that shares no term with an example, null or empty or of any length,
+    gets the smoothed share of toxic examples among those without terms. Without examples every score is
+    0. Repeated rows are scored alike; columns of docs named like the new ones are replaced, those in
+    drop left out.
+    """
+    vocab, index, bare, share = fit(docs, labelled, id_col, text, how)
+    shared = docs.sparkSession.sparkContext.broadcast((vocab, index))
 
     def judge():
-        seen: dict[tuple, tuple] = {}
-
-        def one(t: list, c: list) -> tuple:
-            key = (tuple(t), tuple(c))
-            if key not in seen:
-                best, cos = index.nearest(*key) if t else ((), ())
-                if not len(best):
-                    out = (bare, [])
-                else:
-                    w = cos * cos
-                    bad = (w * index.toxic[best]).sum()
-                    out = (float((bad + how.prior * share) / ((w * (index.toxic + index.clean)[best]).sum() + how.prior)), [{"id": int(i), "cosine": float(x)} for i, x in zip(index.ids[best[:3]], cos[:3], strict=True)])
-                if len(seen) > 10_000:
-                    seen.clear()
-                seen[key] = out
-            return seen[key]
-
-        def run(pairs: list) -> dict[str, list]:
-            got = [one(p["t"], p["c"]) for p in pairs]
+        words, index = shared.value
+        memo = _Terms(words)
+
+        def one(text: str | None) -> tuple:
+            best, cos = index.nearest(count_terms(text, memo)) if text else ((), ())
+            if not len(best):
+                return bare, []
+            w = cos * cos
+            score = ((w * index.toxic[best]).sum() + how.prior * share) / ((w * (index.toxic + index.clean)[best]).sum() + how.prior)
+            return float(score), [{"id": int(i), "cosine": float(x)} for i, x in zip(index.ids[best[:3]], cos[:3], strict=True)]
+
+        def run(texts: list) -> dict[str, list]:
+            got = [one(t) for t in texts]
             return {"score": [g[0] for g in got], "predicted": [int(g[0] >= 0.5) for g in got], "evidence": [g[1] for g in got]}
 
         return run
 
     fields = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("evidence", T.ArrayType(T.StructType([T.StructField("id", T.LongType()), T.StructField("cosine", T.DoubleType())])))]
-    base = vectors if set(docs.columns) <= {id_col, text} else None
-    if base is None:
-        base = add_from_column(docs, text, [T.StructField(terms, ints), T.StructField(counts, ints)], make)
-    pair = fresh(docs, "pair")
-    packed = base.withColumn(pair, F.struct(F.col(terms).alias("t"), F.col(counts).alias("c"))).drop(terms, counts)
-    return add_from_column(packed, pair, fields, judge).drop(pair)
+    return add_from_column(docs, text, fields, judge, drop)
 
 
 def training_rows(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -248,8 +259,8 @@ def training_rows(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def op10_nearest_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = score_toxicity(docs, training_rows(table(spark, sf_dir, "labels")))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = score_toxicity(docs, training_rows(table(spark, sf_dir, "labels")), drop=("text",))
     return out.select("doc_id", (crc_mod5("doc_id") == 0).alias("held_out"), "score", "predicted", "evidence")
 
 

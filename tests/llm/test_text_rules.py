@@ -1,5 +1,6 @@
 """Compression bands, line dedup, personal data and toxicity."""
 
+import math
 import random
 import re
 from collections import Counter
@@ -158,46 +159,92 @@ def test_bootstrapping_goes_on_until_nothing_is_new(spark):
         pii.discover(df, pii.Bootstrap(rounds=3))
 
 
-def test_toxicity(spark, odd, void):
+CLEAN = ["the", "house", "stands", "near", "river", "and", "people", "walk", "there", "often", "while", "birds", "sing"]
+
+
+def toxic_cases() -> tuple[list, list]:
     r = random.Random(3)
-    clean = ["the", "house", "stands", "near", "river", "and", "people", "walk", "there", "often", "while", "birds", "sing"]
-    bad = ["idiot", "scum", "moron", "loserlike"]
 
     def text(toxic):
-        return " ".join(r.choice(bad if toxic and r.random() < 0.2 else clean) for _ in range(60))
-
-    docs = [(i, text(i % 5 == 0)) for i in range(300)] + [(900, None), (901, ""), (902, "idiot scum moron"), (903, "loserliking idiots")]
+        return " ".join(r.choice(["idiot", "scum", "moron", "loser"] if toxic and r.random() < 0.2 else CLEAN) + r.choice(["", "", ",", "!"]) for _ in range(r.randint(20, 60)))
+
+    docs = [(i, text(i % 5 == 0)) for i in range(300)]
+    docs += [(900, None), (901, ""), (902, "idiot scum moron"), (903, "words of no example"), (904, "12 34"), (905, docs[10][1]), (906, docs[10][1].upper()), (907, "the " * 50_000)]
+    return docs, [(i, int(i % 5 == 0)) for i in range(0, 200)] + [(None, 1), (5, None), (901, 0), (11, 0)]
+
+
+def plain_scores(docs, labels, how) -> dict:
+    """Score of each text by cosines with all examples, one after the other."""
+    toxic = {}
+    for i, y in labels:
+        if i is not None and y is not None:
+            toxic[i] = max(y, toxic.get(i, 0))
+    bags = {i: Counter(re.findall(r"[^\W\d_]+", (t or "").lower())) for i, t in docs}
+    ex = {i: y for i, y in toxic.items() if i in bags}
+    n1 = sum(ex.values())
+    n0, n = len(ex) - n1, len(docs)
+    df = Counter(w for b in bags.values() for w in b)
+    has = [Counter(w for i, y in ex.items() if y == k for w in bags[i]) for k in (0, 1)]
+
+    def weight(w):
+        if not has[0][w] + has[1][w]:
+            return how.floor * (math.log((1 + n) / 2) + 1)
+        a, b = has[1][w] + 0.5, has[0][w] + 0.5
+        c, d = n1 + 1 - a, n0 + 1 - b
+        odds = abs(math.log(a / c) - math.log(b / d)) - how.sure * math.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
+        return (math.log((1 + n) / (1 + df[w])) + 1) * (how.floor + max(0, odds))
+
+    def unit(bag):
+        v = {w: (1 + math.log(c)) * weight(w) for w, c in bag.items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / norm for w, x in v.items()}
+
+    units = {i: unit(bags[i]) for i in ex if bags[i]}
+    share = n1 / len(ex)
+    bare = [i for i in ex if not bags[i]]
+    out = {}
+    for i, _ in docs:
+        q = unit(bags[i])
+        cos = sorted(((sum(x * units[e].get(w, 0) for w, x in q.items()), e) for e in units), reverse=True)
+        cos = [(c, e) for c, e in cos if 0 < c < 1 - 1e-9]
+        near = [(c, e) for c, e in cos if len(cos) <= how.k or c >= cos[how.k - 1][0] - 1e-9]
+        if near:
+            out[i] = (sum(c * c * ex[e] for c, e in near) + how.prior * share) / (sum(c * c for c, e in near) + how.prior)
+        else:
+            out[i] = (sum(ex[e] for e in bare) + how.prior * share) / (len(bare) + how.prior)
+    return out
+
+
+def test_toxicity_equals_brute_force(spark):
+    docs, labels = toxic_cases()
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(0, 200)] + [(None, 1), (5, None)], "doc_id long, toxic int")
-    got = {x.doc_id: x for x in toxicity.score_toxicity(df, labels).collect()}
+    known = spark.createDataFrame(labels, "doc_id long, toxic int")
+    for how in (toxicity.Votes(), toxicity.Votes(block=8, first=1, k=7)):
+        got = {x.doc_id: x for x in toxicity.score_toxicity(df, known, how=how).collect()}
+        want = plain_scores(docs, labels, how)
+        assert {i: round(x.score, 6) for i, x in got.items()} == {i: round(x, 6) for i, x in want.items()}
     assert all(got[i].predicted == int(i % 5 == 0) for i in range(200, 300))
-    assert got[902].predicted == 1 and got[900].predicted == 0 and got[901].score == got[900].score and got[902].evidence
-    out = toxicity.score_toxicity(odd, labels)
-    assert out.count() == odd.count() and out.columns.count("score") == 1
-    assert toxicity.score_toxicity(void, labels).count() == 0
-    assert {x.score for x in toxicity.score_toxicity(df, labels.limit(0)).collect()} == {0.0}
+    assert got[902].predicted == 1 and got[902].evidence and got[900].score == got[901].score == got[903].score == got[904].score
+    assert got[905].score == got[906].score == got[10].score and got[905].evidence[0].id != 10
 
 
-def test_exact_nearest():
-    import numpy as np
-
-    r = random.Random(2)
-    how = toxicity.Votes(k=5, block=4)
-    vectors = list({tuple(sorted(r.sample(range(30), r.randint(1, 5)))) for _ in range(80)})
-    vecs = [(t, tuple(r.randint(1, 3) for _ in t)) for t in vectors]
-    idf = np.array([1 + r.random() for _ in range(30)])
-    index = toxicity.Index(vecs, [(1, 0, i) for i in range(len(vecs))], idf, how)
-    full = np.zeros((len(vecs), 30))
-    for i, (t, c) in enumerate(vecs):
-        full[i, list(t)] = index.weights(t, c)
-    for t, c in vecs[:40]:
-        best, cos = index.nearest(t, c)
-        q = np.zeros(30)
-        q[list(t)] = index.weights(t, c)
-        want = np.sort(full @ q)[::-1][: len(best)]
-        np.testing.assert_allclose(cos, want, atol=1e-9)
-
-
-@pytest.mark.parametrize("word,want", [("Idiots!", ["idiots", "idio-", "idiot-"]), ("a1b", ["a", "b"])])
-def test_terms(word, want):
-    assert toxicity.terms_of(word, (4, 5, 6)) == want
+def test_toxicity_odd_rows(spark, odd, void):
+    docs, labels = toxic_cases()
+    known = spark.createDataFrame(labels, "doc_id long, toxic int")
+    out = toxicity.score_toxicity(odd, known)
+    assert out.count() == odd.count() and out.columns.count("score") == 1
+    assert toxicity.score_toxicity(void, known).count() == 0
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {x.score for x in toxicity.score_toxicity(df, known.limit(0)).collect()} == {0.0}
+    twice = df.union(spark.createDataFrame([(0, "another text of this id")], df.schema))
+    assert toxicity.score_toxicity(twice, known).count() == len(docs) + 1
+    assert toxicity.clean_only(odd, known).columns == odd.columns
+
+
+def test_toxicity_held_out(spark):
+    sf = "/root/testdata/sf0.01"
+    got = toxicity.op10_nearest_examples(spark, sf)
+    both = got.join(spark.read.parquet(f"{sf}/labels.parquet").groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id").where("held_out")
+    n = {(r.toxic, r.predicted): r["count"] for r in both.groupBy("toxic", "predicted").count().collect()}
+    assert n[1, 1] >= 4 and n.get((0, 1), 0) <= 2
+    assert got.where("size(evidence) = 0").count() <= 10 and got.select("score").distinct().count() > 500
