@@ -192,6 +192,29 @@ def test_neighbours(spark):
     assert {r.vec_id for r in neighbours.nearest(df.where("vec_id < 3"), lambda i: i == 0).collect()} == {1, 2}
 
 
+def test_neighbours_of_each_length(spark):
+    rng = np.random.default_rng(5)
+    long, short = rng.normal(size=(300, 12)), rng.normal(size=(90, 3)) * 1e9
+    rows = [(i, x.tolist()) for i, x in enumerate(long)] + [(1000 + i, x.tolist()) for i, x in enumerate(short)] + [(40, long[41].tolist()), (40, long[40].tolist()), (2000, [1e-300] * 12)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    of = defaultdict(dict)
+    for r in neighbours.nearest(df, lambda i: i % 20 == 0, k=10).collect():
+        of[r.query_id][r.rank] = (r.vec_id, r.score)
+    assert set(of) == {i for i, _ in rows if i % 20 == 0} and all(sorted(x) == list(range(1, 11)) for x in of.values())
+    assert all(v < 1000 or v == 2000 for q, x in of.items() if q < 1000 for v, _ in x.values()) and all(1000 <= v < 2000 for q, x in of.items() if 1000 <= q < 2000 for v, _ in x.values())
+    hits = 0
+    for q in range(1000, 1090, 20):
+        s = short @ short[q - 1000]
+        s[q - 1000] = -np.inf
+        for v, score in of[q].values():
+            assert score == pytest.approx(s[v - 1000], rel=1e-12)
+        hits += len(set(np.argsort(-s)[:10] + 1000) & {v for v, _ in of[q].values()})
+    assert hits >= 45
+    assert all(v != 40 for v, _ in of[40].values())  # two vectors of one id: one list, nothing of its own id
+    best = {v: max(long[v] @ long[40], long[v] @ long[41]) for v in range(300) if v != 40}
+    assert [v for v, _ in (of[40][i] for i in (1, 2))] == sorted(best, key=best.get)[::-1][:2]
+
+
 def test_urls(spark):
     good = [f"https://news{i}.example.net/en/{i}?page=2" for i in range(60)]
     bad = [f"http://www.spam{i % 5}.example.net/casino/{i}?win=1" for i in range(60)]
