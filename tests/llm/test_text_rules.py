@@ -72,6 +72,56 @@ def test_compression_judges_every_chunk():
     assert [quality.compression(prose[:n], bands, packer)[1] for n in (1023, 1024, 1025, 2048, 2049)] == [0, 1, 2, 2, 3]
 
 
+def test_fitted_bands_equal_brute_force(spark):
+    import numpy as np
+    import zstandard
+
+    packer, r = zstandard.ZstdCompressor(level=3), random.Random(7)
+    vocab = ["".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 9))) for _ in range(3000)]
+    prose = lambda n: " ".join(r.choice(vocab) for _ in range(n))
+    noise = lambda n: " ".join("".join(chr(r.randint(33, 126)) for _ in range(6)) for _ in range(n))
+    loop = lambda n: " ".join(f"{r.choice(vocab[:3])}{i % 40:02}" for i in range(n))
+    texts = [prose(r.randint(20, 900)) for _ in range(600)] + [noise(300), noise(200), loop(400), prose(500) + noise(500), prose(300) + " " + loop(300)]
+    texts += [texts[0]] * 500 + [None, "", "one two"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    fit = quality.Fit()
+    got = {x.doc_id: x for x in quality.compression_bands(df).collect()}
+    raws = {t: t.encode() for t in texts if t and not quality.base_failed(plain_counts(t))}
+    ratio = lambda b: len(packer.compress(b)) / len(b)
+    cut = lambda b: [b[i : i + 1024] if i + 1024 <= len(b) else b[-1024:] for i in range(0, len(b), 1024)] if len(b) >= 1024 else []
+    by = {}
+    for raw in raws.values():
+        by.setdefault(int(np.log2(len(raw))), []).append(ratio(raw))
+        by.setdefault("chunk", []).extend(map(ratio, cut(raw)))
+    band = {}
+    for o, x in by.items():
+        if len(x) >= fit.least:
+            q1, q3 = np.quantile(x, [0.25, 0.75])
+            band[o] = (q1 - fit.below * (q3 - q1), q3 + fit.above * (q3 - q1))
+    assert len(band) > 3
+    for i, t in enumerate(texts):
+        if t in raws:
+            raw = raws[t]
+            o = int(np.log2(len(raw)))
+            if o not in band:
+                continue
+            past = np.log2(len(raw)) - o - 0.5
+            other = band.get(o + (1 if past > 0 else -1), band[o])
+            low, high = (a + (b - a) * abs(past) for a, b in zip(band[o], other, strict=True))
+            odd = sum(not band["chunk"][0] <= ratio(c) <= band["chunk"][1] for c in cut(raw))
+            assert got[i].kept == (low <= ratio(raw) <= high and odd <= 0.1 * len(cut(raw))), i
+        else:
+            assert not got[i].kept
+    assert [got[i].kept for i in range(600, 605)] == [False] * 5 and sum(got[i].kept for i in range(600)) >= 597
+
+
+def test_fitted_bands_reject_junk_of_the_sample_table(spark):
+    sf = "/root/testdata/sf0.1"
+    out = quality.op1_compression_bands(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet").groupBy("doc_id").agg(F.min("quality").alias("quality")), "doc_id", "left")
+    n = {r.quality: (r.bad, r.of) for r in out.where("not base_failed").groupBy("quality").agg(F.count_if("not kept").alias("bad"), F.count(F.lit(1)).alias("of")).collect()}
+    assert n[0][0] >= 50 and n[1][0] <= 0.002 * n[1][1]
+
+
 def test_line_dedup(spark, odd, void):
     pages = [(i, "host", f"menu\nbody {i} only\n\nmenu " if i < 6 else f"body {i}", "x") for i in range(12)] + [(99, None, "menu\nalone", "x"), (98, "small", "menu\nmenu", "x"), (97, "host", None, "x")]
     df = spark.createDataFrame(pages, "doc_id long, source string, text string, n_dropped string")
