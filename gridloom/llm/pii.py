@@ -38,13 +38,11 @@ INSTANCE = rf"{SPACED}|(?<!\S)(?![^\s0-9@+]*+{SPACED})(?:{RUN}|[^\s0-9@]*+[0-9@]
 @dataclass(frozen=True)
 class Bootstrap:
     """rounds: of scoring, which ends when one finds nothing new; more than this many raise. support: least distinct seeds of a pattern; confidence: least share of
-    a pattern's instances, and least score of an instance; shortest, longest: characters of an instance."""
+    a pattern's instances, and least score of an instance."""
 
     rounds: int = 100
     support: int = 5
     confidence: float = 0.9
-    shortest: int = 6
-    longest: int = 100
 
 
 def let(value: Column, body) -> Column:
@@ -106,8 +104,24 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*every))
 
 
-def _instances(text: Column, how: Bootstrap) -> Column:
-    """Matches of INSTANCE: array of (start, end, token, left, right), two words on either side (fewer only at the text's ends), digits as 0."""
+def _last_words(before: Column, tail: int = 60) -> Column:
+    """The last two words. Mostly the end of the text shows both; else, as among very long words, all of it is cut."""
+    end = F.substring(before, F.greatest(F.length(before) - tail, F.lit(0)) + 1, F.lit(tail))
+    near = F.regexp_extract(end, r"(?:\S+\s+)?\S+\s*$", 0)
+    every = let(F.split(F.trim(F.regexp_replace(before, r"\s+", " ")), " "), lambda w: F.array_join(F.slice(w, F.greatest(F.size(w) - 1, F.lit(1)), F.lit(2)), " "))
+    return F.when((F.length(before) <= tail) | end.rlike(r"\s\S+\s+\S+\s*$"), near).otherwise(every)
+
+
+def _key(c: Column, most: int = 100) -> Column:
+    """A string to tell equal tokens or contexts by: longer ones as their digest."""
+    return F.when(F.length(c) > most, F.concat(F.lit("sha2 "), F.sha2(c, 256))).otherwise(c)
+
+
+def _instances(text: Column) -> Column:
+    """Matches of INSTANCE: array of (start, end, token, left, right), two words on either side (fewer only at the text's ends), digits as 0.
+
+    Tokens and words may have any length; those of more than 100 characters are told by their digests.
+    """
     both = F.struct(F.regexp_extract_all(text, F.lit(INSTANCE), F.lit(0)).alias("found"), F.split(text, INSTANCE, -1).alias("pieces"))
 
     def before(z: Column, i: Column) -> Column:  # up to two instances back, so that neighbours are context too
@@ -119,18 +133,15 @@ def _instances(text: Column, how: Bootstrap) -> Column:
     def around(z: Column) -> Column:
         return let(_starts(z.pieces, z.found), lambda t: F.transform(z.found, lambda m, i: F.struct(F.get(t, i).alias("start"), m.alias("m"), before(z, i).alias("before"), after(z, i).alias("after"))))
 
-    raw = let(both, around)
-    short = F.filter(raw, lambda x: F.length(x.m) <= how.longest)
-
     def cut(x: Column) -> Column:
         lead = F.length(F.regexp_extract(x.m, r"^(?:(?!\([0-9]+\))[^\p{L}\p{N}@+])*+", 0))
-        core = F.regexp_replace(F.substring(x.m, lead + 1, F.lit(how.longest)), r"[^\p{L}\p{N}]+$", "")
-        plain = lambda c: F.regexp_replace(F.lower(c), "[0-9]", "0")
-        left = F.regexp_extract(F.substring(x.before, F.greatest(F.length(x.before) - 60, F.lit(1)), F.lit(61)), r"(?:\S+\s+)?\S+\s*$", 0)
-        right = F.regexp_extract(F.substring(x.after, F.lit(1), F.lit(60)), r"^[^\s\p{L}\p{N}]*+\s*+(\S+(?:\s+\S+)?)", 1)
-        return F.struct((x.start + lead).alias("start"), (x.start + lead + F.length(core)).alias("end"), core.alias("token"), plain(F.trim(F.regexp_replace(left, r"\s+", " "))).alias("left"), plain(F.regexp_replace(right, r"\s+", " ")).alias("right"))
+        core = F.regexp_replace(F.substring(x.m, lead + 1, F.length(x.m)), r"[^\p{L}\p{N}]++$", "")
+        plain = lambda c: _key(F.regexp_replace(F.lower(c), "[0-9]", "0"))
+        left = let(x.before, _last_words)
+        right = F.regexp_extract(x.after, r"^[^\s\p{L}\p{N}]*+\s*+(\S++(?:\s++\S++)?+)", 1)
+        return F.struct((x.start + lead).alias("start"), (x.start + lead + F.length(core)).alias("end"), _key(core).alias("token"), plain(F.trim(F.regexp_replace(left, r"\s+", " "))).alias("left"), plain(F.regexp_replace(right, r"\s+", " ")).alias("right"))
 
-    out = F.filter(F.transform(short, cut), lambda x: F.length(x.token) >= how.shortest)
+    out = F.filter(F.transform(let(both, around), cut), lambda x: x.end > x.start)
     kind = "array<struct<start:int,end:int,token:string,left:string,right:string>>"
     return F.when(text.rlike("[0-9@]"), out).otherwise(F.array().cast(kind)).cast(kind)
 
@@ -182,7 +193,7 @@ def personal_data(docs: DataFrame, text: str = "text", how: Bootstrap = Bootstra
     a, b = fresh(docs, "hash_a"), fresh(docs, "hash_b")
     whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     rest = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in (text.lower(), "base", "spans")]
-    scanned = docs.select(*rest, F.xxhash64(whole).alias(a), F.xxhash64(F.lit(1), whole).alias(b), base_spans(whole).alias("base"), _instances(whole, how).alias("__instances"))
+    scanned = docs.select(*rest, F.xxhash64(whole).alias(a), F.xxhash64(F.lit(1), whole).alias(b), base_spans(whole).alias("base"), _instances(whole).alias("__instances"))
     scanned = materialize(scanned, "scanned")
     found = discover(scanned.select(F.col("base").alias("spans"), F.col("__instances").alias("instances")), how)
     out = scanned.drop("__instances")
