@@ -1,17 +1,20 @@
 """URL filters: explicit host rules first, then rules mined from labelled pages.
 
 The mined rules are association rules. Each URL becomes a set of tokens (top-level domain, host
-suffixes, host words, path words, query keys). FP-growth over the labelled URLs, with the label as one more
-token, gives token combinations that imply BLOCK; those with enough support and confidence are
-kept and matched by an inverted index on the rarest token of each combination.
+suffixes, words of subdomains and paths, query keys). FP-growth over the blocked URLs gives token
+combinations with enough support; how many of all labelled URLs have them, and so their confidence, is
+counted by matching. Matching is by an inverted index on the rarest token of each combination, for
+counting as for judging.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
+from collections.abc import Iterable
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,9 +25,6 @@ from ._common import BROADCAST_ROWS, add_from_column, materialize, table
 #: (host, path, verdict)
 HOST_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 
-BLOCK = "label=block"
-
-
 @dataclass(frozen=True)
 class Mining:
     """support: least share of the labelled URLs with the tokens and the block label, and least_rows
@@ -63,12 +63,12 @@ def url_tokens(url: str | None) -> list[str]:
     if not url or "://" not in url:
         return []
     rest = url.split("://", 1)[1]
-    host = re.match(r"[^/?#]*", rest).group().lower()
+    host = re.match(r"[^/?#]*", rest).group()
     tail = rest[len(host) :]
-    parts = host.split(".")
+    parts = host.lower().split(".")
     out = {f"tld={parts[-1]}"}
     out |= {f"host={'.'.join(parts[i:])}" for i in range(max(0, len(parts) - 4), len(parts) - 1)}
-    out |= {f"h:{w}" for w in _CUT.split(host) if w}
+    out |= {f"h:{w}" for part in parts[:-2] for w in _CUT.split(part) if w}
     path, _, query = tail.split("#", 1)[0].partition("?")
     out |= {f"p:{re.sub('[0-9]+', '0', w)}" for w in _CUT.split(path.lower()) if w}
     out |= {f"q:{k}" for k in (x.split("=", 1)[0].lower() for x in query.split("&")) if k}
@@ -82,30 +82,59 @@ def with_tokens(pages: DataFrame, url: str) -> DataFrame:
 def mine_rules(labelled: DataFrame, mining: Mining = Mining()) -> DataFrame:
     """labelled: tokens, blocked. Returns tokens, confidence, support of the rules kept, materialized.
 
-    An empty table, or one without blocked rows, has no rules. The counts that FP-growth gets are
-    over all labelled rows.
+    support is the share of all labelled rows that are blocked and have the tokens. A rule that another
+    with some of its tokens matches in confidence is left out, since it decides nothing. An empty
+    table, or one without blocked rows, has no rules.
     """
     spark = labelled.sparkSession
-    items = labelled.where(F.size("tokens") > 0).select(F.when(F.col("blocked"), F.array_append("tokens", F.lit(BLOCK))).otherwise(F.col("tokens")).alias("items"))
-    items = materialize(items, "transactions")
-    n, bad = items.agg(F.count(F.lit(1)), F.count_if(F.array_contains("items", BLOCK))).first()
+    rows = materialize(labelled.where(F.size("tokens") > 0).select("tokens", F.col("blocked").alias("blocked")), "transactions")
+    n, bad = rows.agg(F.count(F.lit(1)), F.count_if("blocked")).first()
     empty = spark.createDataFrame([], "tokens array<string>, confidence double, support double")
-    if not bad:
+    least = max(mining.support * n, mining.least_rows)
+    if not bad or least > bad:
         return empty
-    least = max(mining.support, mining.least_rows / n)
-    if least > 1:
-        return empty
-    found = FPGrowth(itemsCol="items", minSupport=least, minConfidence=mining.confidence).fit(items).associationRules
-    rules = found.where((F.col("consequent")[0] == BLOCK) & (F.size("antecedent") <= mining.longest))
-    return materialize(rules.select(F.col("antecedent").alias("tokens"), "confidence", "support"), "rules")
+    items = rows.where("blocked").select(F.col("tokens").alias("items")).repartition(spark.sparkContext.defaultParallelism)
+    found = FPGrowth(itemsCol="items", minSupport=least / bad, minConfidence=1.0, numPartitions=spark.sparkContext.defaultParallelism).fit(items).freqItemsets
+    sets = materialize(found.where((F.size("items") <= mining.longest) & (F.col("freq") >= least)).select(F.array_sort("items").alias("tokens"), F.col("freq").alias("bad")), "itemsets")
+    counted = _matches(rows.select("tokens"), sets.select("tokens")).join(sets, "tokens")
+    rules = counted.select("tokens", (F.col("bad") / F.col("n")).alias("confidence"), (F.col("bad") / n).alias("support")).where(F.col("confidence") >= mining.confidence)
+    rules = materialize(rules, "rules")
+    shorter = F.filter(F.transform(F.sequence(F.lit(1), F.lit((1 << mining.longest) - 2)), lambda bits: F.filter("tokens", lambda _, i: F.floor(bits / F.pow(F.lit(2), i)) % 2 == 1)), lambda t: (F.size(t) > 0) & (F.size(t) < F.size("tokens")))
+    parts = rules.select("tokens", "confidence", F.explode(F.array_distinct(shorter)).alias("part"))
+    beaten = parts.join(rules.select(F.col("tokens").alias("part"), F.col("confidence").alias("as_good")), "part").where("as_good >= confidence").select("tokens").distinct()
+    return materialize(rules.join(beaten, "tokens", "left_anti"), "rules")
+
+
+def _postings(rules: DataFrame) -> DataFrame:
+    """tokens of each rule under its rarest token: t, need."""
+    freq = rules.select(F.explode("tokens").alias("t")).groupBy("t").count()
+    return rules.select(F.col("tokens").alias("need"), F.explode("tokens").alias("t")).join(freq, "t").groupBy("need").agg(F.min_by("t", F.struct("count", "t")).alias("t"))
 
 
-def _index(rules: list, df: dict[str, int]) -> dict[str, list]:
-    """Postings by each rule's rarest token."""
-    index = defaultdict(list)
-    for tokens, confidence in rules:
-        index[min(tokens, key=lambda t: (df.get(t, 0), t))].append((frozenset(tokens), confidence))
-    return dict(index)
+def _matches(transactions: DataFrame, rules: DataFrame) -> DataFrame:
+    """tokens of each rule and the number n of transactions (column tokens) that have them.
+
+    Sums start in the tasks. The index goes to the tasks while it has up to BROADCAST_ROWS rules;
+    a larger one is joined on the rarest tokens, over distinct transactions with their counts.
+    """
+    postings = materialize(_postings(rules), "postings")
+    if postings.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        index = defaultdict(list)
+        for r in postings.collect():
+            index[r.t].append((frozenset(r.need), tuple(r.need)))
+
+        def run(batches: Iterable[pa.RecordBatch]):
+            sums: Counter = Counter()
+            for b in batches:
+                for have in b.column(0).to_pylist():
+                    whole = set(have)
+                    sums.update(name for t in have for need, name in index.get(t, ()) if need <= whole)
+            yield pa.RecordBatch.from_arrays([pa.array([list(k) for k in sums], pa.list_(pa.string())), pa.array(list(sums.values()), pa.int64())], names=["tokens", "n"])
+
+        return transactions.mapInArrow(run, "tokens array<string>, n long").groupBy("tokens").agg(F.sum("n").alias("n"))
+    distinct = transactions.groupBy("tokens").agg(F.count(F.lit(1)).alias("n"))
+    hits = distinct.withColumn("t", F.explode("tokens")).join(postings, "t").where(F.size(F.array_except("need", "tokens")) == 0)
+    return hits.groupBy(F.col("need").alias("tokens")).agg(F.sum("n").alias("n"))
 
 
 def match_rules(pages: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
@@ -114,10 +143,11 @@ def match_rules(pages: DataFrame, rules: DataFrame, url: str = "url") -> DataFra
     The index goes to the tasks while it has up to BROADCAST_ROWS rules, and the pages are then
     matched where they are. A larger one is joined on the rules' rarest token, over distinct URLs.
     """
-    count = rules.limit(BROADCAST_ROWS + 1).count()
-    freq = rules.select(F.explode("tokens").alias("t")).groupBy("t").count()
-    if count <= BROADCAST_ROWS:
-        index = _index([(r.tokens, r.confidence) for r in rules.select("tokens", "confidence").collect()], {r["t"]: r["count"] for r in freq.collect()})
+    postings = materialize(_postings(rules).join(rules.select(F.col("tokens").alias("need"), "confidence"), "need"), "postings")
+    if postings.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        index = defaultdict(list)
+        for r in postings.collect():
+            index[r.t].append((frozenset(r.need), r.confidence))
 
         def best(u):
             have = url_tokens(u)
@@ -125,12 +155,8 @@ def match_rules(pages: DataFrame, rules: DataFrame, url: str = "url") -> DataFra
             return max((c for t in have for need, c in index.get(t, ()) if need <= whole), default=None)
 
         return add_from_column(pages, url, [T.StructField("mined", T.DoubleType())], lambda: lambda urls: {"mined": [best(u) for u in urls]})
-    keyed = rules.withColumn("id", F.monotonically_increasing_id())
-    keyed = materialize(keyed, "keyed")
-    rarest = keyed.select("id", F.explode("tokens").alias("t")).join(freq, "t").groupBy("id").agg(F.min_by("t", F.struct("count", "t")).alias("t"))
-    posting = keyed.select("id", F.col("tokens").alias("need"), "confidence").join(rarest, "id")
     distinct = with_tokens(pages.select(F.col(url).alias("u")).where(F.col("u").isNotNull()).distinct(), "u")
-    hits = distinct.withColumn("t", F.explode("tokens")).join(posting, "t").where(F.size(F.array_except("need", "tokens")) == 0)
+    hits = distinct.withColumn("t", F.explode("tokens")).join(postings, "t").where(F.size(F.array_except("need", "tokens")) == 0)
     mined = materialize(hits.groupBy("u").agg(F.max("confidence").alias("mined")), "mined")
     left = pages.drop("mined")
     return left.join(mined.withColumnRenamed("u", "__u"), left[url] == F.col("__u"), "left").drop("__u")

@@ -4,6 +4,7 @@ import random
 import re
 import zlib
 from collections import defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -228,6 +229,42 @@ def test_urls(spark):
     assert urls.judge_urls(pages, known.limit(0)).where("verdict = 'block'").count() == 3 and urls.judge_urls(pages.limit(0), known).count() == 0
 
 
+def plain_rules(rows: list[tuple[list, bool]], how) -> dict:
+    """Confidence of every token combination that passes, by trying all."""
+    has = defaultdict(lambda: [0, 0])
+    for tokens, blocked in rows:
+        for k in range(1, how.longest + 1):
+            for c in combinations(tokens, k):
+                has[c][0] += 1
+                has[c][1] += blocked
+    return {c: b / n for c, (n, b) in has.items() if b >= max(how.support * len(rows), how.least_rows) and b / n >= how.confidence}
+
+
+@pytest.mark.parametrize("limit", [_common.BROADCAST_ROWS, 0])
+def test_mined_rules_equal_brute_force(spark, monkeypatch, limit):
+    monkeypatch.setattr(urls, "BROADCAST_ROWS", limit)
+    r = random.Random(8)
+    how = urls.Mining(support=0.01, least_rows=4, confidence=0.7)
+
+    def url():
+        w = lambda x: r.choice(x)
+        return f"http://{w(['www', 'm', 'shop1', 'x-y'])}.{w(['a', 'b', 'c'])}.{w(['net', 'io'])}/{w(['en', 'de', 'casino', 'news'])}/{w(['win', 'read', '77', 'İİx'])}?{w(['page', 'ref', 'id'])}=1"
+
+    known = [(u, r.random() < (0.9 if "casino" in u and "win" in u else 0.8 if "b.io" in u else 0.2)) for u in (url() for _ in range(700))] + [("http://" + "a" * 60_000 + ".net/" + "/".join(map(str, range(3000))), True), (None, True), ("none", False)]
+    rows = [(urls.url_tokens(u), b) for u, b in known if urls.url_tokens(u)]
+    want = plain_rules(rows, how)
+    df = spark.createDataFrame(known, "url string, blocked boolean").repartition(3)
+    rules = urls.mine_rules(urls.with_tokens(df, "url").select("tokens", "blocked"), how)
+    got = {tuple(x.tokens): x.confidence for x in rules.collect()}
+    assert got and all(want[c] == pytest.approx(p) for c, p in got.items())
+    assert {c for c in want if all(want.get(s, 0) < want[c] for k in range(1, len(c)) for s in combinations(c, k))} == set(got)
+    asked = [url() for _ in range(300)] + [None, "x://İİ.net/casino/win"]
+    best = [max((p for c, p in want.items() if set(c) <= set(urls.url_tokens(u))), default=None) for u in asked]
+    out = urls.match_rules(spark.createDataFrame(list(enumerate(asked)), "i int, url string"), rules)
+    assert [x.mined for x in out.orderBy("i").collect()] == [p if p is None else pytest.approx(p) for p in best]
+    assert 50 < sum(p is not None for p in best) < 250
+
+
 def test_urls_large_index(spark, monkeypatch):
     rules = _common.materialize(spark.createDataFrame([(["p:casino", "q:win"], 0.9, 0.1), (["p:casino"], 0.8, 0.1), (["p:x"], 0.7, 0.1)], "tokens array<string>, confidence double, support double"), "r")
     pages = spark.createDataFrame([(0, "http://a.net/casino?win=1"), (1, "http://a.net/casino"), (2, "http://a.net/y"), (3, None), (0, "http://a.net/casino?win=1")], "page_id long, url string")
