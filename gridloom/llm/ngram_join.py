@@ -6,15 +6,19 @@ global order of the tokens. Several orders are used:
 * The first puts a slice of the tokens, cut by hash, before the rest, and in the slice the tokens
   of fewest documents first. Most prefixes then hold tokens of one document only and match nothing.
   Documents that share prefix tokens are joined into classes; linked documents are in one class.
-* Inside a class, two more orders by independent hashes are intersected: a pair must share a prefix
-  token in both before its sets are compared. Pairs already connected are not compared.
+* Classes too large for a task are split by two more orders by independent hashes: documents stay
+  together only if they share prefix tokens, directly or by others, under each of them as well.
+* Inside a class, those two orders are intersected for each pair before its sets are compared.
+  Pairs already connected are not compared.
 
 Documents with equal sets are one node from the start. No pair is emitted but the links that join
-two parts of a component, so a group of near copies costs its size, not its square, in rows.
+two parts of a component, so a group of near copies costs its size, not its square, in rows. Tokens
+of very many documents are found on a sample and salted.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 from dataclasses import dataclass
 
@@ -25,19 +29,24 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import BROADCAST_ROWS, few_rows, materialize, table
+from ._common import BROADCAST_ROWS, few_rows, fresh, materialize, spread, table
 from .graph import components
 
+#: Seeds of the orders by hash.
+ORDERS = (np.uint64(0x165667B19E3779F9), np.uint64(0x27D4EB2F165667C5))
+
 
 @dataclass(frozen=True)
 class Join:
     """words of a shingle; percent: least similarity; slice_: tokens whose documents are counted, as
-    multiples of the prefix; block: most documents of a class that one task compares."""
+    multiples of the prefix; block: most documents of a class that one task compares; hot: a token of more
+    than this share of the documents is salted."""
 
     words: int = 3
     percent: int = 90
     slice_: float = 2.0
-    block: int = 3000
+    block: int = 1000
+    hot: float = 0.001
 
     def prefix(self, n):
         """Length of the prefix of a set of n tokens, in whole numbers."""
@@ -80,43 +89,67 @@ def shingles(text: str | None, k: int, known: dict) -> np.ndarray:
     return np.unique(h.view(np.int64))
 
 
+def fingerprint(tokens: bytes) -> int:
+    """A set, by its sorted tokens, as a signed 64-bit number; sets are told by it."""
+    return xxhash.xxh64_intdigest(tokens) - (1 << 63)
+
+
+def _text_hash(text: str):
+    return F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))
+
+
 def _first_pass(docs: DataFrame, id_col: str, text: str, how: Join) -> DataFrame:
-    """id, n, fp (of the set; null if empty), slice and spill: the slice's tokens, and those of the rest that the prefix reaches."""
-    names = ["id", "n", "fp", "slice", "spill"]
+    """id, h, n, fp (of the set; null if empty), slice and spill: the slice's tokens, and those of the rest that the prefix reaches."""
+    names = ["id", "h", "n", "fp", "slice", "spill"]
 
     def run(batches: Iterable[pa.RecordBatch]):
         known = _Hashes()
         bar = how.bar
         for b in few_rows(batches):
             rows: list[list] = [[] for _ in range(4)]
-            for t in b.column(1).to_pylist():
+            for t in b.column(2).to_pylist():
                 s = shingles(t, how.words, known)
                 cut = int(np.searchsorted(s, bar))
                 need = how.prefix(len(s)) - cut if len(s) else 0
-                for to, v in zip(rows, (len(s), xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None, s[:cut], s[cut : cut + max(0, need)]), strict=True):
+                for to, v in zip(rows, (len(s), fingerprint(s.tobytes()) if len(s) else None, s[:cut], s[cut : cut + max(0, need)]), strict=True):
                     to.append(v)
             longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], longs), pa.array(rows[3], longs)], names=names)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], longs), pa.array(rows[3], longs)], names=names)
+
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), _text_hash(text).alias("h"), F.col(f"`{text}`")).mapInArrow(run, "id long, h long, n long, fp long, slice array<long>, spill array<long>")
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), text).mapInArrow(run, "id long, n long, fp long, slice array<long>, spill array<long>")
 
+def _hot_tokens(nodes: DataFrame, n: int, how: Join, rows: int = 20_000) -> DataFrame:
+    """Tokens of the slices that more than how.hot of a sample of nodes have; at most the tokens of a node / how.hot of them."""
+    some = nodes if n <= rows else nodes.where(F.pmod(F.xxhash64(F.lit(3), "node"), F.lit(1 << 20)) < int(rows / n * (1 << 20)) + 1)
+    return some.select(F.explode("slice").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > max(2, int(how.hot * min(n, rows)))).select("token", F.lit(True).alias("hot"))
 
-def _prefixes(nodes: DataFrame, how: Join) -> DataFrame:
+
+def _prefixes(nodes: DataFrame, how: Join, salts: int = 64) -> DataFrame:
     """token, node of the prefixes by the first order, without tokens of one document."""
+    hot = materialize(_hot_tokens(nodes, nodes.count(), how), "hot")
+    salt = F.when(F.col("hot"), F.pmod("node", F.lit(salts)) + 1).otherwise(0).cast("int")
     # dealt by token once: counting and joining both read this exchange (counting node keeps its column in it)
-    rows = nodes.select("node", F.explode("slice").alias("token")).where("node is not null and token is not null").repartition("token")
-    counts = rows.groupBy("token").agg(F.count("node").alias("df")).where("df > 1")
-    shared = rows.join(counts, "token").groupBy("node").agg(F.collect_list(F.struct("df", "token")).alias("shared"))
+    rows = nodes.select("node", F.explode("slice").alias("token")).where("node is not null and token is not null")
+    rows = rows.join(F.broadcast(hot), "token", "left").select("token", salt.alias("salt"), "node").repartition("token", "salt")
+    counts = rows.groupBy("token", "salt").agg(F.count("node").alias("df")).where("df > 1 or salt > 0")
+    shared = rows.join(counts, ["token", "salt"])
+    totals = nodes.select(F.explode("slice").alias("token")).join(F.broadcast(hot), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("total"))
+    shared = shared.join(F.broadcast(totals), "token", "left").withColumn("df", F.coalesce("total", "df")).where("df > 1")
+    shared = shared.groupBy("node").agg(F.collect_list(F.struct("df", "token")).alias("shared"))
     need = F.expr(f"n - ({how.percent} * n + 99) div 100 + 1") - (F.size("slice") - F.size("shared"))
     picked = F.transform(F.slice(F.array_sort("shared"), F.lit(1), F.greatest(need, F.lit(0)).cast("int")), lambda x: x.token)
     first = nodes.join(shared, "node").select("node", F.explode(picked).alias("token"))
     return first.union(nodes.select("node", F.explode("spill").alias("token")))
 
 
-def _classes(entries: DataFrame) -> DataFrame:
-    """node, component of the nodes that share a prefix token with another; each token ties its nodes to the smallest."""
-    hubs = entries.groupBy("token").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    return components(entries.join(hubs, "token").select(F.col("node").alias("u"), F.col("hub").alias("v")))
+def _classes(entries: DataFrame, how: Join) -> DataFrame:
+    """node, component of the nodes that share a token with another; each token ties its nodes to the smallest. entries: materialized."""
+    hubs = materialize(entries.groupBy("token").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1"), "hubs")
+    many = max(100, int(how.hot * (hubs.agg(F.sum("c")).first()[0] or 0)))
+    hot = F.broadcast(hubs.where(F.col("c") > many).drop("c"))  # fewer than 1 / how.hot
+    ties = entries.join(hot, "token").union(entries.join(hot, "token", "left_anti").join(hubs.where(F.col("c") <= many).drop("c"), "token").select("token", "node", "hub"))
+    return components(ties.select(F.col("node").alias("u"), F.col("hub").alias("v")))
 
 
 def linked(sets: list[np.ndarray], part: list[int], how: Join, other: int | None = None) -> list[tuple[int, int]]:
@@ -133,7 +166,7 @@ def linked(sets: list[np.ndarray], part: list[int], how: Join, other: int | None
     vocab, local = np.unique(flat, return_inverse=True)
     starts = np.concatenate(([0], np.cumsum(sizes)))
     posts = []
-    for salt in (np.uint64(0x165667B19E3779F9), np.uint64(0x27D4EB2F165667C5)):
+    for salt in ORDERS:
         order = _mix(vocab.view(np.uint64), salt).argsort().argsort()[local]
         by = np.lexsort((order, owner))
         at = np.arange(len(flat)) - starts[owner]
@@ -202,76 +235,133 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     Null texts, empty texts and texts without words have no shingles and are linked with nothing:
     their component is their own. Rows with equal sets are linked. A null id takes part under no
     name: it gets a null component unless linked. Repeated rows come back as often as they stand.
+    Where an id stands on different texts, each text is a document of its own with its own links.
     Whole texts count, whatever their length; columns other than id and text are left out. Shingles
-    are compared by 64-bit hashes.
+    are compared by 64-bit hashes. An empty table gives no rows.
     """
+    return _components(docs, id_col, text, how).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
+
+
+def _components(docs: DataFrame, id_col: str, text: str, how: Join) -> DataFrame:
+    """id, h (hash of the text), n, fp, part (null without shingles) and least, the smallest id of the part; materialized."""
     first = materialize(_first_pass(docs, id_col, text, how), "shingles")
-    nodes = first.where("fp is not null and id is not null").groupBy("fp").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("slice").alias("slice"), F.first("spill").alias("spill"))
+    nodes = first.where("fp is not null").groupBy(F.col("fp").alias("node")).agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("slice").alias("slice"), F.first("spill").alias("spill"))
     nodes = materialize(nodes, "nodes")
-    classes = _classes(materialize(_prefixes(nodes, how), "prefixes"))
-    links = _links(docs, id_col, text, classes, how)
-    found = components(links)
-    per_set = nodes.select("fp", "node").join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    out = first.select("id", "n", "fp").join(per_set, "fp", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    classes = _classes(materialize(_prefixes(nodes, how), "prefixes"), how)
+    links = _links(docs, id_col, text, nodes.select("node", "id").join(classes, "node"), how)
+    found = nodes.select("node", "id").join(components(links), "node", "left").select(F.col("node").alias("fp"), F.coalesce("component", "node").alias("part"), "id")
+    found = materialize(found, "parts")
+    smallest = found.groupBy("part").agg(F.min("id").alias("least"))
+    out = first.select("id", "h", "n", "fp").join(found.drop("id").join(smallest, "part"), "fp", "left")
+    return materialize(out, "components_of")
 
 
 def _links(docs: DataFrame, id_col: str, text: str, classes: DataFrame, how: Join) -> DataFrame:
-    """Links that hold the components together: (u, v)."""
+    """Links that hold the components together: (u, v). classes: node, id of a row with its text, component."""
+    classes = materialize(classes.where("id is not null"), "members")
     few = classes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    some = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text).alias("text")).join(F.broadcast(classes) if few else classes, "node")
+    some = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).join(F.broadcast(classes) if few else classes, "id")
 
     def whole(batches: Iterable[pa.RecordBatch]):
         known = _Hashes()
         for b in few_rows(batches):
-            got = [shingles(t, how.words, known).tobytes() for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("component"), pa.array([len(g) // 8 for g in got], pa.int64()), pa.array(got, pa.binary())], names=["node", "cls", "n", "tokens"])
+            sets = [shingles(t, how.words, known).tobytes() for t in b.column(2).to_pylist()]
+            own = [i for i, (g, node) in enumerate(zip(sets, b.column(0).to_pylist(), strict=True)) if fingerprint(g) == node]  # an id may stand on other texts too
+            got = [sets[i] for i in own]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(own, pa.int64())), b.column(1).take(pa.array(own, pa.int64())), pa.array([len(g) // 8 for g in got], pa.int64()), pa.array(got, pa.binary())], names=["node", "cls", "n", "tokens"])
 
     sets = some.select("node", "component", "text").mapInArrow(whole, "node long, cls long, n long, tokens binary")
     sets = materialize(sets.dropDuplicates(["node"]), "sets")
-    sizes = sets.groupBy("cls").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("all"))
-    blocks = F.ceil(F.greatest(F.col("m") / how.block, F.col("all") / (how.block * 300))).cast("int")
-    plain = sizes.select("cls", blocks.alias("blocks"))
-    plain = materialize(plain, "classes")
-    tagged = sets.join(plain, "cls")
-    alone = tagged.where("blocks = 1").select(F.struct("cls", F.lit(0).alias("i"), F.lit(0).alias("j")).alias("grp"), F.lit(-1).alias("side"), "node", F.col("node").alias("part"), "tokens")
+    for seed in ORDERS:
+        large = sets.groupBy("cls").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > how.block).select("cls")
+        large = materialize(large, "large")
+        if large.isEmpty():
+            break
+        sets = _split(sets, large, seed, how)
+    bin_ = F.floor(F.log("n") / math.log(100 / how.percent)).cast("int")  # linked sets are in one bin or in two next to each other
+    binned = sets.withColumn("bin", bin_)
+    sizes = binned.groupBy("cls", "bin").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("all"))
+    parts = F.ceil(F.greatest(F.col("m") / how.block, F.col("all") / (how.block * 300))).cast("int")
+    per_class = sizes.groupBy("cls").agg(F.sum("m").alias("of"), F.sum("all").alias("tokens_of"))
+    plain = sizes.select("cls", "bin", parts.alias("blocks")).join(per_class, "cls")
+    plain = materialize(plain.select("cls", "bin", "blocks", ((F.col("of") <= how.block) & (F.col("tokens_of") <= how.block * 300)).alias("small")), "classes")
+    tagged = binned.join(plain, ["cls", "bin"])
+    alone = tagged.where("small").select(F.struct("cls", F.lit("").alias("i"), F.lit("").alias("j")).alias("grp"), F.lit(-1).alias("side"), "node", F.col("node").alias("part"), "tokens")
     found = materialize(_compare(alone, how), "links")
-    if plain.where("blocks > 1").isEmpty():
+    if plain.where("not small").isEmpty():
         return found
-    return found.union(_large_classes(tagged.where("blocks > 1"), how))
+    return found.union(_large_classes(tagged.where("not small"), how))
+
+
+def _split(sets: DataFrame, large: DataFrame, seed: np.uint64, how: Join) -> DataFrame:
+    """The sets, with the large classes split by shared prefix tokens under one more order; who shares none goes. Materialized."""
+
+    def heads(batches: Iterable[pa.RecordBatch]):
+        for b in few_rows(batches):
+            nodes, tokens = [], []
+            for node, cls, raw in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                s = np.frombuffer(raw, np.int64)
+                order = _mix(s.view(np.uint64), seed)
+                head = s[np.argsort(order)[: how.prefix(len(s))]]
+                tokens.append(_mix(head.view(np.uint64), np.uint64(cls & (1 << 64) - 1) | np.uint64(1)).view(np.int64))  # a token of this class
+                nodes.append(np.full(len(head), node))
+            if nodes:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.concatenate(nodes))], names=["token", "node"])
+
+    of = sets.join(F.broadcast(large), "cls", "left_semi")
+    entries = materialize(of.select("node", "cls", "tokens").mapInArrow(heads, "token long, node long"), "heads")
+    finer = _classes(entries, how)
+    split = of.drop("cls").join(finer.withColumnRenamed("component", "cls"), "node").select("node", "cls", "n", "tokens")
+    return materialize(sets.join(F.broadcast(large), "cls", "left_anti").select("node", "cls", "n", "tokens").union(split), "sets")
 
 
 def _large_classes(rows: DataFrame, how: Join) -> DataFrame:
-    """Classes beyond one task: first blocks of similar sizes alone, then each pair of blocks that holds more than one part."""
-    cut = rows.withColumn("sub", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    alone = cut.select(F.struct("cls", F.col("sub").cast("int").alias("i"), F.lit(0).alias("j")).alias("grp"), F.lit(-1).alias("side"), "node", F.col("node").alias("part"), "tokens")
+    """Classes beyond one task: first blocks of sets of similar size alone, then each pair of blocks of the same or the next bin that holds more than one part."""
+    cut = rows.withColumn("sub", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    name = lambda *c: F.concat_ws(":", *c)
+    alone = cut.select(F.struct("cls", name("bin", "sub").alias("i"), F.lit("").alias("j")).alias("grp"), F.lit(-1).alias("side"), "node", F.col("node").alias("part"), "tokens")
     inside = materialize(_compare(alone, how), "links")
     parts = components(inside)
     known = cut.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
-    largest = known.groupBy("cls", "part").agg(F.count(F.lit(1)).alias("c")).groupBy("cls").agg(F.max_by("part", "c").alias("main"))
+    largest = known.groupBy("cls", "part").agg(F.count(F.lit(1)).alias("c")).groupBy("cls").agg(F.max_by("part", F.struct("c", "part")).alias("main"))
     known = known.join(largest, "cls").withColumn("is_main", (F.col("part") == F.col("main")).cast("int"))
-    known = known.withColumn("blk", F.concat_ws(":", "is_main", "sub"))
-    ids = materialize(known.select("cls", "blk", "is_main", "n").groupBy("cls", "blk", "is_main").agg(F.min("n").alias("lo"), F.max("n").alias("hi")), "blocks")
-    right = ids.select("cls", F.col("blk").alias("blk2"), F.col("is_main").alias("main2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    pairs = ids.join(right, "cls").where((F.col("blk") < F.col("blk2")) & (F.col("is_main") + F.col("main2") < 2) & (100 * F.col("hi") >= how.percent * F.col("lo2")) & (100 * F.col("hi2") >= how.percent * F.col("lo")))
+    known = materialize(known.select("cls", "bin", name("bin", "is_main", "sub").alias("blk"), "is_main", "node", "part", "tokens"), "known")
+    ids = known.select("cls", "bin", "blk", "is_main").distinct()
+    right = ids.select("cls", F.explode(F.array(F.col("bin"), F.col("bin") - 1)).alias("bin"), F.col("bin").alias("bin2"), F.col("blk").alias("blk2"), F.col("is_main").alias("main2"))
+    pairs = ids.join(right, ["cls", "bin"]).where(((F.col("bin2") > F.col("bin")) | (F.col("blk") < F.col("blk2"))) & (F.col("is_main") + F.col("main2") < 2))
     pairs = materialize(pairs.select("cls", F.col("blk").alias("i"), F.col("blk2").alias("j")), "pairs")
     face = pairs.select("cls", F.struct("cls", "i", "j").alias("grp"), F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("i").alias("blk")), F.struct(F.lit(1).alias("side"), F.col("j").alias("blk")))).alias("e"))
     rows2 = face.select("cls", "grp", "e.side", "e.blk").join(known, ["cls", "blk"]).select("grp", "side", "node", "part", "tokens")
-    own = known.where("is_main = 0").select(F.struct("cls", F.col("blk").alias("i"), F.col("blk").alias("j")).alias("grp"), F.lit(-1).alias("side"), "node", "part", "tokens")
-    return inside.union(_compare(rows2.union(own), how))
+    return inside.union(_compare(rows2, how))
 
 
 def op5_multi_order_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents"))
+    return jaccard_components(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", how: Join = Join(words=5, percent=80)) -> DataFrame:
-    """The rows of docs whose id is the smallest of their component, once each; rows with a null id stay."""
-    found = jaccard_components(docs.where(F.col(id_col).isNotNull()), id_col, text, how)
-    keep = materialize(found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct(), "keep")
-    few = keep.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    kept = docs.join(F.broadcast(keep) if few else keep, id_col, "left_semi")
-    return kept.dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
+    """The rows of docs of smallest id in their component, once each; rows with a null id stay.
+
+    Documents without shingles stay, one row for each id and text. Of one id on several texts of a
+    component, the text of smallest hash stays; on texts of different components, one of each does.
+    Repeated rows become one, and a null text counts as empty. Other columns pass through; of rows equal
+    in id and text one stays. An empty table gives no rows.
+    """
+    h, gone, name = fresh(docs, "text_hash"), fresh(docs, "gone"), F.col(f"`{id_col}`")
+    found = _components(docs.where(name.isNotNull()), id_col, text, how)
+    best = found.where("part is not null").groupBy("part").agg(F.min(F.struct("id", "h")).alias("best"))
+    marked = found.join(best, "part", "left").select("id", "h", F.coalesce(F.struct("id", "h") != F.col("best"), F.lit(False)).alias(gone))
+    marked = materialize(marked.groupBy("id", "h").agg(F.max(gone).alias(gone), F.count(F.lit(1)).alias("times")), "marked")
+    keys = lambda d: d.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), F.col("h").alias(h))
+    out, mine = docs.withColumn(h, _text_hash(text)), marked.where(F.col(gone))
+    few = mine.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    out = out.join(F.broadcast(keys(mine)) if few else keys(mine), [id_col, h], "left_anti")
+    again = marked.where(~F.col(gone) & (F.col("times") > 1))
+    if not again.isEmpty():
+        few = again.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        side = F.broadcast(keys(again)) if few else keys(again)
+        out = out.join(side, [id_col, h], "left_anti").unionByName(out.join(side, [id_col, h], "left_semi").dropDuplicates([id_col, h]))
+    return out.select(*docs.columns)
 
 
 #: Reachability over verified links, for tables of some thousand documents; ids must be distinct.

@@ -128,7 +128,7 @@ def plain_components(texts: dict, k: int, percent: int) -> dict:
     return {d: (len(s), find(d)) for d, s in sets.items()}
 
 
-@pytest.mark.parametrize("k,percent,block", [(3, 90, 3000), (5, 80, 3000), (3, 80, 4)])
+@pytest.mark.parametrize("k,percent,block", [(3, 90, 1000), (5, 80, 1000), (3, 80, 4)])
 def test_jaccard_join(spark, k, percent, block):
     r = random.Random(k)
     texts, base = {}, [f"w{r.randint(0, 300)}" for _ in range(80)]
@@ -154,6 +154,17 @@ def test_join_odd_rows(odd, void):
     assert 100 not in ids and 3 in ids and ids.count(7) == 1 and None in ids and kept.columns == odd.columns
 
 
+def test_join_of_one_id_on_several_texts(spark):
+    base = [f"w{i}" for i in range(60)]
+    near = " ".join([*base[:-1], "x"])
+    rows = [(1, " ".join(base), "a"), (1, "quite another text of this id, with words of its own", "b"), (2, near, "c"), (3, "quite another text of this id, with words of its own", "d"), (3, "a third one", "e"), (4, "", "f"), (4, None, "g"), (4, "", "h"), (2, near, "i")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, h string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(df).collect())
+    assert got == sorted([(1, 58, 1), (1, 9, 1), (2, 58, 1), (2, 58, 1), (3, 9, 1), (3, 1, 3), (4, 0, 4), (4, 0, 4), (4, 0, 4)])
+    kept = ngram_join.one_of_each(df)
+    assert kept.columns == df.columns and sorted((r.doc_id, (r.text or "")[:9]) for r in kept.collect()) == [(1, "quite ano"), (1, "w0 w1 w2 "), (3, "a third o"), (4, "")]
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7)], "u long, v long")
     got = {r.node: r.component for r in components(edges).collect()}
