@@ -3,10 +3,11 @@
 A text is the vector of all its words: (1 + log of the count) * inverse document frequency * what
 the labels say of the word. That last factor is a floor, the same for all words, plus the lower
 confidence bound of the word's log odds between toxic and clean examples; no word is left out of a
-vector or its norm. The nearest labelled examples by exact cosine are found with an inverted index
-whose postings come in blocks with their largest weight: the blocks of highest bound are read
-first, then those that may still hold a nearer example. Votes weighted by the squared cosine give
-the score, and the examples themselves are the evidence.
+vector or its norm. The nearest labelled examples by exact cosine are found with an inverted index. The
+postings of common words, long and of little weight, are not read: per block of examples their
+largest weights bound what they may add, and only examples that this may lift among the nearest are
+compared in full. Votes weighted by the squared cosine give the score, and the examples themselves
+are the evidence.
 """
 
 from __future__ import annotations
@@ -31,40 +32,21 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 class Votes:
     """fit_rows: most labelled rows used as examples, those of smallest hash; floor: factor of a word
     that labels say nothing of; sure: standard errors taken off a word's log odds; k: labelled rows that
-    vote; prior: weight of the overall share in a vote; block: examples of a block; first: blocks read
-    before the bar for others is set."""
+    vote; prior: weight of the overall share in a vote; block: examples of a block; common: a word is
+    common from this share of the examples on."""
 
     fit_rows: int = 4096
     floor: float = 0.05
     sure: float = 2.0
     k: int = 15
     prior: float = 0.5
-    block: int = 128
-    first: int = 4
+    block: int = 64
+    common: float = 0.3
 
 
-class _Terms(dict):
-    """The terms (lower-cased letter runs) of a word: their numbers in the vocabulary, or else themselves."""
-
-    def __init__(self, vocab: dict[str, int], most: int = 100_000):
-        super().__init__()
-        self.vocab, self.most = vocab, most
-
-    def __missing__(self, word: bytes) -> tuple:
-        known = self.vocab.get
-        got = tuple(known(t, t) for t in _LETTERS.findall(word.decode("utf-8", "surrogatepass").lower()))
-        if len(self) > self.most:
-            self.clear()
-        self[word] = got
-        return got
-
-
-def count_terms(text: str | None, known: _Terms) -> Counter:
-    out: Counter = Counter()
-    for got in map(known.__getitem__, text.encode("utf-8", "surrogatepass").split() if text else ()):
-        for t in got:
-            out[t] += 1
-    return out
+def count_terms(text: str | None) -> Counter:
+    """The lower-cased letter runs of a text."""
+    return Counter(_LETTERS.findall(text.lower())) if text else Counter()
 
 
 def label_factor(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int, how: Votes = Votes()) -> np.ndarray:
@@ -76,7 +58,7 @@ def label_factor(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: in
 
 
 class Index:
-    """Examples as unit vectors in postings, cut into blocks of examples with their largest weights.
+    """Examples as unit vectors in postings, with the largest weights of common words by blocks of examples.
 
     vectors: (terms, counts) of the examples, without two equal ones; votes: (clean, toxic, smallest
     id) of each; weight: of each term; other: weight of the terms that no example has.
@@ -85,66 +67,83 @@ class Index:
     def __init__(self, vectors: list[tuple[tuple[int, ...], tuple[int, ...]]], votes: list[tuple[int, int, int]], weight: np.ndarray, other: float, how: Votes):
         self.weight, self.other, self.how = weight, other, how
         self.clean, self.toxic, self.ids = (np.array([v[i] for v in votes], np.int64) for i in range(3))
-        self.n, size = len(vectors), len(weight)
-        self.blocks = max(1, -(-self.n // how.block))
-        row = np.repeat(np.arange(self.n), [len(t) for t, _ in vectors])
-        col = np.array([x for t, _ in vectors for x in t], np.int64)
-        val = np.concatenate([self.unit(np.array(t, np.int64), np.array(c), ()) for t, c in vectors]) if vectors else np.zeros(0)
-        order = np.lexsort((row, col))
-        self.row, self.val, col = row[order].astype(np.int32), val[order], col[order]
-        cell = col * self.blocks + self.row // how.block
-        self.start = np.searchsorted(cell, np.arange(size * self.blocks + 1)).astype(np.int32)
-        top = np.zeros(size * self.blocks)
-        np.maximum.at(top, cell, self.val)
-        self.top = np.nextafter(top.astype(np.float32), np.float32(np.inf)).reshape(size, self.blocks)
+        self.votes, self.n = self.clean + self.toxic, len(vectors)
+        sizes = [len(t) for t, _ in vectors]
+        row = np.repeat(np.arange(self.n), sizes)
+        self.ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
+        self.terms = np.array([x for t, _ in vectors for x in t], np.int64)
+        self.values = np.concatenate([self.unit(np.array(t, np.int64), np.array(c), ()) for t, c in vectors]) if vectors else np.zeros(0)
+        order = np.lexsort((row, self.terms))
+        col = self.terms[order]
+        self.row, self.val = row[order].astype(np.int32), self.values[order]
+        self.start = np.searchsorted(col, np.arange(len(weight) + 1))
+        often = np.flatnonzero(np.diff(self.start) > how.common * self.n)
+        self.common = np.full(len(weight), -1, np.int64)
+        self.common[often] = np.arange(len(often))
+        self.block, self.query = np.arange(self.n) // how.block, np.zeros(len(weight))
+        self.top = np.zeros((len(often), max(1, -(-self.n // how.block))))
+        some = self.common[col] >= 0
+        np.maximum.at(self.top, (self.common[col[some]], self.row[some] // how.block), self.val[some])
 
     def unit(self, terms: np.ndarray, counts: np.ndarray, others) -> np.ndarray:
         """Weights of the known terms in the unit vector; others: counts of the terms that no example has."""
         w = (1 + np.log(counts)) * self.weight[terms]
-        norm = (w * w).sum() + ((self.other * (1 + np.log(np.array(others)))) ** 2).sum() if len(others) else (w * w).sum()
+        norm = (w * w).sum()
+        if len(others):
+            norm += ((self.other * (1 + np.log(np.array(others)))) ** 2).sum()
         return w / np.sqrt(norm)
 
-    def _read(self, blocks: np.ndarray, terms: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Examples in the blocks with a term of the query, and their cosines."""
-        cell = terms[:, None] * self.blocks + blocks[None, :]
-        low = self.start[cell].ravel()
-        size = self.start[cell + 1].ravel() - low
-        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(low, size)
-        got = np.bincount(self.row[at], np.repeat(np.repeat(w, len(blocks)), size) * self.val[at], self.n)
-        hit = np.flatnonzero(got)
-        return hit, got[hit]
-
-    def _cut(self, rows: np.ndarray, cos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """In order of cosine, until k labelled rows are reached; equal vectors (the text itself) don't count."""
-        other = cos < 1 - 1e-9
+    def _sums(self, terms: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """What the terms add to the cosine of each example."""
+        at, size = _ranges(self.start[terms], self.start[terms + 1])
+        return np.bincount(self.row[at], np.repeat(w, size) * self.val[at], self.n)
+
+    def _bar(self, low: np.ndarray) -> float:
+        """What the last of the nearest has at least, if low is what each example has at least. One of them may be the text itself."""
+        some = np.argpartition(-low, 4 * self.how.k)[: 4 * self.how.k] if self.n > 8 * self.how.k else np.arange(self.n)
+        some = some[np.argsort(-low[some])]
+        votes = self.votes[some]
+        full = np.flatnonzero(np.cumsum(votes) - np.maximum.accumulate(votes) >= self.how.k)
+        return float(low[some[full[0]]]) if len(full) else 0.0
+
+    def nearest(self, counts: Counter, vocab: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest examples with a common term, but for the text itself, in order of their cosines until k labelled rows are reached."""
+        known = {i: c for t, c in counts.items() if (i := vocab.get(t)) is not None}
+        if not known:
+            return np.zeros(0, np.int64), np.zeros(0)
+        terms = np.fromiter(known, np.int64, len(known))
+        others = [c for t, c in counts.items() if t not in vocab] if len(known) < len(counts) else ()
+        w = self.unit(terms, np.fromiter(known.values(), np.int64, len(known)), others)
+        often = self.common[terms]
+        rare = often < 0
+        low = self._sums(terms[rare], w[rare])
+        more = (w[~rare] @ self.top[often[~rare]])[self.block]
+        rows = np.flatnonzero((low + more >= self._bar(low) - 1e-9) & (low + more > 0))
+        if len(rows) > self.n // 8:  # the bounds tell too little: read all postings
+            cos = low + self._sums(terms[~rare], w[~rare])
+            rows = np.flatnonzero(cos)
+            cos = cos[rows]
+        else:
+            at, size = _ranges(self.ends[rows], self.ends[rows + 1])
+            self.query[terms] = w
+            cos = np.add.reduceat(self.query[self.terms[at]] * self.values[at], np.cumsum(size) - size) if len(rows) else np.zeros(0)
+            self.query[terms] = 0
+        other = (cos < 1 - 1e-9) & (cos > 0)
         rows, cos = rows[other], cos[other]
         k = self.how.k
         if len(rows) > 4 * k:
-            bar = np.partition(cos, len(cos) - k)[len(cos) - k]
-            some = cos >= bar - 1e-12
+            some = cos >= np.partition(cos, len(cos) - k)[len(cos) - k] - 1e-12
             rows, cos = rows[some], cos[some]
         o = np.lexsort((rows, -np.round(cos, 12)))
         rows, cos = rows[o], cos[o]
-        keep = int(np.searchsorted(np.cumsum((self.clean + self.toxic)[rows]), k)) + 1
+        keep = int(np.searchsorted(np.cumsum(self.votes[rows]), k)) + 1
         return rows[:keep], cos[:keep]
 
-    def nearest(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
-        """The nearest examples with a common term, but for the text itself, and their cosines."""
-        known = {t: c for t, c in counts.items() if not isinstance(t, str)}
-        if not known:
-            return np.zeros(0, np.int64), np.zeros(0)
-        terms = np.fromiter(known, np.int64, len(known))
-        w = self.unit(terms, np.fromiter(known.values(), np.int64, len(known)), [c for t, c in counts.items() if isinstance(t, str)])
-        bound = w @ self.top[terms]
-        order = np.argsort(-bound, kind="stable")
-        first, rest = order[: self.how.first], order[self.how.first :]
-        best, cos = self._cut(*self._read(first, terms, w))
-        full = (self.clean + self.toxic)[best].sum() >= self.how.k
-        rest = rest[bound[rest] >= (cos[-1] - 1e-9 if full else 1e-12)]
-        if len(rest):
-            more, their = self._read(rest, terms, w)
-            best, cos = self._cut(np.concatenate([best, more]), np.concatenate([cos, their]))
-        return best, cos
+
+def _ranges(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers from each low up to its high, one after the other, and how many of each."""
+    size = high - low
+    return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - low, size), size
 
 
 def crc_mod5(id_col: str) -> Column:
@@ -159,9 +158,8 @@ def _examples(docs: DataFrame, labelled: DataFrame, id_col: str, text: str, how:
     own = own.groupBy(id_col, "toxic").agg(F.min_by("text", F.coalesce(F.xxhash64("text"), F.lit(0))).alias("text"))  # one text, if an id stands on several
 
     def run(batches: Iterable[pa.RecordBatch]):
-        memo = _Terms({})
         for b in few_rows(batches):
-            got = [sorted(count_terms(t, memo).items()) for t in b.column(0).to_pylist()]
+            got = [sorted(count_terms(t).items()) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([[t for t, _ in g] for g in got], pa.list_(pa.string())), pa.array([[c for _, c in g] for g in got], pa.list_(pa.int64())), b.column(1), b.column(2)], names=["terms", "counts", "toxic", "id"])
 
     vectors = own.select("text", "toxic", F.col(id_col).cast("long").alias("id")).mapInArrow(run, "terms array<string>, counts array<long>, toxic int, id long")
@@ -173,11 +171,11 @@ def document_frequencies(docs: DataFrame, text: str, vocab: dict[str, int]) -> t
     shared = docs.sparkSession.sparkContext.broadcast(vocab)
 
     def run(batches: Iterable[pa.RecordBatch]):
-        memo, sums = _Terms(shared.value), np.zeros(len(shared.value) + 1, np.int64)
+        number, sums = shared.value.get, np.zeros(len(shared.value) + 1, np.int64)
         for b in few_rows(batches):
             for t in b.column(0).to_pylist():
-                seen = {x for got in map(memo.__getitem__, set(t.encode("utf-8", "surrogatepass").split()) if t else ()) for x in got if not isinstance(x, str)}
-                sums[list(seen)] += 1
+                if t:
+                    sums[[i for x in set(_LETTERS.findall(t.lower())) if (i := number(x)) is not None]] += 1
             sums[-1] += b.num_rows
         hit = np.flatnonzero(sums)
         for i in range(0, len(hit), 50_000):
@@ -209,8 +207,8 @@ def fit(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text: str
     share = n_toxic / max(1, len(rows))
     n, df = document_frequencies(docs, text, vocab)
     weight = (np.log((1 + n) / (1 + df)) + 1) * label_factor(with_term[1], with_term[0], n_toxic, len(rows) - n_toxic, how)
-    # coherent blocks have low bounds for others: examples stand by their heaviest term
-    vectors = sorted(merged, key=lambda v: (-max((1 + np.log(c)) * weight[t] for t, c in zip(*v, strict=True)), v))
+    # examples stand by their number of words: those of a block have weights of like size, so bounds are near
+    vectors = sorted(merged, key=lambda v: (len(v[0]), v))
     index = Index(vectors, [tuple(merged[v]) for v in vectors], weight, how.floor * (np.log((1 + n) / 2) + 1), how)
     return vocab, index, (bare[1] + how.prior * share) / (sum(bare) + how.prior), share
 
@@ -233,10 +231,9 @@ def score_toxicity(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id",
 
     def judge():
         words, index = shared.value
-        memo = _Terms(words)
 
         def one(text: str | None) -> tuple:
-            best, cos = index.nearest(count_terms(text, memo)) if text else ((), ())
+            best, cos = index.nearest(count_terms(text), words) if text else ((), ())
             if not len(best):
                 return bare, []
             w = cos * cos

@@ -341,7 +341,7 @@ def test_toxicity_equals_brute_force(spark):
     docs, labels = toxic_cases()
     df = spark.createDataFrame(docs, "doc_id long, text string")
     known = spark.createDataFrame(labels, "doc_id long, toxic int")
-    for how in (toxicity.Votes(), toxicity.Votes(block=8, first=1, k=7)):
+    for how in (toxicity.Votes(), toxicity.Votes(block=8, common=0.1, k=7), toxicity.Votes(block=4, common=0.02)):
         got = {x.doc_id: x for x in toxicity.score_toxicity(df, known, how=how).collect()}
         want = plain_scores(docs, labels, how)
         assert {i: round(x.score, 6) for i, x in got.items()} == {i: round(x, 6) for i, x in want.items()}
