@@ -33,6 +33,11 @@ def clean(value: Column, kind: str) -> Column:
     return F.when(F.isnan(value), F.lit(None)).otherwise(value) if kind in ("double", "float") else value
 
 
+def without_nan(cells: DataFrame) -> DataFrame:
+    """Results that are no number are missing as well."""
+    return cells.withColumn("value", clean(F.col("value"), dict(cells.dtypes)["value"]))
+
+
 class LabelArray(IndexOps, AlignOps, ArithOps, ReduceOps, ScanOps, InterpOps, MissingOps, ShapeOps):
     def __init__(self, cells: DataFrame, axes: Sequence[Axis], attrs: dict | None = None, by: str | None = None):
         self.axes = tuple(axes)
@@ -43,14 +48,18 @@ class LabelArray(IndexOps, AlignOps, ArithOps, ReduceOps, ScanOps, InterpOps, Mi
     # -- constructors -------------------------------------------------------------------------
 
     @classmethod
-    def from_dataframe(cls, df: DataFrame, dims: Sequence[str], value: str = "value", axes: dict | None = None, listed: bool = True, attrs: dict | None = None) -> LabelArray:
-        """From rows with one column a dimension; the dims must identify a row.
+    def from_dataframe(cls, df: DataFrame, dims: Sequence[str], value: str = "value", axes: dict | None = None, listed: bool = True, attrs: dict | None = None, aggregate: Callable[[Column], Column] | None = None) -> LabelArray:
+        """From rows with one column a dimension; the dims must identify a row, or rows are aggregated first.
+
+        aggregate: a function of the value column, such as F.sum. Rows with a null label are left out.
 
         axes: known labels by dimension; other axes list the sorted distinct labels found (one job
         for all), or stay open with listed=False. Rows with labels off a given axis are left out.
         """
         kind = dict(df.dtypes)[value]
-        cells = df.select(*[F.col(f"`{d}`") for d in dims], clean(F.col(f"`{value}`"), kind).alias("value"))
+        cells = df.select(*[F.col(f"`{d}`") for d in dims], clean(F.col(f"`{value}`"), kind).alias("value")).dropna(subset=list(dims)) if dims else df.select(clean(F.col(f"`{value}`"), kind).alias("value"))
+        if aggregate is not None:
+            cells = cells.groupBy(*[f"`{d}`" for d in dims]).agg(aggregate(F.col("value")).alias("value"))
         axes = dict(axes or {})
         ask = [d for d in dims if d not in axes and listed]
         if ask:
@@ -108,7 +117,7 @@ class LabelArray(IndexOps, AlignOps, ArithOps, ReduceOps, ScanOps, InterpOps, Mi
         shape = tuple(a.size for a in axes)
         out = np.full(shape, np.nan, dtype=object)
         for at, v in cells.items():
-            out[tuple(a.values.index(n[k]) for a, n, k in zip(axes, names, at, strict=True))] = v
+            out[tuple(a.places[n[k]] for a, n, k in zip(axes, names, at, strict=True))] = v
         full = len(cells) == out.size
         return cls.from_values(spark, np.array(out.tolist()) if full else out.astype(float), axes)
 
@@ -227,6 +236,18 @@ class LabelArray(IndexOps, AlignOps, ArithOps, ReduceOps, ScanOps, InterpOps, Mi
     def order(self, axis: Axis, prefix: str = "__pos_") -> list[Column]:
         return [F.col(f"`{prefix}{a.name}`") for a in axis.levels if not a.dummy]
 
+    def one_key(self, i: int):
+        """The same cells with a flattened axis keyed by position on its own, and tuples as labels."""
+        a = self.axes[i]
+        if not a.members:
+            return self
+        cells = self.with_pos(self.cells, a)
+        at = F.lit(0).cast("bigint")
+        for m, p in zip(a.members, self.order(a), strict=True):
+            at = at * m.size + p
+        new = replace(Axis.of(a.name, a.values, a.tol), attrs=dict(a.attrs))
+        return self.make(cells.withColumn(a.name, at), [new if x is a else x for x in self.axes])
+
     def window(self, axis: Axis):
         others = [c for a in self.axes if a is not axis for c in a.cols]
         w = Window.partitionBy(*[f"`{c}`" for c in others]) if others else Window.partitionBy()
@@ -236,10 +257,21 @@ class LabelArray(IndexOps, AlignOps, ArithOps, ReduceOps, ScanOps, InterpOps, Mi
         """Rows of labels and value."""
         src = self.dense() if dense else self
         out = src.cells
-        for a in (m for x in self.axes for m in x.levels if not x.dummy and m.by_pos):
-            t = a.hinted(self.spark, label="__label")
-            out = out.join(t, a.name).drop(a.name, "__pos").withColumnRenamed("__label", a.name)
-        return out.select(*[F.col(f"`{c}`") for a in self.axes for c in a.cols], "value")
+        names = []
+        for a in (m for x in self.axes for m in x.levels if not x.dummy):
+            if not a.by_pos:
+                names.append(a.name)
+            elif a.kind == "tuple":  # a column for each dimension of such labels
+                parts = a.name.split(",")
+                own = parts if len(parts) == len(a.values[0]) else [f"{a.name}_{i}" for i in range(len(a.values[0]))]
+                t = a.parts(self.spark, [f"__label_{n}" for n in own])
+                out = out.join(t, a.name).drop(a.name).withColumnsRenamed({f"__label_{n}": n for n in own})
+                names += own
+            else:
+                t = a.hinted(self.spark, label="__label")
+                out = out.join(t, a.name).drop(a.name, "__pos").withColumnRenamed("__label", a.name)
+                names.append(a.name)
+        return out.select(*[F.col(f"`{c}`") for c in names], "value")
 
     @property
     def values(self) -> np.ndarray:
@@ -320,7 +352,7 @@ class LabelArray(IndexOps, AlignOps, ArithOps, ReduceOps, ScanOps, InterpOps, Mi
         """Elementwise. f maps a Column to a Column; with dtype it is a vectorised Python function on pandas Series instead."""
         if dtype:
             f = F.pandas_udf(f, dtype)
-        return self.make(self.cells.withColumn("value", f(F.col("value"))), self.axes, keep=False)
+        return self.make(without_nan(self.cells.withColumn("value", f(F.col("value")))), self.axes, keep=False)
 
     def write(self, path: str, mode: str = "w", name: str = "value", **how):
         from .sources.store import write_array

@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field, replace
+from functools import cached_property
 from itertools import product
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,13 +24,13 @@ _TYPES = {"bool": "boolean", "int": "bigint", "float": "double", "str": "string"
 
 
 def plain(x):
-    """A NumPy scalar as a Python value."""
-    return x.item() if hasattr(x, "item") and not isinstance(x, (str, bytes)) else x
+    """A NumPy scalar as a Python value; arrays of one dimension or more stay as they are."""
+    return x.item() if hasattr(x, "item") and not isinstance(x, (str, bytes)) and getattr(x, "ndim", 0) == 0 else x
 
 
 def kind_of(labels: Iterable) -> str:
-    """bool, int, float, str, time or date; mixed numbers are float, any other mixture is str."""
-    kinds = {"bool" if isinstance(x, bool) else "int" if isinstance(x, int) else "float" if isinstance(x, float) else "time" if isinstance(x, dt.datetime) else "date" if isinstance(x, dt.date) else "str" for x in labels}
+    """bool, int, float, str, time, date or tuple (labels of several dimensions); mixed numbers are float, any other mixture is str."""
+    kinds = {"tuple" if isinstance(x, tuple) else "bool" if isinstance(x, bool) else "int" if isinstance(x, int) else "float" if isinstance(x, float) else "time" if isinstance(x, dt.datetime) else "date" if isinstance(x, dt.date) else "str" for x in labels}
     if not kinds:
         return "float"
     return kinds.pop() if len(kinds) == 1 else "float" if kinds == {"int", "float"} else "str"
@@ -56,7 +58,7 @@ class Axis:
             raise ValueError("an axis needs a name")
         if labels is not None:
             labels = tuple(uniform(labels))
-        return Axis(name, labels, attrs, tol, by_pos=labels is not None and len(set(labels)) < len(labels))
+        return Axis(name, labels, attrs, tol, by_pos=labels is not None and (len(set(labels)) < len(labels) or kind_of(labels) == "tuple"))
 
     @property
     def values(self) -> tuple:
@@ -103,6 +105,20 @@ class Axis:
         except TypeError:
             return 0
 
+    @cached_property
+    def places(self) -> dict:
+        """First position of each label."""
+        out: dict = {}
+        for i, x in enumerate(self.values):
+            out.setdefault(x, i)
+        return out
+
+    @cached_property
+    def ascending(self) -> tuple[list, list[int]]:
+        """Labels in ascending order and their positions."""
+        order = self.sorted_by()
+        return [self.values[i] for i in order], order
+
     def is_monotonic(self) -> bool:
         return self.direction() != 0
 
@@ -207,13 +223,17 @@ class Axis:
         if tol is not None and self.numeric:
             if not v:
                 raise IndexError(f"axis {self.name!r} is empty")
-            at = min(range(len(v)), key=lambda i: (abs(v[i] - label), i))
+            labels, order = self.ascending
+            k = bisect_left(labels, label)
+            near = [j for j in (k - 1, k) if 0 <= j < len(labels)]
+            near = [j for j in near if abs(labels[j] - label) == min(abs(labels[x] - label) for x in near)]
+            at = min(self.places[labels[j]] for j in near)
             if abs(v[at] - label) > tol:
                 raise IndexError(f"no label of {self.name!r} within {tol} of {label!r}")
             return at
         try:
-            return v.index(label)
-        except ValueError:
+            return self.places[label]
+        except (KeyError, TypeError):
             raise IndexError(f"no label {label!r} on axis {self.name!r}") from None
 
     def locate_slice(self, s: slice) -> list[int]:
@@ -237,11 +257,9 @@ class Axis:
 
     def search(self, label, side: str) -> int:
         """Position of the first label at (left) or after (right) label in sorted order; the last if there is none."""
-        order = self.sorted_by()
-        for i in order:
-            if self.values[i] > label or side == "left" and self.values[i] == label:
-                return i
-        return order[-1]
+        labels, order = self.ascending
+        k = (bisect_left if side == "left" else bisect_right)(labels, label)
+        return order[min(k, len(order) - 1)]
 
     # -- cells --------------------------------------------------------------------------------
 
@@ -257,10 +275,20 @@ class Axis:
         rows = [(i, self.key(i), *[self.values[i]] * len(extra)) for i in range(self.size)]
         return spark.createDataFrame(rows, ", ".join(f"`{n}` {t}" for n, t in [(pos, "bigint"), (self.name, self.key_type()), *extra]))
 
+    def parts(self, spark: SparkSession, names: Sequence[str]) -> DataFrame:
+        """Rows of key and the parts of labels that are tuples, one column each."""
+        kinds = [_TYPES[kind_of(x[i] for x in self.values)] for i in range(len(names))]
+        rows = [(self.key(k), *x) for k, x in enumerate(self.values)]
+        return hinted(spark.createDataFrame(rows, ", ".join(f"`{n}` {t}" for n, t in zip([self.name, *names], ["bigint", *kinds], strict=True))), self.size)
+
     def hinted(self, spark: SparkSession, **names) -> DataFrame:
         """The table, to be broadcast while it is small."""
-        t = self.table(spark, **names)
-        return F.broadcast(t) if self.size <= options.get_option("axis.broadcast_labels") else t
+        return hinted(self.table(spark, **names), self.size)
+
+
+def hinted(t: DataFrame, rows: int) -> DataFrame:
+    """A table of labels, to be broadcast while it is small."""
+    return F.broadcast(t) if rows <= options.get_option("axis.broadcast_labels") else t
 
 
 def as_axis(x, name: str | None = None) -> Axis:

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from .. import options
-from ..axis import Axis, as_axis, plain
+from ..axis import Axis, as_axis, hinted, plain
 
 
 class AlignOps:
@@ -30,11 +30,10 @@ class AlignOps:
 
     def _reindexed(self, i: int, new: Axis, find=None):
         a = self.axes[i]
-        find = find or (lambda x: a.values.index(x) if x in a.values else None)
+        find = find or a.places.get
         pairs = [(a.key(p), new.key(k)) for k, x in enumerate(new.values) if (p := find(x)) is not None]
         t = self.spark.createDataFrame(pairs, f"`{a.name}` {a.key_type()}, __new {new.key_type()}")
-        t = F.broadcast(t) if len(pairs) <= options.get_option("axis.broadcast_labels") else t
-        return self.make(self.cells.join(t, a.name).drop(a.name).withColumnRenamed("__new", new.name), [new if k == i else x for k, x in enumerate(self.axes)])
+        return self.make(self.cells.join(hinted(t, len(pairs)), a.name).drop(a.name).withColumnRenamed("__new", new.name), [new if k == i else x for k, x in enumerate(self.axes)])
 
     def reindex_axis(self, values, axis=0, fill_value=None, raise_error: bool = False, method: str | None = None):
         """The array on new labels; those it lacks are missing, or fill_value.
@@ -45,18 +44,19 @@ class AlignOps:
         new = values if isinstance(values, Axis) else None
         i = self.axis_no(new.name if new and isinstance(axis, int) else axis)
         a = self.axes[i]
+        if a.members:
+            return self.one_key(i).reindex_axis(new.values if new else values, i, fill_value, raise_error, method)
         new = replace(new, name=a.name) if new else replace(Axis.of(a.name, [plain(x) for x in values], a.tol), attrs=dict(a.attrs))
         if method not in (None, "left", "right"):
             raise ValueError(f"no method {method!r}")
-        if raise_error and method is None and (lost := [x for x in new.values if x not in set(a.values)]):
+        if raise_error and method is None and (lost := [x for x in new.values if x not in a.places]):
             raise IndexError(f"labels {lost} are not on axis {a.name!r}")
         out = self._reindexed(i, new, (lambda x: a.search(x, method)) if method else None)
-        holes = method is None and any(x not in set(a.values) for x in new.values)
+        holes = method is None and any(x not in a.places for x in new.values)
         if holes and fill_value is None and self.dtype in ("bigint", "int"):
             out = out.make(out.cells.withColumn("value", F.col("value").cast("double")), out.axes)
         if holes and fill_value is not None:
-            have = set(a.values)
-            absent = [new.key(k) for k, x in enumerate(new.values) if x not in have]
+            absent = [new.key(k) for k, x in enumerate(new.values) if x not in a.places]
             filled = out.dense().cells
             kind = "double" if isinstance(fill_value, float) and self.dtype in ("bigint", "int") else self.dtype
             out = out.make(filled.withColumn("value", F.when(F.col(f"`{a.name}`").isin(*absent), F.lit(fill_value).cast(kind)).otherwise(F.col("value").cast(kind))), out.axes)
@@ -189,7 +189,7 @@ def concatenate(arrays, axis=0, align_: bool = False, sort: bool = False, join:
         cells = a.cells
         if new.by_pos or old.key_type() != new.key_type():
             t = a.spark.createDataFrame([(old.key(k), new.key(at + k)) for k in range(old.size)], f"`{d}` {old.key_type()}, __new {new.key_type()}")
-            cells = cells.join(F.broadcast(t), d).drop(d).withColumnRenamed("__new", d)
+            cells = cells.join(hinted(t, old.size), d).drop(d).withColumnRenamed("__new", d)
         parts.append(cells.withColumn("value", F.col("value").cast(kind)))
         at += old.size
     axes = [new if k == i else x for k, x in enumerate(arrays[0].axes)]

@@ -40,12 +40,18 @@ def _floor(whole: bool):
 def _power(whole: bool):
     def run(a: Column, b: Column) -> Column:
         one = F.lit(1.0)
-        out = F.when((a == 1) | (b == 0), one).otherwise(F.pow(a.cast("double"), b.cast("double")))
+        out = F.when(F.coalesce(a == 1, F.lit(False)) | F.coalesce(b == 0, F.lit(False)), one).otherwise(F.pow(a.cast("double"), b.cast("double")))
         return out.cast("bigint") if whole else out
 
     return run
 
 
+def _without_nan(cells):
+    """Results that are no number are missing."""
+    v = F.col("value")
+    return cells.withColumn("value", F.when(~F.isnan(v), v)) if dict(cells.dtypes)["value"] in ("double", "float") else cells
+
+
 class ArithOps:
     def _join(self, other, right_name: str = "__r"):
         """Cells of both on shared dimensions: missing on either side is missing in the result, so rows of both sides meet."""
@@ -68,7 +74,8 @@ class ArithOps:
             whole = isinstance(other, int) and self.dtype in ("bigint", "int")
             x, y = F.col("value"), F.lit(other)
             f = self._function(op, whole)
-            return self.make(self.cells.withColumn("value", f(y, x) if swap else f(x, y)), self.axes, keep=False)
+            src = self.dense() if op == "pow" and other == (1 if swap else 0) else self  # 1 whatever the exponent, or the base
+            return self.make(_without_nan(src.cells.withColumn("value", f(y, x) if swap else f(x, y))), self.axes, keep=False)
         if not options.get_option("op.reindex"):
             for d in set(self.dims) & set(other.dims):
                 if self.axis(d) != other.axis(d):
@@ -82,7 +89,7 @@ class ArithOps:
             left, right = left.broadcast(axes).dense(), right.broadcast([a for a in axes if a.name in right.dims]).dense()
         f = self._function(op, whole)
         x, y = F.col("value"), F.col("__r")
-        cells = left._join(right).withColumn("value", f(y, x) if swap else f(x, y))
+        cells = _without_nan(left._join(right).withColumn("value", f(y, x) if swap else f(x, y)))
         return self.make(cells, axes, keep=False)
 
     @staticmethod

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..axis import Axis, plain
+from .. import options
+from ..axis import Axis, hinted, plain
 
 
 def _is_bool(x) -> bool:
@@ -137,7 +139,7 @@ class IndexOps:
             t = self.spark.createDataFrame(rows, ", ".join([f"`{a.name}` bigint", *[f"`{m.name}` {m.key_type()}" for m in a.members]]))
             values = a.values
             new = Axis(a.name, tuple(values[k] for k in at), dict(a.attrs), by_pos=True)
-            return self.make(self.cells.join(F.broadcast(t), [m.name for m in a.members]), [new if x is a else x for x in self.axes])
+            return self.make(self.cells.join(hinted(t, len(at)), [m.name for m in a.members]), [new if x is a else x for x in self.axes])
         new = a.take(at)
         axes = [new if k == i else x for k, x in enumerate(self.axes)]
         c = F.col(f"`{a.name}`")
@@ -151,7 +153,7 @@ class IndexOps:
             else:
                 cells = self.cells.join(new.hinted(self.spark).select(a.name), a.name, "left_semi")
             return self.make(cells, axes)
-        t = F.broadcast(self.spark.createDataFrame([(a.key(p), new.key(k)) for k, p in enumerate(at)], f"`{a.name}` {a.key_type()}, __new {new.key_type()}"))
+        t = hinted(self.spark.createDataFrame([(a.key(p), new.key(k)) for k, p in enumerate(at)], f"`{a.name}` {a.key_type()}, __new {new.key_type()}"), len(at))
         return self.make(self.cells.join(t, a.name).drop(a.name).withColumnRenamed("__new", a.name), axes)
 
     @staticmethod
@@ -178,7 +180,7 @@ class IndexOps:
         together = nos == list(range(nos[0], nos[0] + len(nos)))
         rest = self.rest(*nos)
         at = nos[0] if together else 0
-        out = self.make(self.cells.join(F.broadcast(t), [a.name for a in axes]), [*rest[:at], new, *rest[at:]])
+        out = self.make(self.cells.join(hinted(t, len(rows)), [a.name for a in axes]), [*rest[:at], new, *rest[at:]])
         return out.take(others, indexing=how, tol=tol) if others else out
 
     def take_axis(self, indices, axis=0, indexing: str = "label", mode: str = "raise"):
@@ -194,12 +196,27 @@ class IndexOps:
         return self._pick(i, at[0] if one else at)
 
     def compress(self, mask):
-        """Cells where an N-dimensional mask holds, along one dimension named after all."""
+        """Cells where an N-dimensional mask holds, along one dimension named after all, in row-major order.
+
+        The labels of the hits are listed up to the option axis.list_hits; beyond that the new axis is
+        open and its keys are the labels, joined by commas.
+        """
         self._same_axes(mask)
         cols = [c for a in self.axes for c in a.cols]
         hit = mask.cells.where("value").select(*[f"`{c}`" for c in cols])
-        levels = tuple(m for a in self.axes for m in a.levels)
-        return self.make(self.cells.join(hit, cols, "left_semi"), [Axis(",".join(self.dims), members=levels)])
+        name, most = ",".join(self.dims), options.get_option("axis.list_hits")
+        levels = [m for a in self.axes for m in a.levels if not a.dummy]
+        keys = [r[:] for r in hit.limit(most + 1).collect()]
+        if len(keys) > most:
+            text = F.concat_ws(",", *[F.col(f"`{c}`").cast("string") for c in cols]).alias(name)
+            return self.make(self.cells.join(hit, cols, "left_semi").select(text, "value"), [Axis(name, None)])
+        at = sorted(tuple(k if m.by_pos else m.places[k] for m, k in zip(levels, key, strict=True)) for key in keys)
+        rows = [(i, *[m.key(p) for m, p in zip(levels, x, strict=True)]) for i, x in enumerate(at)]
+        t = self.spark.createDataFrame(rows, ", ".join([f"`{name}` bigint", *[f"`{m.name}` {m.key_type()}" for m in levels]])) if len(levels) > 1 else None
+        if t is None:  # one dimension: its own labels
+            return self._pick(next(i for i, a in enumerate(self.axes) if not a.dummy), [x[0] for x in at])
+        new = Axis(name, tuple(tuple(m.values[p] for m, p in zip(levels, x, strict=True)) for x in at), by_pos=True)
+        return self.make(self.cells.join(hinted(t, len(rows)), cols).select(name if "," not in name else f"`{name}`", "value"), [new])
 
     def compress_axis(self, mask: Sequence[bool], axis=0):
         return self._pick(self.axis_no(axis), [k for k, m in enumerate(mask) if m])
@@ -211,8 +228,17 @@ class IndexOps:
 
         Without cast, values take the array's type.
         """
-        src = self.dense()
+        if not isinstance(indices, type(self)) and (flat := [i for i in self._by_axis(indices, axis) if self.axes[i].members]):
+            out = self
+            for i in flat:
+                out = out.one_key(i)
+            out = out.put(indices, values, axis, indexing, tol, cast)
+            if inplace:
+                self.cells, self.axes = out.cells, out.axes
+                return None
+            return out
         how = indexing or self.by
+        src = self.dense() if isinstance(indices, type(self)) else self._grown(self._by_axis(indices, axis), how, tol)
         value = values if isinstance(values, type(self)) else None
         kind = self.dtype
         if cast and value is None and isinstance(plain(values), float) and kind in ("bigint", "int"):
@@ -241,6 +267,26 @@ class IndexOps:
             return None
         return out
 
+    def _grown(self, asked: dict[int, object], how: str, tol: float | None):
+        """With a row for each cell of the grid that the index selects."""
+        cols = [c for a in self.axes for c in a.cols]
+        if not cols:
+            return self
+        axes = list(self.axes)
+        for i, key in asked.items():
+            at = self._positions(axes[i], key, how, tol)
+            a = axes[i]
+            some = [at] if isinstance(at, int) else at
+            axes[i] = replace(a, labels=tuple(some), by_pos=True) if a.by_pos else a.take(some)
+        grid = None
+        for i, a in enumerate(axes):
+            if a.dummy:
+                continue
+            for m in a.levels:
+                keys = self.spark.createDataFrame([(k,) for k in m.labels], f"`{m.name}` bigint") if m is a and a.by_pos and i in asked else m.hinted(self.spark).select(m.name)
+                grid = keys if grid is None else grid.crossJoin(keys)
+        return self.make(self.cells.join(grid, cols, "full"), self.axes)
+
     def fill(self, value):
         self.put(Ellipsis, value, inplace=True)
 
@@ -257,10 +303,12 @@ class IndexOps:
     def set_axis(self, values=None, axis=0, name: str | None = None):
         """New labels (a list, a mapping or a function of the old ones) and, if given, a new name."""
         i = self.axis_no(axis)
+        if self.axes[i].members:
+            return self.one_key(i).set_axis(values, i, name)
         a = self.axes[i]
         new = a.relabel(values, name)
         axes = [new if x is a else x for x in self.axes]
         if new.values == a.values and new.by_pos == a.by_pos:
             return self.make(self.cells.withColumnRenamed(a.name, new.name), axes)
         t = self.spark.createDataFrame([(a.key(k), new.key(k)) for k in range(a.size)], f"`{a.name}` {a.key_type()}, __new {new.key_type()}")
-        return self.make(self.cells.join(F.broadcast(t), a.name).drop(a.name).withColumnRenamed("__new", new.name), axes)
+        return self.make(self.cells.join(hinted(t, a.size), a.name).drop(a.name).withColumnRenamed("__new", new.name), axes)

@@ -32,6 +32,8 @@ class MissingOps:
     def dropna(self, axis=0, minvalid: int | None = None):
         """Labels whose slice has a missing cell go, or those with fewer than minvalid cells. One job finds them."""
         i = self.axis_no(axis)
+        if self.axes[i].members:
+            return self.one_key(i).dropna(i, minvalid)
         a = self.axes[i]
         others = 1
         for x in self.rest(i):

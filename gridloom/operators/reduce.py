@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..axis import Axis
 
 
-def _aggregate(op: str, v: Column, n: int | None, ddof: int) -> Column:
+def _aggregate(op: str, v: Column, n: int | None, ddof: int, whole: bool = False) -> Column:
     if op in ("std", "var"):
         if ddof == 0:
             return F.stddev_pop(v) if op == "std" else F.var_pop(v)
@@ -24,6 +24,10 @@ def _aggregate(op: str, v: Column, n: int | None, ddof: int) -> Column:
         count = F.count(v)
         var = F.when(count > ddof, F.var_pop(v) * count / (count - ddof))
         return F.sqrt(var) if op == "std" else var
+    if op == "prod" and whole:  # factors other than 0, 1 and -1: more than 63 of them are Spark's overflow error anyhow
+        factors = F.aggregate(F.collect_list(F.when(F.abs(v) > 1, v)), F.lit(1).cast("bigint"), lambda x, y: x * y)
+        sign = F.when(F.coalesce(F.count_if(v == -1), F.lit(0)) % 2 == 1, -1).otherwise(1)
+        return F.when(F.count(v) == 0, F.lit(None).cast("bigint")).when(F.count_if(v == 0) > 0, F.lit(0).cast("bigint")).otherwise(factors * sign)
     return {"sum": F.sum, "prod": F.product, "mean": F.avg, "min": F.min, "max": F.max, "median": F.median, "ptp": lambda x: F.max(x) - F.min(x), "all": lambda x: F.bool_and(x), "any": lambda x: F.bool_or(x)}[op](v)
 
 
@@ -41,9 +45,8 @@ class ReduceOps:
             v = v != 0
         if kind == "boolean" and op not in ("all", "any"):
             v, kind = v.cast("bigint"), "bigint"
-        got, full = _aggregate(op, v, n, ddof), F.count(F.col("value")) == F.lit(n)
-        if op == "prod" and kind in ("bigint", "int"):
-            got = got.cast("bigint")
+        whole = kind in ("bigint", "int")
+        got, full = _aggregate(op, v.cast("bigint") if whole and op == "prod" else v, n, ddof, whole), F.count(F.col("value")) == F.lit(n)
         fill = {"sum": 0, "prod": 1, "all": True, "any": False}.get(op)
         if op == "all":
             got = F.coalesce(got, F.lit(True))
@@ -118,10 +121,11 @@ class ReduceOps:
     def argmax(self, axis=None, skipna: bool = False):
         return self._extreme(axis, skipna, True)
 
-    def apply_along_axis(self, f: Callable, axis, dtype: str = "double"):
-        """Reduce with a Python function on the values of a slice, in order; missing cells come as NaN.
+    def apply_along_axis(self, f: Callable, axis, dtype: str = "double", same: bool = False):
+        """A Python function on the values of each slice, in order; missing cells come as NaN.
 
-        Slices are grouped in Spark; each must fit a task.
+        It gives one value, or with same=True as many as it gets, such as a cumulative function; then
+        the axis stays. Slices are grouped in Spark; each must fit a task.
         """
         nos = self.axis_nos(axis)
         gone, rest = [self.axes[i] for i in nos], self.rest(*nos)
@@ -137,6 +141,15 @@ class ReduceOps:
             return pd.DataFrame([[*key, f(pdf.sort_values(order)["value"].to_numpy())]], columns=[*cols, "value"])
 
         types = dict(self.cells.dtypes)
+        if same:
+            own = [c for a in gone for c in a.cols]
+
+            def along(pdf):
+                pdf = pdf.sort_values(order)
+                return pdf.assign(value=f(pdf["value"].to_numpy()))[[*cols, *own, "value"]]
+
+            schema = ", ".join([*[f"`{c}` {types[c]}" for c in [*cols, *own]], f"value {dtype}"])
+            return self.make(cells.groupBy(*[f"`{c}`" for c in cols]).applyInPandas(along, schema), self.axes)
         schema = ", ".join([*[f"`{c}` {types[c]}" for c in cols], f"value {dtype}"])
         out = self.make(cells.groupBy(*[f"`{c}`" for c in cols]).applyInPandas(run, schema), rest)
         return out if out.ndim else out.item()

@@ -15,9 +15,11 @@ class ScanOps:
         a = self.axes[i]
         cells = self.with_pos(self.dense().cells, a)
         neutral = 1 if product else 0
+        cast = "bigint" if self.dtype in ("bigint", "int") else self.dtype
         v = F.coalesce(F.col("value"), F.lit(neutral).cast(self.dtype)) if skipna else F.col("value")
+        if product and cast == "bigint":
+            return self._whole_product(cells, a, v, skipna)
         total = F.product if product else F.sum
-        cast = "bigint" if self.dtype in ("bigint", "int") else self.dtype
         others = [f"`{c}`" for x in self.rest(i) for c in x.cols]
         block = options.get_option("scan.block")
         if others or a.size <= block:
@@ -38,6 +40,17 @@ class ScanOps:
         out = F.col("__base") * F.col("__in") if product else F.col("__base") + F.col("__in")
         return self.make(cells.withColumn("value", out if skipna else F.when(F.col("__all") & F.col("__fine"), out)), self.axes)
 
+    def _whole_product(self, cells, a: Axis, v, skipna: bool):
+        """Exact products of whole numbers: the factors other than 0, 1 and -1 so far, of which 63 fit at most before Spark's overflow error."""
+        w = self.window(a).rowsBetween(Window.unboundedPreceding, 0)
+        v = v.cast("bigint")
+        zero, minus = F.coalesce(F.max((v == 0).cast("int")).over(w), F.lit(0)), F.sum((v == -1).cast("int")).over(w)
+        cells = cells.withColumns({"__v": v, "__zero": zero, "__minus": F.coalesce(minus, F.lit(0)), "__ok": F.count("value").over(w) == F.count(F.lit(1)).over(w)})
+        factors = F.collect_list(F.when((F.col("__zero") == 0) & (F.abs("__v") > 1), F.col("__v"))).over(w)
+        out = F.aggregate(factors, F.lit(1).cast("bigint"), lambda x, y: x * y) * F.when(F.col("__minus") % 2 == 1, -1).otherwise(1)
+        out = F.when(F.col("__zero") == 1, F.lit(0).cast("bigint")).otherwise(out)
+        return self.make(cells.withColumn("value", out if skipna else F.when(F.col("__ok"), out)), self.axes)
+
     def cumsum(self, axis=-1, skipna: bool = False):
         return self._scan(axis, skipna, False)
 
@@ -61,6 +74,10 @@ class ScanOps:
         if keepaxis and scheme == "centered":
             raise ValueError("centered differences have labels of their own")
         i = self.axis_no(axis)
+        if self.axes[i].members:
+            if scheme == "centered":
+                raise ValueError("labels of several dimensions have no mean")
+            return self.one_key(i).diff(i, scheme, keepaxis)
         a = self.axes[i]
         cells = self.with_pos(self.dense().cells, a)
         w, pos = self.window(a), self.order(a)[0]

@@ -59,8 +59,11 @@ class ShapeOps:
             raise ValueError("only dimensions of size one can be dropped")
         return self.make(self.cells, self.rest(*nos))
 
-    def flatten(self, *dims, insert: int | None = None):
-        """Several dimensions as one, in row-major order of the names given; a set keeps the array's order."""
+    def flatten(self, *dims, insert: int | None = None, reverse: bool = False):
+        """Several dimensions as one, in row-major order of the names given; a set keeps the array's order. reverse: all but those given."""
+        if reverse:
+            given = dims[0] if len(dims) == 1 and isinstance(dims[0], (set, frozenset, list, tuple)) else dims
+            dims = tuple(d for i, d in enumerate(self.dims) if i not in {self.axis_no(x) for x in given})
         if len(dims) == 1 and isinstance(dims[0], (set, frozenset)):
             dims = tuple(d for d in self.dims if d in dims[0])
         elif len(dims) == 1 and isinstance(dims[0], (list, tuple)):
