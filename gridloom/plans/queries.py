@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +14,14 @@ import gridloom as gl
 from ..array import LabelArray
 from ..dataset import Dataset
 
+def shared_folder(spark: SparkSession) -> str:
+    """Where all executors can write; a folder of this machine only on a local master."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return root.rstrip("/") if root else f"file://{tempfile.mkdtemp()}"
+
+
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -35,6 +45,11 @@ def pt(spark: SparkSession, sf: str) -> LabelArray:
     return LabelArray.from_dataframe(t, ["p_brand", "p_size"], axes={"p_size": range(1, 51)})
 
 
+def pt3(spark: SparkSession, sf: str) -> LabelArray:
+    """Three brands of pt: some sizes have a part of each, others do not."""
+    return pt(spark, sf).isel(p_brand=slice(0, 3))
+
+
 def od(spark: SparkSession, sf: str) -> LabelArray:
     """Order value by priority, status and year."""
     t = _table(spark, sf, "orders").groupBy("o_orderpriority", "o_orderstatus", F.year("o_orderdate").cast("bigint").alias("year")).agg(F.round(F.sum("o_totalprice"), 2).alias("value"))
@@ -68,6 +83,7 @@ CTE = """WITH li AS (SELECT l_returnflag, l_linestatus, (year(l_shipdate) * 100
 pt AS (SELECT p_brand, p_size::BIGINT AS p_size, round(avg(p_retailprice), 4) AS value FROM part GROUP BY ALL),
 sizes AS (SELECT unnest(range(1, 51))::BIGINT AS p_size), brands AS (SELECT DISTINCT p_brand FROM pt),
 grid AS (SELECT p_brand, p_size, value FROM brands CROSS JOIN sizes LEFT JOIN pt USING (p_brand, p_size)),
+brands3 AS (SELECT p_brand FROM brands ORDER BY p_brand LIMIT 3), grid3 AS (SELECT * FROM grid WHERE p_brand IN (SELECT p_brand FROM brands3)),
 od AS (SELECT o_orderpriority, o_orderstatus, year(o_orderdate)::BIGINT AS year, round(sum(o_totalprice), 2) AS value FROM orders GROUP BY ALL),
 odc AS (SELECT o_orderpriority, o_orderstatus, year(o_orderdate)::BIGINT AS year, count(*) AS value FROM orders GROUP BY ALL),
 ev AS (SELECT event_type, day(ts)::BIGINT AS day, round(sum(value), 2) AS value FROM events GROUP BY ALL),
@@ -99,7 +115,7 @@ _AGG = {"sum": "sum(value)", "mean": "avg(value)", "min": "min(value)", "max": "
 
 def _reductions() -> None:
     for op, agg in _AGG.items():
-        digits = 2 if op in ("sum", "min", "max", "ptp") else 3 if op != "var" else -2
+        digits = 2 if op in ("sum", "min", "max", "ptp") else 3 if op != "var" else 0
 
         def months(spark, sf, op=op):
             return li(spark, sf).reduce(op, "month", skipna=True)
@@ -116,10 +132,10 @@ def _reductions() -> None:
         query(f"SELECT p_size, {zero} AS value FROM grid GROUP BY p_size" + ("" if op == "sum" else " HAVING count(value) > 0"), digits)(skip)
 
         def strict(spark, sf, op=op):
-            return pt(spark, sf).reduce(op, "p_brand")
+            return pt3(spark, sf).reduce(op, "p_brand")
 
         strict.__name__ = f"reduce_{op}_strict"
-        query(f"SELECT p_size, CASE WHEN count(value) = (SELECT count(*) FROM brands) THEN {agg} END AS value FROM grid GROUP BY p_size", digits, True)(strict)
+        query(f"SELECT p_size, CASE WHEN count(value) = 3 THEN {agg} END AS value FROM grid3 GROUP BY p_size", digits, True)(strict)
 
 
 _reductions()
@@ -130,14 +146,14 @@ def reduce_prod(spark, sf):
     return od_count(spark, sf).take({"o_orderstatus": "F", "year": slice(None, 1997)}).prod("year")
 
 
-@query("SELECT p_brand, count(value) = 50 AS value FROM grid GROUP BY p_brand")
+@query("SELECT p_size, count(value) = 3 AS value FROM grid3 GROUP BY p_size")
 def reduce_all_present(spark, sf):
-    return (pt(spark, sf) > 0).all("p_size")
+    return (pt3(spark, sf) > 0).all("p_brand")
 
 
-@query("SELECT p_brand, bool_or(coalesce(value > 1400, false)) AS value FROM grid GROUP BY p_brand")
+@query("SELECT p_size, bool_or(coalesce(value > 970, false)) AS value FROM grid3 GROUP BY p_size")
 def reduce_any(spark, sf):
-    return (pt(spark, sf) > 1400).any("p_size")
+    return (pt3(spark, sf) > 970).any("p_brand")
 
 
 @query("SELECT year, sum(value) AS value FROM od GROUP BY year", 2)
@@ -145,9 +161,10 @@ def reduce_two_dims(spark, sf):
     return od(spark, sf).sum(("o_orderpriority", "o_orderstatus"))
 
 
-@query("SELECT sum(value) AS total, avg(value) AS mean FROM od")
+@query("SELECT round(sum(value), 1) AS total, round(avg(value), 4) AS mean FROM od")
 def reduce_all_dims(spark, sf):
-    return od(spark, sf).cells.agg(F.sum("value").alias("total"), F.avg("value").alias("mean"))
+    a = od(spark, sf)
+    return spark.createDataFrame([(a.sum(), a.mean())], "total double, mean double").select(F.round("total", 1).alias("total"), F.round("mean", 4).alias("mean"))
 
 
 @query("SELECT event_type, day, sum(value) AS value FROM us GROUP BY ALL", 2)
@@ -256,10 +273,38 @@ def sel_nearest(spark, sf):
     return ev(spark, sf).nloc[{"day": 17.4}]
 
 
-@query("SELECT * FROM pt WHERE value > 1200")
+@query("SELECT * FROM pt WHERE value > 950")
 def mask_cells(spark, sf):
     a = pt(spark, sf)
-    return a[a > 1200]
+    return a[a > 950]
+
+
+@query("SELECT avg(value) AS value, count(*) AS n FROM pt WHERE value > 950", 6)
+def mask_strict_mean(spark, sf):
+    a = pt(spark, sf)
+    hits = a[a > 950]
+    return spark.createDataFrame([(hits.mean(), hits.shape[0])], "value double, n long")
+
+
+@query("SELECT * FROM pt WHERE p_size > 40")
+def mask_1d(spark, sf):
+    a = pt(spark, sf).transpose()
+    return a[a.p_size > 40]
+
+
+@query("SELECT * FROM pt WHERE p_size > 40 AND p_brand IN ('Brand#1', 'Brand#11')")
+def mask_mixed(spark, sf):
+    import numpy as np
+
+    a = pt(spark, sf)
+    return a[np.array(["Brand#11", "Brand#1"]), a.p_size > 40]
+
+
+@query("SELECT * FROM ev WHERE day IN (3, 11, 30)")
+def take_numpy(spark, sf):
+    import numpy as np
+
+    return ev(spark, sf).take(np.array([30, 3, 11]), axis="day")
 
 
 @query("SELECT * FROM pt WHERE p_size > 40")
@@ -268,11 +313,11 @@ def mask_axis(spark, sf):
     return a.compress_axis(a.p_size > 40, axis="p_size")
 
 
-@query("SELECT CASE WHEN event_type = 'click' THEN 0 ELSE 1 END::BIGINT AS k, value FROM ev WHERE (event_type, day) IN (('click', 3), ('view', 5))")
+@query("SELECT event_type, day, value FROM ev WHERE (event_type, day) IN (('click', 3), ('view', 5))")
 def pointwise(spark, sf):
     a = ev(spark, sf)
     types = [t for t in ("click", "view") if t in a.labels[0]]
-    return a.take((types, [3, 5][: len(types)]), broadcast=True).cells.withColumnRenamed("event_type,day", "k")
+    return a.take((types, [3, 5][: len(types)]), broadcast=True)
 
 
 @query("SELECT * FROM us WHERE user_id = 7")
@@ -325,9 +370,9 @@ def outer_product(spark, sf):
     return ev(spark, sf).max("day") * od_count(spark, sf).max(("o_orderpriority", "year"))
 
 
-@query("SELECT p_brand, p_size, coalesce(value >= 1250, false) AS value FROM grid")
+@query("SELECT p_brand, p_size, coalesce(value >= 950, false) AS value FROM grid")
 def compare(spark, sf):
-    return pt(spark, sf) >= 1250
+    return pt(spark, sf) >= 950
 
 
 @query("SELECT a.event_type, a.day, b.value IS NULL AS value FROM ev a LEFT JOIN ev b ON a.event_type = b.event_type AND a.day = b.day AND b.day <= 15")
@@ -375,11 +420,10 @@ def stack(spark, sf):
     return gl.stack({"lo": a.sel(day=slice(1, 9)), "hi": hi}, axis="half")
 
 
-@query("SELECT event_type, CASE WHEN day > 25 THEN day - 26 ELSE day + 4 END AS pos, value FROM ev WHERE day > 25 OR day <= 5")
+@query("SELECT event_type, day, value FROM ev WHERE day > 25 UNION ALL SELECT event_type, day, value FROM ev WHERE day <= 5 UNION ALL SELECT event_type, day, value FROM ev WHERE day <= 1")
 def concatenate(spark, sf):
     a = ev(spark, sf)
-    both = gl.concatenate([a.sel(day=slice(26, None)), a.sel(day=slice(None, 5)), a.sel(day=slice(None, 1))], axis="day")
-    return both.isel(day=slice(0, both.shape[1] - 1)).cells.withColumn("pos", F.when(F.col("day") > 25, F.col("day") - 26).otherwise(F.col("day") + 4)).drop("day")
+    return gl.concatenate([a.sel(day=slice(26, None)), a.sel(day=slice(None, 5)), a.sel(day=slice(None, 1))], axis="day")
 
 
 @query("SELECT event_type, o_orderstatus, a.value FROM (SELECT event_type, sum(value) AS value FROM ev GROUP BY ALL) a CROSS JOIN (SELECT DISTINCT o_orderstatus FROM od) b", 2)
@@ -418,10 +462,10 @@ def interp2d(spark, sf):
 # -- missing values and shape -----------------------------------------------------------------
 
 
-@query("SELECT * FROM pt WHERE value <= 1400")
+@query("SELECT * FROM pt WHERE value <= 960")
 def setna_mask(spark, sf):
     a = pt(spark, sf)
-    return a.setna(a > 1400)
+    return a.setna(a > 960)
 
 
 @query("SELECT p_brand, p_size, coalesce(value, -1.0) AS value FROM grid")
@@ -429,9 +473,9 @@ def fillna(spark, sf):
     return pt(spark, sf).fillna(-1.0)
 
 
-@query("SELECT * FROM pt WHERE p_size IN (SELECT p_size FROM pt GROUP BY p_size HAVING count(*) = (SELECT count(*) FROM brands))")
+@query("SELECT * FROM grid3 WHERE p_size IN (SELECT p_size FROM grid3 GROUP BY p_size HAVING count(value) = 3)")
 def dropna(spark, sf):
-    return pt(spark, sf).dropna("p_size")
+    return pt3(spark, sf).dropna("p_size")
 
 
 @query("SELECT * FROM pt WHERE p_size IN (SELECT p_size FROM pt GROUP BY p_size HAVING count(*) >= 20)")
@@ -492,10 +536,7 @@ def embedding_mean(spark, sf):
 
 @query("SELECT event_type, day, value FROM ev WHERE day >= 20")
 def store_round_trip(spark, sf):
-    import tempfile
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
-    path = f"{root}/gridloom-store"
+    path = f"{shared_folder(spark)}/gridloom-store-{uuid.uuid4().hex}"
     ev(spark, sf).write(path, "w", "amount")
     return gl.read(spark, path, "amount", {"day": slice(20, None)})
 
