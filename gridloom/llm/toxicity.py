@@ -35,7 +35,7 @@ class Votes:
     vote; prior: weight of the overall share in a vote; block: examples of a block; common: a word is
     common from this share of the examples on."""
 
-    fit_rows: int = 4096
+    fit_rows: int = 2048
     floor: float = 0.05
     sure: float = 2.0
     k: int = 15
@@ -163,7 +163,7 @@ def _examples(docs: DataFrame, labelled: DataFrame, id_col: str, text: str, how:
             yield pa.RecordBatch.from_arrays([pa.array([[t for t, _ in g] for g in got], pa.list_(pa.string())), pa.array([[c for _, c in g] for g in got], pa.list_(pa.int64())), b.column(1), b.column(2)], names=["terms", "counts", "toxic", "id"])
 
     vectors = own.select("text", "toxic", F.col(id_col).cast("long").alias("id")).mapInArrow(run, "terms array<string>, counts array<long>, toxic int, id long")
-    return vectors.collect()
+    return vectors.collect()  # how.fit_rows rows at most
 
 
 def document_frequencies(docs: DataFrame, text: str, vocab: dict[str, int]) -> tuple[int, np.ndarray]:
@@ -203,10 +203,11 @@ def fit(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text: str
             v[2] = min(v[2], r.id)
         else:
             bare[r.toxic] += 1
-    n_toxic = sum(r.toxic for r in rows)
-    share = n_toxic / max(1, len(rows))
+    n_toxic, n_rows = sum(r.toxic for r in rows), len(rows)
+    share = n_toxic / max(1, n_rows)
+    del rows
     n, df = document_frequencies(docs, text, vocab)
-    weight = (np.log((1 + n) / (1 + df)) + 1) * label_factor(with_term[1], with_term[0], n_toxic, len(rows) - n_toxic, how)
+    weight = (np.log((1 + n) / (1 + df)) + 1) * label_factor(with_term[1], with_term[0], n_toxic, n_rows - n_toxic, how)
     # examples stand by their number of words: those of a block have weights of like size, so bounds are near
     vectors = sorted(merged, key=lambda v: (len(v[0]), v))
     index = Index(vectors, [tuple(merged[v]) for v in vectors], weight, how.floor * (np.log((1 + n) / 2) + 1), how)
