@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import BROADCAST_ROWS, few_rows, fresh, materialize, spread, table
+from ._common import BROADCAST_ROWS, few_rows, fresh, lookup, materialize, spread, table
 from .graph import components
 
 #: Seeds of the orders by hash.
@@ -245,15 +245,20 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
 def _components(docs: DataFrame, id_col: str, text: str, how: Join) -> DataFrame:
     """id, h (hash of the text), n, fp, part (null without shingles) and least, the smallest id of the part; materialized."""
     first = materialize(_first_pass(docs, id_col, text, how), "shingles")
-    nodes = first.where("fp is not null").groupBy(F.col("fp").alias("node")).agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("slice").alias("slice"), F.first("spill").alias("spill"))
+    nodes = first.where("fp is not null").groupBy(F.col("fp").alias("node")).agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("slice").alias("slice"), F.first("spill").alias("spill"), F.count(F.lit(1)).alias("c"))
     nodes = materialize(nodes, "nodes")
     classes = _classes(materialize(_prefixes(nodes, how), "prefixes"), how)
     links = _links(docs, id_col, text, nodes.select("node", "id").join(classes, "node"), how)
-    found = nodes.select("node", "id").join(components(links), "node", "left").select(F.col("node").alias("fp"), F.coalesce("component", "node").alias("part"), "id")
+    linked_ = components(links)
+    smallest = materialize(nodes.join(linked_, "node").groupBy("component").agg(F.min("id").alias("least")), "smallest")
+    named = lookup(linked_, smallest, ["component"], "inner", spread=F.xxhash64("node"))
+    found = nodes.select("node", "id", "c").join(named, "node", "left").select(F.col("node").alias("fp"), "c", F.coalesce("component", "node").alias("part"), F.when(F.col("component").isNull(), F.col("id")).otherwise(F.col("least")).alias("least"))
     found = materialize(found, "parts")
-    smallest = found.groupBy("part").agg(F.min("id").alias("least"))
-    out = first.select("id", "h", "n", "fp").join(found.drop("id").join(smallest, "part"), "fp", "left")
-    return materialize(out, "components_of")
+    rows = first.select("id", "h", "n", "fp")
+    many = max(100, int(how.hot * rows.count()))
+    hot = F.broadcast(found.where(F.col("c") > many))  # texts of very many copies; fewer than 1 / how.hot
+    cold = rows.join(hot, "fp", "left_anti").join(found.where(F.col("c") <= many), "fp", "left")
+    return materialize(rows.join(hot, "fp").unionByName(cold).drop("c"), "components_of")
 
 
 def _links(docs: DataFrame, id_col: str, text: str, classes: DataFrame, how: Join) -> DataFrame:
@@ -349,8 +354,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", how
     """
     h, gone, name = fresh(docs, "text_hash"), fresh(docs, "gone"), F.col(f"`{id_col}`")
     found = _components(docs.where(name.isNotNull()), id_col, text, how)
-    best = found.where("part is not null").groupBy("part").agg(F.min(F.struct("id", "h")).alias("best"))
-    marked = found.join(best, "part", "left").select("id", "h", F.coalesce(F.struct("id", "h") != F.col("best"), F.lit(False)).alias(gone))
+    best = found.where("part is not null").groupBy("part").agg(F.min(F.struct("id", "h")).alias("best"), F.count(F.lit(1)).alias("of")).where("of > 1").drop("of")
+    marked = lookup(found, materialize(best, "best"), ["part"], "left", spread=F.xxhash64("id", "h")).select("id", "h", F.coalesce(F.struct("id", "h") != F.col("best"), F.lit(False)).alias(gone))
     marked = materialize(marked.groupBy("id", "h").agg(F.max(gone).alias(gone), F.count(F.lit(1)).alias("times")), "marked")
     keys = lambda d: d.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), F.col("h").alias(h))
     out, mine = docs.withColumn(h, _text_hash(text)), marked.where(F.col(gone))
