@@ -72,6 +72,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once: a plain column in a lambda would be computed for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def sums_before(numbers: Column, step: int = 512) -> Column:
+    """For each of an array of numbers the sum of those before it; sums go by blocks of step. numbers: a column or lambda variable."""
+    total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
+    block = lambda i: F.floor(i / step).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), block(F.size(numbers))), lambda b: total(F.slice(numbers, b * step + 1, F.lit(step))))
+    before = let(blocks, lambda sums: F.transform(sums, lambda _, i: total(F.slice(sums, F.lit(1), i))))
+    return let(before, lambda t: F.transform(numbers, lambda _, i: F.get(t, block(i)) + total(F.slice(numbers, block(i) * step + 1, i % step))))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """The rows of a scan, dealt anew if they come in fewer partitions than there are cores, as from one small file."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import table
+from ._common import let, sums_before, table
 
 CONTROL = r"\[(/?(?:INST|TURN|TEXT|NEXT)\])"
 ENDS = r"<(/?s>)"
@@ -49,10 +49,7 @@ def format_chats(turns: DataFrame, loss_roles: tuple[str, ...] = ("assistant",))
 
     got = got.select("conv_id", F.transform("turns", piece).alias("parts"))
     got = got.select("conv_id", "parts", F.transform("parts", lambda p: F.length(p.head) + F.length(p.body)).alias("lens"))
-    spans = F.transform(
-        "parts",
-        lambda p, i: F.struct((F.aggregate(F.slice("lens", F.lit(1), i), F.lit(0), lambda a, b: a + b) + F.length(p.head)).alias("start"), F.length(p.body).alias("size"), p.loss.alias("loss")),
-    )
+    spans = let(sums_before(F.col("lens")), lambda before: F.transform("parts", lambda p, i: F.struct((F.get(before, i) + F.length(p.head)).alias("start"), F.length(p.body).alias("size"), p.loss.alias("loss"))))
     spans = F.transform(F.filter(spans, lambda s: s.loss), lambda s: F.struct(s.start.alias("start"), (s.start + s["size"]).alias("end")))
     return got.select("conv_id", F.concat(F.array_join(F.transform("parts", lambda p: F.concat(p.head, p.body)), ""), F.lit("</s>")).alias("formatted"), spans.alias("loss_spans"))
 

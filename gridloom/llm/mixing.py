@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import add_from_column, fresh, materialize, rank_within, table, words
+from ._common import add_from_column, fresh, materialize, rank_within, spread, table, words
 
 
 @dataclass(frozen=True)
@@ -165,5 +165,5 @@ def repeat_copies(mixed: DataFrame) -> DataFrame:
 
 
 def op3_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sized = with_sizes(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "text", ("text",))
+    sized = with_sizes(spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text")), "text", ("text",))
     return mix_sized(sized).select("doc_id", "size", "source_size", "target", "taken")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ._common import few_rows, materialize, rank_within, table
+from ._common import few_rows, materialize, rank_within, spread, table
 
 LIMIT = 4096
 END = 1
@@ -215,4 +215,4 @@ def sequences(packed: DataFrame) -> DataFrame:
 
 
 def op6_histogram_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"))
+    return pack(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))

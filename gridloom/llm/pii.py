@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import fresh, lookup, materialize, table
+from ._common import fresh, let, lookup, materialize, table
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = "[A-Za-z0-9._%+-]"
@@ -45,11 +45,6 @@ class Bootstrap:
     confidence: float = 0.9
 
 
-def let(value: Column, body) -> Column:
-    """body(value), with the value computed once: a plain column in a lambda would be computed for each element."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _starts(pieces: Column, found: Column, step: int = 512) -> Column:
     """Start of each match in code points, from the pieces between the matches; sums go by blocks of step.
 

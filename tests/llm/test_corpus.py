@@ -299,6 +299,9 @@ def test_chat_round_trip(spark):
         marks = sum(a[2] != b[2] for a, b in zip(turns, turns[1:], strict=False)) + 1
         assert x.formatted.count("[TURN]") == marks
     assert chat.format_chats(df.limit(0)).count() == 0
+    long = spark.range(2000).selectExpr("1L as conv_id", "id as turn", "case when id % 3 = 0 then 'user' else 'assistant' end as role", "concat('text ', id) as text")
+    one = chat.read_chats(chat.format_chats(long)).first()
+    assert [t.text for t in one.turns] == [f"text {i}" for i in range(2000)] and one.loss_texts == [f"text {i}" for i in range(2000) if i % 3]
 
 
 def test_pipeline_drops_lines_of_a_thirteenth(spark):
