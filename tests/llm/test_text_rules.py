@@ -118,7 +118,7 @@ def test_fitted_bands_equal_brute_force(spark):
 def test_fitted_bands_reject_junk_of_the_sample_table(spark):
     sf = "/root/testdata/sf0.1"
     out = quality.op1_compression_bands(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet").groupBy("doc_id").agg(F.min("quality").alias("quality")), "doc_id", "left")
-    n = {r.quality: (r.bad, r.of) for r in out.where("not base_failed").groupBy("quality").agg(F.count_if("not kept").alias("bad"), F.count(F.lit(1)).alias("of")).collect()}
+    n = {r.quality: (r.bad, r.of) for r in out.where("not base_failed").groupBy("quality").agg(F.count_if(~F.col("kept")).alias("bad"), F.count(F.lit(1)).alias("of")).collect()}
     assert n[0][0] >= 50 and n[1][0] <= 0.002 * n[1][1]
 
 
