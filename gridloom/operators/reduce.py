@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import options
 from ..axis import Axis
 
 
@@ -31,6 +32,48 @@ def _aggregate(op: str, v: Column, n: int | None, ddof: int, whole: bool = False
     return {"sum": F.sum, "prod": F.product, "mean": F.avg, "min": F.min, "max": F.max, "median": F.median, "ptp": lambda x: F.max(x) - F.min(x), "all": lambda x: F.bool_and(x), "any": lambda x: F.bool_or(x)}[op](v)
 
 
+def _of_rank(part: DataFrame, rank: int, most: int, accuracy: int = 10_000):
+    """The value of a rank from 0 among the values of part, none of which is null.
+
+    Approximate percentiles on both sides of the rank bound the values that come into question,
+    until at most ``most`` of them are left; counts of what lies below keep the rank exact. Each round leaves
+    a few thousandths, whatever repeats, since the bounds themselves are answers or left out.
+    """
+    v = F.col("value")
+    n = part.count()
+    while n > most:
+        share = rank / (n - 1)
+        low, high = part.agg(F.percentile_approx(v, [max(0.0, share - 2 / accuracy), min(1.0, share + 2 / accuracy)], accuracy)).first()[0]
+        below, at_low, inside = part.agg(F.count_if(v < low), F.count_if(v == low), F.count_if((v > low) & (v < high))).first()
+        if below <= rank < below + at_low:
+            return low
+        at_high = below + at_low + inside
+        if below + at_low <= rank < at_high:
+            part, rank, n = part.where((v > low) & (v < high)), rank - below - at_low, inside
+        elif rank < below:
+            part, n = part.where(v < low), below
+        else:
+            more = part.where(v >= high)
+            equal = more.where(v == high).count()
+            if rank < at_high + equal:
+                return high
+            part, rank, n = part.where(v > high), rank - at_high - equal, n - at_high - equal
+    return part.sort("value").offset(rank).first()[0]
+
+
+def _percentiles(values: DataFrame, shares: list[float], most: int) -> list[float | None]:
+    """Percentiles of all values with linear interpolation, without a task that sees them all."""
+    values = values.where("value is not null")
+    n = values.count()
+    out = []
+    for s in shares:
+        at = s * (n - 1)
+        low = math.floor(at)
+        below = float(_of_rank(values, low, most)) if n else None
+        out.append(below if below is None or at == low else (low + 1 - at) * below + (at - low) * float(_of_rank(values, low + 1, most)))
+    return out
+
+
 class ReduceOps:
     def reduce(self, op: str, axis=None, skipna: bool = False, ddof: int = 0, keepdims: bool = False):
         """The result over all dimensions is a plain value."""
@@ -40,6 +83,9 @@ class ReduceOps:
         if n is None and not skipna:
             raise ValueError("an open axis has no known size: use skipna=True")
         kind = self.dtype
+        most = options.get_option("reduce.sort_rows")
+        if op == "median" and not rest and not keepdims and (n is None or n > most):
+            return _percentiles(self.cells, [0.5], most)[0] if skipna or self.count() == n else None
         v = F.col("value")
         if op in ("all", "any") and kind != "boolean":
             v = v != 0
@@ -160,6 +206,16 @@ class ReduceOps:
         a, rest = self.axes[i], self.rest(i)
         many = isinstance(pct, (list, tuple)) or hasattr(pct, "__len__")
         asked = [float(p) for p in (pct if many else [pct])]
+        most = options.get_option("reduce.sort_rows")
+        if not rest and (a.is_open or a.size > most):
+            if a.is_open and not skipna:
+                raise ValueError("an open axis has no known size: use skipna=True")
+            found = _percentiles(self.cells, [p / scale for p in asked], most) if skipna or self.count() == a.size else [None] * len(asked)
+            if not many:
+                return found[0]
+            own = Axis.of(newaxis or f"{a.name}_percentile", asked)
+            rows = [(own.key(k), x) for k, x in enumerate(found)]
+            return self.make(self.spark.createDataFrame(rows, f"`{own.name}` {own.key_type()}, value double"), [own], keep=False)
         got = F.percentile("value", F.array(*[F.lit(p / scale) for p in asked]))
         if not skipna:
             got = F.when(F.count("value") == a.size, got)

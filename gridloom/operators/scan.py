@@ -20,26 +20,50 @@ class ScanOps:
         if product and cast == "bigint":
             return self._whole_product(cells, a, v, skipna)
         total = F.product if product else F.sum
-        others = [f"`{c}`" for x in self.rest(i) for c in x.cols]
+        others = [c for x in self.rest(i) for c in x.cols]
+        by = [f"`{c}`" for c in others]
         block = options.get_option("scan.block")
-        if others or a.size <= block:
+        if a.size <= block:
             w = self.window(a).rowsBetween(Window.unboundedPreceding, 0)
             out = total(v).over(w).cast(cast)
             ok = F.count("value").over(w) == F.count(F.lit(1)).over(w)
             return self.make(cells.withColumn("value", out if skipna else F.when(ok, out)), self.axes)
-        # a single long line: totals of blocks first, then sums inside each block on top of them
+        # long lines: totals of blocks first, then sums inside each block on top of them
         pos = self.order(a)
-        cells = cells.withColumn("__block", F.floor(pos[0] / block))
-        before = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-        sums = cells.groupBy("__block").agg(total(v).cast(cast).alias("__t"), (F.count("value") == F.count(F.lit(1))).alias("__ok"))
-        sums = sums.select("__block", F.coalesce(total("__t").over(before).cast(cast), F.lit(neutral).cast(cast)).alias("__base"), F.coalesce(F.bool_and("__ok").over(before), F.lit(True)).alias("__fine"))
-        w = Window.partitionBy("__block").orderBy(*pos).rowsBetween(Window.unboundedPreceding, 0)
+        cells = self._cut(cells, a, block)
+        before = Window.partitionBy(*by).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+        sums = cells.groupBy(*by, "__block").agg(total(v).cast(cast).alias("__t"), (F.count("value") == F.count(F.lit(1))).alias("__ok"))
+        sums = sums.select(*by, "__block", F.coalesce(total("__t").over(before).cast(cast), F.lit(neutral).cast(cast)).alias("__base"), F.coalesce(F.bool_and("__ok").over(before), F.lit(True)).alias("__fine"))
+        w = Window.partitionBy(*by, "__block").orderBy(*pos).rowsBetween(Window.unboundedPreceding, 0)
         inner = total(v).over(w).cast(cast)
         ok = F.count("value").over(w) == F.count(F.lit(1)).over(w)
-        cells = cells.withColumns({"__in": inner, "__all": ok}).join(sums, "__block")
+        cells = cells.withColumns({"__in": inner, "__all": ok}).join(sums, [*others, "__block"])
         out = F.col("__base") * F.col("__in") if product else F.col("__base") + F.col("__in")
         return self.make(cells.withColumn("value", out if skipna else F.when(F.col("__all") & F.col("__fine"), out)), self.axes)
 
+    def _cut(self, cells, a: Axis, block: int):
+        """cells with their position along the axis, flattened or not, and the block of so many positions that it is in."""
+        at = F.lit(0).cast("bigint")
+        for m, p in zip([m for m in a.levels if not m.dummy], self.order(a), strict=True):
+            at = at * m.size + p
+        return cells.withColumn("__at", at).withColumn("__block", F.expr(f"__at div {block}"))
+
+    def _beside(self, cells, a: Axis, f, back: int = 0, ahead: int = 0):
+        """cells with the value f(window), where the window looks so many cells back and ahead.
+
+        Long lines are cut into blocks; a cell goes to the next block, or the one before, as well if windows there look at it.
+        """
+        block = max(options.get_option("scan.block"), back, ahead)
+        if a.size <= block:
+            return cells.withColumn("value", f(self.window(a)))
+        cells = self._cut(cells, a, block).withColumnRenamed("__block", "__own")
+        own, place = F.col("__own"), F.col("__at") % block
+        seen = F.array(own, F.when(place >= block - back, own + 1), F.when(place < ahead, own - 1))
+        cells = cells.withColumn("__block", F.explode(F.array_compact(seen)))
+        others = [f"`{c}`" for x in self.axes if x is not a for c in x.cols]
+        w = Window.partitionBy(*others, "__block").orderBy("__at")
+        return cells.withColumn("value", f(w)).where("__block = __own")
+
     def _whole_product(self, cells, a: Axis, v, skipna: bool):
         """Exact products of whole numbers: the factors other than 0, 1 and -1 so far, of which 63 fit at most before Spark's overflow error."""
         w = self.window(a).rowsBetween(Window.unboundedPreceding, 0)
@@ -61,10 +85,14 @@ class ScanOps:
         """sum, mean, min, max or std over the last width cells; missing before the first full window."""
         a = self.axis(axis)
         cells = self.with_pos(self.dense().cells, a)
-        w = self.window(a).rowsBetween(-(width - 1), 0)
-        got = {"sum": F.sum, "mean": F.avg, "min": F.min, "max": F.max, "std": F.stddev_pop}[op]("value").over(w)
-        ok = (F.count(F.lit(1)).over(w) == width) & (F.lit(skipna) | (F.count("value").over(w) == width))
-        return self.make(cells.withColumn("value", F.when(ok, got)), self.axes)
+        total = {"sum": F.sum, "mean": F.avg, "min": F.min, "max": F.max, "std": F.stddev_pop}[op]
+
+        def over(w):
+            w = w.rowsBetween(-(width - 1), 0)
+            ok = (F.count(F.lit(1)).over(w) == width) & (F.lit(skipna) | (F.count("value").over(w) == width))
+            return F.when(ok, total("value").over(w))
+
+        return self.make(self._beside(cells, a, over, back=width - 1), self.axes)
 
     def diff(self, axis=-1, scheme: str = "backward", keepaxis: bool = False, n: int = 1):
         if n > 1:
@@ -80,11 +108,11 @@ class ScanOps:
             return self.one_key(i).diff(i, scheme, keepaxis)
         a = self.axes[i]
         cells = self.with_pos(self.dense().cells, a)
-        w, pos = self.window(a), self.order(a)[0]
+        pos = self.order(a)[0]
         if scheme == "forward":
-            cells = cells.withColumn("value", F.lead("value").over(w) - F.col("value"))
+            cells = self._beside(cells, a, lambda w: F.lead("value").over(w) - F.col("value"), ahead=1)
         else:
-            cells = cells.withColumn("value", F.col("value") - F.lag("value").over(w))
+            cells = self._beside(cells, a, lambda w: F.col("value") - F.lag("value").over(w), back=1)
         if keepaxis:
             if self.dtype in ("bigint", "int"):
                 cells = cells.withColumn("value", F.col("value").cast("double"))

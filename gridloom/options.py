@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-_DEFAULTS = {"align.join": "outer", "op.reindex": True, "op.broadcast": True, "display.max": 100, "indexing.by": "label", "axis.broadcast_labels": 100_000, "scan.block": 10_000, "axis.list_hits": 1_000_000}
+_DEFAULTS = {"align.join": "outer", "op.reindex": True, "op.broadcast": True, "display.max": 100, "indexing.by": "label", "axis.broadcast_labels": 100_000, "scan.block": 10_000, "axis.list_hits": 1_000_000, "reduce.sort_rows": 1_000_000}
 _values = dict(_DEFAULTS)
 
 

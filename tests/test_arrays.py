@@ -78,7 +78,50 @@ def test_long_line(spark):
     same(line.cumsum().values, np.cumsum(v))
     same(line.cumsum(skipna=True).values, np.nancumsum(v))
     same(line.cumprod(skipna=True).values, np.nancumprod(v))
-    gl.reset_options()
+    grid = LabelArray.from_values(spark, np.stack([v, v[::-1], v * 2]), [("k", list("abc")), ("t", list(range(7)))])
+    try:
+        for one in (line, grid):
+            raw = one.values
+            same(one.cumsum(skipna=True).values, np.nancumsum(raw, -1))
+            same(one.cumsum().values, np.cumsum(raw, -1))
+            same(one.diff().values, np.diff(raw))
+            same(one.diff(scheme="forward").values, np.diff(raw))
+            same(one.diff(scheme="centered").values, np.diff(raw))
+            for width in (1, 2, 3, 5):
+                want = np.full(raw.shape, np.nan)
+                want[..., width - 1 :] = np.lib.stride_tricks.sliding_window_view(raw, width, axis=-1).sum(-1)
+                same(one.moving("sum", width).values, want)
+        flat = grid.flatten()
+        same(flat.cumsum(skipna=True).values, np.nancumsum(grid.values.reshape(-1)))
+        same(flat.diff().values, np.diff(grid.values.reshape(-1)))
+        plan = line.diff().cells._jdf.queryExecution().optimizedPlan().toString()
+        assert "__block" in plan and "windowspecdefinition(__block" in plan
+    finally:
+        gl.reset_options()
+
+
+@pytest.mark.parametrize("values", [np.r_[np.arange(40.0), np.nan], np.r_[np.zeros(30), 1, 2, np.ones(20), np.nan], np.full(9, 4.0), np.r_[-5.0, np.full(25, 3.0), 7]])
+def test_percentiles_of_all(spark, values):
+    """Ranks narrowed by bounds give what a sort of all values gives, ties included."""
+    gl.set_option("reduce.sort_rows", 4)
+    try:
+        a = LabelArray.from_values(spark, values)
+        q = [0, 10, 33, 50, 90, 100]
+        same(gl.percentile(a, q, axis=0, skipna=True).values, np.nanpercentile(values, q))
+        assert a.median(skipna=True) == np.nanmedian(values)
+        assert (a.median() is None) == bool(np.isnan(values).any())
+    finally:
+        gl.reset_options()
+    assert gl.percentile(a, q, axis=0, skipna=True).labels[0] == tuple(q)
+
+
+def test_percentiles_of_nothing(spark):
+    gl.set_option("reduce.sort_rows", 4)
+    try:
+        a = LabelArray.from_values(spark, np.full(9, np.nan))
+        assert a.median(skipna=True) is None and gl.percentile(a, 50, axis=0, skipna=True) is None
+    finally:
+        gl.reset_options()
 
 
 def test_percentile(spark, a):
