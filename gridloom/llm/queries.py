@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, lines, merkle, mixing, neighbours, ngram_join, packing, pii, quality, toxicity, urls, whitening
+from . import chat, lines, merkle, mixing, neighbours, ngram_join, packing, pii, quality, recompression, toxicity, urls, whitening
 
 QUERIES = {
     "op1_compression_bands": quality.op1_compression_bands,
@@ -15,8 +15,9 @@ QUERIES = {
     "op8_hilbert_neighbours": neighbours.op8_hilbert_neighbours,
     "op9_relational_chat": chat.op9_relational_chat,
     "op10_nearest_examples": toxicity.op10_nearest_examples,
+    "op11_recompression_dedup": recompression.op11_recompression_dedup,
     "op12_merkle_manifest": merkle.op12_merkle_manifest,
     "op13_tsqr_whitening": whitening.op13_tsqr_whitening,
 }
 
-SQL = {"op2_site_line_dedup": lines.OP2_SQL, "op5_multi_order_jaccard": ngram_join.OP5_SQL, "op9_relational_chat": chat.OP9_SQL, "op12_merkle_manifest": merkle.OP12_SQL}
+SQL = {"op2_site_line_dedup": lines.OP2_SQL, "op5_multi_order_jaccard": ngram_join.OP5_SQL, "op9_relational_chat": chat.OP9_SQL, "op11_recompression_dedup": recompression.OP11_SQL, "op12_merkle_manifest": merkle.OP12_SQL}
