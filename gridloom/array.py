@@ -48,20 +48,20 @@ class LabelArray(IndexOps, AlignOps, ArithOps, ReduceOps, ScanOps, InterpOps, Mi
     # -- constructors -------------------------------------------------------------------------
 
     @classmethod
-    def from_dataframe(cls, df: DataFrame, dims: Sequence[str], value: str = "value", axes: dict | None = None, listed: bool = True, attrs: dict | None = None, aggregate: Callable[[Column], Column] | None = None) -> LabelArray:
+    def from_dataframe(cls, df: DataFrame, dims: Sequence[str], value: str = "value", axes: dict | None = None, listed: bool | str = True, attrs: dict | None = None, aggregate: Callable[[Column], Column] | None = None) -> LabelArray:
         """From rows with one column a dimension; the dims must identify a row, or rows are aggregated first.
 
         aggregate: a function of the value column, such as F.sum. Rows with a null label are left out.
 
         axes: known labels by dimension; other axes list the sorted distinct labels found (one job
-        for all), or stay open with listed=False. Rows with labels off a given axis are left out.
+        for all), or stay open with listed=False; with listed="ordered" open axes get a table of labels at once. Rows with labels off a given axis are left out.
         """
         kind = dict(df.dtypes)[value]
         cells = df.select(*[F.col(f"`{d}`") for d in dims], clean(F.col(f"`{value}`"), kind).alias("value")).dropna(subset=list(dims)) if dims else df.select(clean(F.col(f"`{value}`"), kind).alias("value"))
         if aggregate is not None:
             cells = cells.groupBy(*[f"`{d}`" for d in dims]).agg(aggregate(F.col("value")).alias("value"))
         axes = dict(axes or {})
-        ask = [d for d in dims if d not in axes and listed]
+        ask = [d for d in dims if d not in axes and listed is True]
         if ask:
             found = cells.select(*[F.array_sort(F.collect_set(d)).alias(d) for d in ask]).first()
             axes |= {d: found[d] for d in ask}
@@ -72,7 +72,10 @@ class LabelArray(IndexOps, AlignOps, ArithOps, ReduceOps, ScanOps, InterpOps, Mi
             if d not in ask and a.labels is not None:
                 cells = cells.where(F.col(d).isin(*a.labels)) if a.size <= 1000 else cells.join(a.hinted(cells.sparkSession).select(d), d, "left_semi")
             out.append(a)
-        return cls(cells, out, attrs)
+        made = cls(cells, out, attrs)
+        for i in range(made.ndim if listed == "ordered" else 0):
+            made = made.ordered(i)
+        return made
 
     @classmethod
     def from_values(cls, spark: SparkSession, values, axes=None, dims: Sequence[str] | None = None, attrs: dict | None = None, **more) -> LabelArray:
@@ -192,14 +195,14 @@ class LabelArray(IndexOps, AlignOps, ArithOps, ReduceOps, ScanOps, InterpOps, Mi
 
     def _axis_line(self, i: int) -> str:
         a = self.axes[i]
-        return f"{i} / {a.name} (open)" if a.is_open else f"{i} / {a.name} ({a.size})" + (f": {a.values[0]} to {a.values[-1]}" if a.size else "")
+        return f"{i} / {a.name} (" + (f"{a.size}, " if a.order else "") + "open)" if a.is_open else f"{i} / {a.name} ({a.size})" + (f": {a.values[0]} to {a.values[-1]}" if a.size else "")
 
     def summary(self) -> str:
         """The repr with counts of cells and with attributes; runs a job."""
         n = self.cells.agg(F.count("value")).first()[0]
-        head = f"{n} non-null elements" + ("" if any(a.is_open for a in self.axes) else f" ({self.size - n} null)")
+        head = f"{n} non-null elements" + (f" ({self.size - n} null)" if all(a.is_counted for a in self.axes) else "")
         lines = [head, *map(self._axis_line, range(self.ndim)), *[f"{k}: {v!r}" for k, v in self.attrs.items()]]
-        if self.size <= options.get_option("display.max"):
+        if all(a.is_counted for a in self.axes) and self.size <= options.get_option("display.max"):
             lines.append(repr(self.values))
         return "\n".join(lines)
 
@@ -215,6 +218,11 @@ class LabelArray(IndexOps, AlignOps, ArithOps, ReduceOps, ScanOps, InterpOps, Mi
 
     def dense(self) -> LabelArray:
         """With a row for every cell of the grid, null where missing."""
+        if not all(a.is_counted for a in self.axes):
+            out = self
+            for i in range(self.ndim):
+                out = out.ordered(i)
+            return out.dense()
         cols = [c for a in self.axes for c in a.cols]
         if not cols:
             return self
@@ -227,6 +235,8 @@ class LabelArray(IndexOps, AlignOps, ArithOps, ReduceOps, ScanOps, InterpOps, Mi
             name = f"{prefix}{a.name}"
             if a.by_pos:
                 cells = cells.withColumn(name, F.col(f"`{a.name}`"))
+            elif a.order:
+                cells = cells.join(a.hinted(self.spark, pos=name), a.name)
             elif a.kind == "int" and a.size and a.values == tuple(range(a.values[0], a.values[0] + a.size)):
                 cells = cells.withColumn(name, F.col(f"`{a.name}`") - a.values[0])
             else:
@@ -261,6 +271,11 @@ class LabelArray(IndexOps, AlignOps, ArithOps, ReduceOps, ScanOps, InterpOps, Mi
         for a in (m for x in self.axes for m in x.levels if not x.dummy):
             if not a.by_pos:
                 names.append(a.name)
+            elif a.order:  # tuples as well: a struct with a field for each dimension
+                t = a.hinted(self.spark, label="__label")
+                parts = [f.name for f in t.schema["__label"].dataType.fields]
+                out = out.join(t, a.name).drop(a.name, "__pos").select("*", *[F.col(f"__label.`{p}`").alias(p) for p in parts]).drop("__label")
+                names += parts
             elif a.kind == "tuple":  # a column for each dimension of such labels
                 parts = a.name.split(",")
                 own = parts if len(parts) == len(a.values[0]) else [f"{a.name}_{i}" for i in range(len(a.values[0]))]

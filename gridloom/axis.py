@@ -1,8 +1,10 @@
 """Axes: named, ordered label lists kept on the driver.
 
 An axis is metadata. The cells of an array carry a key for each axis: the label itself, or the
-position where labels repeat (keyed="pos"). An axis without labels (labels=None) is open: its labels
-stay in the cells, for dimensions too large to list; what needs their order or number raises.
+position where labels repeat (keyed="pos"). An axis without labels (labels=None) is open, for
+dimensions too large to list: its labels stay in the cells, or in a table that gives them in order
+with their positions (``order``). What needs order or number makes that table first; what needs
+the list raises.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import options
+from .ordered import Labels
 
 _TYPES = {"bool": "boolean", "int": "bigint", "float": "double", "str": "string", "time": "timestamp", "date": "date"}
 
@@ -51,6 +54,7 @@ class Axis:
     members: tuple[Axis, ...] = ()
     dummy: bool = False
     by_pos: bool = False
+    order: Labels | None = None
 
     @staticmethod
     def of(name: str, labels: Sequence | None = None, tol: float | None = None, **attrs) -> Axis:
@@ -81,15 +85,24 @@ class Axis:
 
     @property
     def size(self) -> int:
-        return math.prod(m.size for m in self.members) if self.members else len(self.values)
+        return math.prod(m.size for m in self.members) if self.members else self.order.size if self.order else len(self.values)
 
     @property
     def is_open(self) -> bool:
         return any(m.is_open for m in self.members) if self.members else not self.dummy and self.labels is None
 
+    @property
+    def is_counted(self) -> bool:
+        """False for open axes without a table of labels."""
+        return all(m.is_counted for m in self.members) if self.members else not self.is_open or self.order is not None
+
     @property
     def kind(self) -> str:
-        return kind_of(self.values)
+        return self.order.kind if self.order else kind_of(self.values)
+
+    def ordered(self, spark: SparkSession) -> Labels:
+        """The labels as a table; of an axis that lists them too."""
+        return self.order or Labels.listed(spark, self.values, _TYPES[self.kind], self.direction())
 
     @property
     def numeric(self) -> bool:
@@ -97,6 +110,8 @@ class Axis:
 
     def direction(self) -> int:
         """1 or -1 if strictly monotonic, 0 if not; 1 for fewer than two labels."""
+        if self.order:
+            return self.order.way
         v = self.values
         if len(v) < 2:
             return 1
@@ -123,6 +138,10 @@ class Axis:
         return self.direction() != 0
 
     def take(self, positions: Sequence[int]) -> Axis:
+        if self.order and isinstance(positions, range):
+            return replace(self, order=self.order.stepped(positions))
+        if self.order:
+            return replace(Axis.of(self.name, self.order.at(list(positions)), self.tol), attrs=dict(self.attrs))
         return replace(Axis.of(self.name, [self.values[i] for i in positions], self.tol), attrs=dict(self.attrs))
 
     def relabel(self, labels, name: str | None = None) -> Axis:
@@ -151,6 +170,8 @@ class Axis:
     def sort(self, key=None) -> Axis:
         if self.members:
             raise NotImplementedError("flattened axes have the order of their members")
+        if self.order and key is None:
+            return replace(self, order=self.order.ascending())
         return self.take(self.sorted_by(key))
 
     def cast(self, kind: str) -> Axis:
@@ -186,7 +207,10 @@ class Axis:
         return sorted(range(self.size), key=lambda i: f(self.values[i]))
 
     def __eq__(self, other) -> bool:
-        return isinstance(other, Axis) and self.name == other.name and self.dummy == other.dummy and self.members == other.members and self.labels == other.labels
+        alike = isinstance(other, Axis) and self.name == other.name and self.dummy == other.dummy and self.members == other.members and self.labels == other.labels
+        if alike and (self.order or other.order):
+            return bool(self.order and other.order) and self.order.same(other.order)
+        return alike
 
     def __hash__(self) -> int:
         return hash((self.name, self.labels, self.members))
@@ -195,6 +219,9 @@ class Axis:
 
     def union(self, other: Axis) -> Axis:
         """Sorted if both run the same way strictly; otherwise left labels and then unseen right ones."""
+        if self.order or other.order:
+            spark = (self.order or other.order).table.sparkSession
+            return replace(self, labels=None, by_pos=False, order=self.ordered(spark).union(other.ordered(spark)))
         a, b = self.values, other.values
         if a == b or not b:
             return self
@@ -209,6 +236,9 @@ class Axis:
 
     def intersection(self, other: Axis) -> Axis:
         """Left order, left repeats."""
+        if self.order or other.order:
+            spark = (self.order or other.order).table.sparkSession
+            return replace(self, labels=None, by_pos=False, order=self.ordered(spark).intersection(other.ordered(spark)))
         there = set(other.values)
         return replace(Axis.of(self.name, [x for x in self.values if x in there], self.tol), attrs=dict(self.attrs))
 
@@ -216,7 +246,10 @@ class Axis:
 
     def locate(self, label, tol: float | None = None) -> int:
         """Position of a label; with tol the nearest one, the first of equals, if it is near enough."""
-        label, v = plain(label), self.values
+        label = plain(label)
+        if self.order:
+            return self.locate_all([label], tol)[0]
+        v = self.values
         if isinstance(label, str) and self.kind in ("time", "date"):
             label = dt.datetime.fromisoformat(label) if self.kind == "time" else dt.date.fromisoformat(label)
         tol = self.tol if tol is None else tol
@@ -236,7 +269,24 @@ class Axis:
         except (KeyError, TypeError):
             raise IndexError(f"no label {label!r} on axis {self.name!r}") from None
 
-    def locate_slice(self, s: slice) -> list[int]:
+    def locate_all(self, labels: list, tol: float | None = None) -> list[int]:
+        """Positions of several labels of an open axis, in one job."""
+        tol = self.tol if tol is None else tol
+        if self.kind in ("time", "date"):
+            of = dt.datetime if self.kind == "time" else dt.date
+            labels = [of.fromisoformat(x) if isinstance(x, str) else x for x in labels]
+        if tol is not None and self.numeric:
+            found = self.order.nearest(labels)
+            for x, got in zip(labels, found, strict=True):
+                if got is None or abs(got[1] - x) > tol:
+                    raise IndexError(f"no label of {self.name!r} within {tol} of {x!r}")
+            return [got[0] for got in found]
+        places = self.order.places(labels)
+        if lost := [x for x in labels if x not in places]:
+            raise IndexError(f"no label {lost[0]!r} on axis {self.name!r}")
+        return [places[x] for x in labels]
+
+    def locate_slice(self, s: slice) -> Sequence[int]:
         """Positions of a label slice, both ends inclusive.
 
         On a monotonic numeric axis the ends are a bounding box and need not be labels; elsewhere they
@@ -249,11 +299,22 @@ class Axis:
             if any(isinstance(x, str) for x in (lo, hi)):
                 raise TypeError("a numeric axis takes a numeric slice")
             first, last = (lo, hi) if step > 0 else (hi, lo)
+            if self.order:
+                span = self.order.span(*((first, last) if way > 0 else (last, first)))
+                run = range(span[0], span[1] + 1) if span else range(0)
+                return (run if step > 0 else run[::-1])[:: abs(step)]
             inside = [i for i, x in enumerate(self.values) if (first is None or way * (x - first) >= 0) and (last is None or way * (x - last) <= 0)]
             return (inside if step > 0 else inside[::-1])[:: abs(step)]
         begin = (0 if step > 0 else n - 1) if lo is None else self.locate(lo)
         end = (n - 1 if step > 0 else 0) if hi is None else self.locate(hi)
-        return list(range(begin, end + (1 if step > 0 else -1), step))
+        run = range(begin, end + (1 if step > 0 else -1), step)
+        return run if self.order else list(run)
+
+    def midpoints(self) -> Axis:
+        """The means of neighbouring labels."""
+        if self.order:
+            return replace(self, order=self.order.midpoints())
+        return Axis.of(self.name, [(x + y) / 2 for x, y in zip(self.values, self.values[1:], strict=False)], self.tol)
 
     def search(self, label, side: str) -> int:
         """Position of the first label at (left) or after (right) label in sorted order; the last if there is none."""
@@ -267,10 +328,13 @@ class Axis:
         return position if self.by_pos else self.values[position]
 
     def key_type(self) -> str:
-        return "bigint" if self.by_pos else _TYPES[self.kind]
+        return "bigint" if self.by_pos else self.order.sql_type if self.order else _TYPES[self.kind]
 
     def table(self, spark: SparkSession, pos: str = "__pos", label: str | None = None) -> DataFrame:
         """Rows of position, key (named like the axis) and, if asked for, label."""
+        if self.order:
+            own = F.col("pos" if self.by_pos else "label").alias(self.name)
+            return self.order.table.select(F.col("pos").alias(pos), own, *([F.col("label").alias(label)] if label else []))
         extra = [(label, _TYPES[self.kind])] if label else []
         rows = [(i, self.key(i), *[self.values[i]] * len(extra)) for i in range(self.size)]
         return spark.createDataFrame(rows, ", ".join(f"`{n}` {t}" for n, t in [(pos, "bigint"), (self.name, self.key_type()), *extra]))

@@ -43,6 +43,8 @@ class AlignOps:
         """
         new = values if isinstance(values, Axis) else None
         i = self.axis_no(new.name if new and isinstance(axis, int) else axis)
+        if self.axes[i].is_open or new is not None and new.is_open:
+            return self.ordered(i)._reindex_open(i, new if new is not None else Axis.of(self.axes[i].name, [plain(x) for x in values]), fill_value, raise_error, method)
         a = self.axes[i]
         if a.members:
             return self.one_key(i).reindex_axis(new.values if new else values, i, fill_value, raise_error, method)
@@ -62,11 +64,52 @@ class AlignOps:
             out = out.make(filled.withColumn("value", F.when(F.col(f"`{a.name}`").isin(*absent), F.lit(fill_value).cast(kind)).otherwise(F.col("value").cast(kind))), out.axes)
         return out
 
+    def _reindex_open(self, i: int, new: Axis, fill_value, raise_error: bool, method: str | None):
+        """reindex_axis where the old or the new axis is open: labels meet by a join of their tables, or by an as-of join."""
+        a = self.axes[i]
+        if method not in (None, "left", "right", "nearest"):
+            raise ValueError(f"no method {method!r}")
+        if a.members or a.by_pos:
+            raise ValueError(f"labels of {a.name!r} repeat or are tuples")
+        have = a.ordered(self.spark)
+        if new.is_open and new.order is None:
+            raise ValueError(f"axis {new.name!r} is open without a table: use .ordered() on its array")
+        want = new.ordered(self.spark)
+        key = F.col("pos" if new.by_pos else "label").alias("__new")
+        lost = want.table.join(have.table.select("label"), "label", "left_anti").limit(1).collect() if method is None else []
+        if raise_error and lost:
+            raise IndexError(f"label {lost[0].label!r} and others are not on axis {a.name!r}")
+        if method is None:
+            pairs = want.table.select(key, F.col("label").cast(have.sql_type).alias(a.name)) if have.kind == want.kind else want.table.select(key, F.col("label").alias(a.name))
+        else:
+            met = have.ascending().neighbours(want.table.select("pos", "label"))
+            same = F.col("before.label") == F.col("label")
+            last = have.ascending().at([have.size - 1])[0] if have.size else None
+            if method == "nearest":
+                down, up = F.col("label") - F.col("before.label"), F.col("after.label") - F.col("label")
+                tie = F.when(F.lit(have.way < 0), F.col("after.label")).otherwise(F.col("before.label"))
+                found = F.when(up.isNull() | (down < up), F.col("before.label")).when(down.isNull() | (up < down), F.col("after.label")).otherwise(tie)
+            else:
+                found = F.coalesce(F.when(same & F.lit(method == "left"), F.col("before.label")), F.col("after.label"), F.lit(last))
+            pairs = met.select(key, found.alias(a.name))
+        pairs = pairs.where(F.col(f"`{a.name}`").isNotNull())
+        pairs = F.broadcast(pairs) if want.small else pairs
+        cells = self.cells.join(pairs, a.name).drop(a.name).withColumnRenamed("__new", a.name)
+        kind = self.dtype
+        if lost and (fill_value is None or isinstance(fill_value, float)) and kind in ("bigint", "int"):
+            kind = "double"
+        out = self.make(cells.withColumn("value", F.col("value").cast(kind)), [replace(new, name=a.name) if x is a else x for x in self.axes])
+        if lost and fill_value is not None:
+            gone = want.table.join(have.table.select("label"), "label", "left_anti").select(key.alias(a.name), F.lit(True).alias("__gone"))
+            filled = out.dense().cells.join(gone, a.name, "left")
+            out = out.make(filled.withColumn("value", F.when(F.col("__gone"), F.lit(fill_value).cast(kind)).otherwise(F.col("value"))), out.axes)
+        return out
+
     def reindex_like(self, other, **k):
         out = self
         for a in other.axes:
             if a.name in self.dims:
-                out = out.reindex_axis(a.values, a.name, **k)
+                out = out.reindex_axis(a if a.is_open or out.axis(a.name).is_open else a.values, a.name, **k)
         return out
 
     def broadcast(self, other):
@@ -105,7 +148,11 @@ def align(*arrays, join: str | None = None, axis=None, sort: bool = False, stric
         if strict and len(have) < len(arrays):
             raise ValueError(f"dimension {d!r} is not in all arrays")
         axes = [arrays[i].axis(d) for i in have]
+        if all(not a.is_counted for a in axes):
+            continue  # labels are those of the cells, and meet there
         if any(a.is_open for a in axes):
+            arrays = [x.ordered(d) if k in have else x for k, x in enumerate(arrays)]
+            _align_open(arrays, have, d, join, sort)
             continue
         new = common_axis(axes, join)
         if sort:
@@ -122,6 +169,27 @@ def align(*arrays, join: str | None = None, axis=None, sort: bool = False, stric
     return arrays
 
 
+def _align_open(arrays: list, have: list[int], d: str, join: str, sort: bool) -> None:
+    """Axes of which one is open at least, on a table of common labels; outer alignment moves no cell here either."""
+    new = common_axis([arrays[i].axis(d) for i in have], join)
+    if sort:
+        new = new.sort()
+    for i in have:
+        x = arrays[i]
+        a = x.axis(d)
+        if a.dummy or a.order is new.order:
+            continue
+        if a.by_pos:
+            raise ValueError(f"labels of {d!r} repeat or are tuples: they can't be aligned with an open axis")
+        axes = [replace(new, name=d) if y is a else y for y in x.axes]
+        cells = x.cells.withColumn(d, F.col(f"`{d}`").cast(new.key_type()))
+        if join == "inner" and new.size < a.size:
+            cells = new.order.joined(cells, d, "left_semi")
+        elif join == "outer" and new.size > a.size and x.dtype in ("bigint", "int"):
+            cells = cells.withColumn("value", F.col("value").cast("double"))
+        arrays[i] = x.make(cells, axes)
+
+
 def align_dims(*arrays) -> list:
     """All dimensions on every array, in one order; those an array lacks are dummies."""
     dims = list(dict.fromkeys(d for a in arrays for d in a.dims))

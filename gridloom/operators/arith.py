@@ -11,6 +11,7 @@ from ..axis import plain
 from .align import align
 
 INF = float("inf")
+NEGATIVE = "whole numbers have no negative whole powers"
 
 #: NumPy's names of elementwise functions. Outside of their domain the result is missing.
 UNARY = {
@@ -41,7 +42,7 @@ def _power(whole: bool):
     def run(a: Column, b: Column) -> Column:
         one = F.lit(1.0)
         out = F.when(F.coalesce(a == 1, F.lit(False)) | F.coalesce(b == 0, F.lit(False)), one).otherwise(F.pow(a.cast("double"), b.cast("double")))
-        return out.cast("bigint") if whole else out
+        return F.when(b < 0, F.raise_error(F.lit(NEGATIVE)).cast("bigint")).otherwise(out.cast("bigint")) if whole else out
 
     return run
 
@@ -72,6 +73,8 @@ class ArithOps:
             if not isinstance(other, (int, float, bool)):
                 return NotImplemented
             whole = isinstance(other, int) and self.dtype in ("bigint", "int")
+            if op == "pow" and whole and not swap and other < 0:
+                raise ValueError(NEGATIVE)
             x, y = F.col("value"), F.lit(other)
             f = self._function(op, whole)
             src = self.dense() if op == "pow" and other == (1 if swap else 0) else self  # 1 whatever the exponent, or the base
@@ -133,19 +136,23 @@ class ArithOps:
         return self.make(self.dense().cells.withColumn("value", ~F.coalesce("value", F.lit(False))), self.axes, keep=False)
 
     def _compare(self, op: str, other):
-        """No alignment: axes must be equal. A missing cell compares false, and true for !=."""
+        """No alignment: axes must be equal. A missing cell compares false, and true for !=.
+
+        Along an open axis cells without a row stay missing, which is false to a mask, but for !=.
+        """
         f = {"eq": lambda a, b: a == b, "ne": lambda a, b: a != b, "lt": lambda a, b: a < b, "le": lambda a, b: a <= b, "gt": lambda a, b: a > b, "ge": lambda a, b: a >= b, "and": lambda a, b: a & b, "or": lambda a, b: a | b}[op]
-        left = self.dense()
+        sparse = op != "ne" and any(a.is_open for a in self.axes)
+        left = self if sparse else self.dense()
         if isinstance(other, ArithOps):
             if self.axes != other.axes:
                 if op == "eq":
                     return False
                 self._same_axes(other)
-            cells, y = left._join(other.dense()), F.col("__r")
+            cells, y = left._join(other if sparse else other.dense()), F.col("__r")
         else:
             cells, y = left.cells, F.lit(plain(other))
         got = F.coalesce(f(F.col("value"), y), F.lit(op == "ne"))
-        return self.make(cells.withColumn("value", got), self.axes, keep=False)
+        return self.make(cells.withColumn("value", got), left.axes, keep=False)
 
     __eq__ = lambda self, o: self._compare("eq", o)
     __ne__ = lambda self, o: self._compare("ne", o)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import options
 from ..axis import Axis, hinted, plain
+from ..ordered import Labels, number
 
 
 def _is_bool(x) -> bool:
@@ -65,17 +66,19 @@ class IndexOps:
 
     @staticmethod
     def _positions(a: Axis, key, how: str, tol: float | None):
-        """An int, or a list of positions."""
+        """An int, or a list of positions; of a slice of an open axis a range."""
         key = plain(key)
         n = a.size
         if isinstance(key, slice):
-            return list(range(n))[key] if how == "position" else a.locate_slice(key)
+            run = range(n)[key] if how == "position" else a.locate_slice(key)
+            return run if a.order else list(run)
         if _is_bool(key):
             if len(key) != n:
                 raise IndexError(f"the mask has {len(key)} entries, axis {a.name!r} {n} labels")
             return [i for i, k in enumerate(key) if k]
         if isinstance(key, (list, np.ndarray, range)):
-            return [IndexOps._positions(a, k, how, tol) for k in (key.tolist() if isinstance(key, np.ndarray) else key)]
+            keys = [plain(k) for k in (key.tolist() if isinstance(key, np.ndarray) else key)]
+            return a.locate_all(keys, tol) if a.order and how != "position" else [IndexOps._positions(a, k, how, tol) for k in keys]
         if how == "position":
             if not -n <= key < n:
                 raise IndexError(f"position {key} is off axis {a.name!r} of size {n}")
@@ -89,7 +92,7 @@ class IndexOps:
         """
         how = indexing or self.by
         if isinstance(indices, type(self)) and indices.dtype == "boolean" and indices.ndim == self.ndim:
-            if self.ndim > 1:
+            if self.ndim > 1 or self.axes[0].is_open:
                 return self.compress(indices)
             indices = indices.values
         asked = self._by_axis(indices, axis)
@@ -100,9 +103,12 @@ class IndexOps:
             a, key = self.axes[i], asked[i]
             if isinstance(key, slice) and key == slice(None):
                 continue
-            if a.is_open:
-                out = out._open_take(i, key)
-                continue
+            if a.is_open and not a.is_counted:
+                if how == "label" and tol is None and a.tol is None and not (isinstance(key, slice) and key.step not in (None, 1)) and not _is_bool(key):
+                    out = out._open_take(i, key)
+                    continue
+                out = out.ordered(i)
+                a = out.axes[i]
             at = self._positions(a, key, how, tol)
             out = out._pick(i, [at] if keepdims and isinstance(at, int) else at)
         return out if out.ndim else out.item_or_none()
@@ -112,27 +118,60 @@ class IndexOps:
         return plain(got[0][0]) if got else None
 
     def _open_take(self, i: int, key):
+        """Labels of an open axis without a table: filters that reach the scan, and a job that tells whether asked labels are there."""
         a, c = self.axes[i], F.col(f"`{self.axes[i].name}`")
-        rest = self.rest(i)
         if isinstance(key, slice):
             cond = F.lit(True)
             for bound, keep in ((key.start, c >= key.start), (key.stop, c <= key.stop)):
                 cond = cond & keep if bound is not None else cond
             return self.make(self.cells.where(cond), self.axes)
-        if isinstance(key, (list, np.ndarray)):
-            return self.make(self.cells.where(c.isin(*[plain(k) for k in key])), [Axis.of(a.name, list(key)) if x is a else x for x in self.axes])
-        return self.make(self.cells.where(c == plain(key)), rest)
+        many = isinstance(key, (list, np.ndarray, range))
+        asked = [plain(k) for k in key] if many else [plain(key)]
+        cells = self.cells.where(c.isin(*asked))
+        there = {r[0] for r in cells.select(c).distinct().collect()}  # as many as were asked for at most
+        if lost := [k for k in asked if k not in there]:
+            raise IndexError(f"no label {lost[0]!r} on axis {a.name!r}")
+        if not many:
+            return self.make(cells, self.rest(i))
+        return self.make(cells, [Axis.of(a.name, list(there)) if x is a else x for x in self.axes])._pick(i, [list(there).index(k) for k in asked])
+
+    def ordered(self, axis=0):
+        """The array with the labels of an open axis in a table: sorted, those that its cells have now."""
+        i = self.axis_no(axis)
+        a = self.axes[i]
+        if a.members or a.is_counted:
+            return self
+        return self.make(self.cells, [replace(a, order=Labels.found(self.cells, a.name)) if x is a else x for x in self.axes])
+
+    def _pick_run(self, i: int, steps: range):
+        """Evenly spaced positions of an open axis: a range of keys where they are neighbours, else a join with their table."""
+        a = self.axes[i]
+        new = a.take(steps)
+        axes = [new if x is a else x for x in self.axes]
+        c = F.col(f"`{a.name}`")
+        if a.by_pos:
+            cells = self.cells.where(c.between(min(steps[0], steps[-1]), max(steps[0], steps[-1])) & ((c - steps.start) % steps.step == 0)) if len(steps) else self.cells.limit(0)
+            return self.make(cells.withColumn(a.name, F.expr(f"(`{a.name}` - {steps.start}) div {steps.step}")), axes)
+        if not len(steps):
+            return self.make(self.cells.where(F.lit(False)), axes)
+        if abs(steps.step) == 1 and a.order.way:
+            ends = sorted(a.order.at([steps[0], steps[-1]]))
+            return self.make(self.cells.where(c.between(*ends)), axes)
+        return self.make(new.order.joined(self.cells, a.name, "left_semi"), axes)
 
     def _pick(self, i: int, at):
         """Keep positions of one axis; filters on keys where it can, so that they reach the scan."""
         a = self.axes[i]
+        if isinstance(at, range):
+            return self._pick_run(i, at)
         if isinstance(at, int):
             cells = self.cells
             if a.members:
                 for m, k in zip(a.members, self._unravel(a, at), strict=True):
                     cells = cells.where(F.col(f"`{m.name}`") == m.key(k))
             elif not a.dummy:
-                cells = cells.where(F.col(f"`{a.name}`") == F.lit(a.key(at)).cast(a.key_type()))
+                key = a.order.at([at])[0] if a.order and not a.by_pos else a.key(at)
+                cells = cells.where(F.col(f"`{a.name}`") == F.lit(key).cast(a.key_type()))
             return self.make(cells, self.rest(i))
         if a.members:
             rows = [(j, *[m.key(p) for m, p in zip(a.members, self._unravel(a, k), strict=True)]) for j, k in enumerate(at)]
@@ -140,12 +179,15 @@ class IndexOps:
             values = a.values
             new = Axis(a.name, tuple(values[k] for k in at), dict(a.attrs), by_pos=True)
             return self.make(self.cells.join(hinted(t, len(at)), [m.name for m in a.members]), [new if x is a else x for x in self.axes])
-        new = a.take(at)
+        new, whole = a.take(at), not a.order
+        if a.order and not a.by_pos:  # a few of very many
+            a = replace(Axis.of(a.name, list(dict.fromkeys(new.values)), a.tol), attrs=dict(a.attrs))
+            at = [a.places[x] for x in new.values]
         axes = [new if k == i else x for k, x in enumerate(self.axes)]
         c = F.col(f"`{a.name}`")
         if not a.by_pos and not new.by_pos:
             keys = list(new.values)
-            run = a.direction() and at == list(range(at[0], at[-1] + 1)) if at else False
+            run = whole and a.direction() and at == list(range(at[0], at[-1] + 1)) if at else False
             if run and a.kind != "str":
                 cells = self.cells.where(c.between(min(keys[0], keys[-1]), max(keys[0], keys[-1])))
             elif len(keys) <= 1000:
@@ -198,18 +240,17 @@ class IndexOps:
     def compress(self, mask):
         """Cells where an N-dimensional mask holds, along one dimension named after all, in row-major order.
 
-        The labels of the hits are listed up to the option axis.list_hits; beyond that the new axis is
-        open and its keys are the labels, joined by commas.
+        The labels of the hits are tuples. They are listed up to the option axis.list_hits; beyond it, or where
+        a dimension is open, they are a table: the hits are numbered in order by ranges.
         """
         self._same_axes(mask)
         cols = [c for a in self.axes for c in a.cols]
         hit = mask.cells.where("value").select(*[f"`{c}`" for c in cols])
         name, most = ",".join(self.dims), options.get_option("axis.list_hits")
-        levels = [m for a in self.axes for m in a.levels if not a.dummy]
-        keys = [r[:] for r in hit.limit(most + 1).collect()]
-        if len(keys) > most:
-            text = F.concat_ws(",", *[F.col(f"`{c}`").cast("string") for c in cols]).alias(name)
-            return self.make(self.cells.join(hit, cols, "left_semi").select(text, "value"), [Axis(name, None)])
+        levels = [m for a in self.axes for m in a.levels if not m.dummy]
+        keys = [] if any(m.is_open for m in levels) else [r[:] for r in hit.limit(most + 1).collect()]
+        if len(keys) > most or any(m.is_open for m in levels):
+            return self._compress_open(hit, levels, name)
         at = sorted(tuple(k if m.by_pos else m.places[k] for m, k in zip(levels, key, strict=True)) for key in keys)
         rows = [(i, *[m.key(p) for m, p in zip(levels, x, strict=True)]) for i, x in enumerate(at)]
         t = self.spark.createDataFrame(rows, ", ".join([f"`{name}` bigint", *[f"`{m.name}` {m.key_type()}" for m in levels]])) if len(levels) > 1 else None
@@ -218,6 +259,29 @@ class IndexOps:
         new = Axis(name, tuple(tuple(m.values[p] for m, p in zip(levels, x, strict=True)) for x in at), by_pos=True)
         return self.make(self.cells.join(hinted(t, len(rows)), cols).select(name if "," not in name else f"`{name}`", "value"), [new])
 
+    def _compress_open(self, hit, levels: list[Axis], name: str):
+        src = self
+        for i, a in enumerate(self.axes):
+            src = src.ordered(i)
+        levels = [m for a in src.axes for m in a.levels if not m.dummy]
+        if len(levels) == 1 and not levels[0].by_pos:
+            a = levels[0]
+            new = replace(a, labels=None, order=a.ordered(self.spark).kept(hit.withColumnRenamed(a.name, "label")))
+            return self.make(self.cells.join(hit, a.name, "left_semi"), [new])
+        cells = hit
+        for m in levels:
+            cells = self.with_pos(cells, m)
+        label = []
+        for m in levels:  # positions give their labels, other keys are labels
+            if m.by_pos:
+                cells = cells.join(m.hinted(self.spark, pos="__none", label=f"__label_{m.name}").drop("__none"), m.name)
+            label.append(F.col(f"`__label_{m.name}`" if m.by_pos else f"`{m.name}`").alias(m.name))
+        rows = cells.select(*[f"`__pos_{m.name}`" for m in levels], *[f"`{m.name}`" for m in levels], F.struct(*label).alias("label"))
+        table, n = number(rows, [f"`__pos_{m.name}`" for m in levels])
+        cols = [m.name for m in levels]
+        met = self.cells.join(table.select(*[f"`{c}`" for c in cols], F.col("pos").alias(name)), cols)
+        return self.make(met.select(f"`{name}`", "value"), [Axis(name, None, by_pos=True, order=Labels(table.select("pos", "label"), n, 0))])
+
     def compress_axis(self, mask: Sequence[bool], axis=0):
         return self._pick(self.axis_no(axis), [k for k, m in enumerate(mask) if m])
 
@@ -294,6 +358,9 @@ class IndexOps:
 
     def sort_axis(self, axis=0, key: Callable | dict | None = None):
         i = self.axis_no(axis)
+        if self.axes[i].is_open and key is None:
+            out = self.ordered(i)
+            return out.make(out.cells, [x.sort() if k == i else x for k, x in enumerate(out.axes)])
         return self._pick_order(i, self.axes[i].sorted_by(key))
 
     def _pick_order(self, i: int, at: list[int]):

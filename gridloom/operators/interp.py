@@ -19,6 +19,9 @@ class InterpOps:
         then meet them by an equality join and are summed, so no range join is needed.
         """
         i = self.axis_no(axis)
+        if self.axes[i].is_open or isinstance(values, Axis) and values.is_open:
+            return self.ordered(i)._interp_open(i, values if isinstance(values, Axis) else Axis.of(self.axes[i].name, list(values)), left, right, method, extrapolate)
+        values = values.values if isinstance(values, Axis) else values
         a = self.axes[i]
         new = replace(Axis.of(a.name, [float(plain(x)) if not isinstance(plain(x), int) else plain(x) for x in values], a.tol), attrs=dict(a.attrs))
         order = a.sorted_by()
@@ -29,7 +32,8 @@ class InterpOps:
                 out_of.append((new.key(k), left if xs and x < xs[0] else right))
                 continue
             if method == "nearest":
-                at = min(range(len(xs)), key=lambda j: (abs(xs[j] - x), j))
+                j = bisect_right(xs, x)
+                at = min((k_ for k_ in (j - 1, j) if 0 <= k_ < len(xs)), key=lambda k_: (abs(xs[k_] - x), k_))
                 rows.append((a.key(order[at]), new.key(k), 1.0, 1))
                 continue
             j = min(max(bisect_right(xs, x) - 1, 0), max(len(xs) - 2, 0))
@@ -51,11 +55,42 @@ class InterpOps:
             cells = cells.unionByName(grid.crossJoin(F.broadcast(e)))
         return self.make(cells, [new if k == i else x for k, x in enumerate(self.axes)])
 
+    def _interp_open(self, i: int, new: Axis, left: float | None, right: float | None, method: str, extrapolate: bool):
+        """interp_axis where the old or the new axis is open: an as-of join finds the labels around each new one."""
+        a = self.axes[i]
+        if not new.is_counted or a.by_pos or new.by_pos:
+            raise ValueError("interpolation needs distinct labels in a table: use .ordered() on the other array")
+        have, want = a.ordered(self.spark).ascending(), new.ordered(self.spark)
+        met = have.neighbours(want.table.select("pos", "label"))
+        x, low, high = F.col("label"), F.col("before.label"), F.col("after.label")
+        if extrapolate and have.size > 1:  # outside, the first or last two labels
+            first, second, last, before = have.at([0, 1, have.size - 1, have.size - 2])
+            ends = F.when(low.isNull(), F.struct(F.lit(first).alias("l"), F.lit(second).alias("h"))).when(high.isNull(), F.struct(F.lit(before).alias("l"), F.lit(last).alias("h"))).otherwise(F.struct(low.alias("l"), high.alias("h")))
+            met = met.withColumn("__ends", ends)
+            low, high = F.col("__ends.l"), F.col("__ends.h")
+        w = (x - low) / (high - low)
+        pair = lambda k, weight, n: F.struct(k.alias("old"), weight.cast("double").alias("w"), F.lit(n).alias("n"))
+        one = lambda k: F.array(pair(k, F.lit(1.0), 1))
+        both = F.array(pair(low, 1 - w, 2), pair(high, w, 2))
+        near = F.when(high - x < x - low, one(high)).otherwise(one(low))
+        inside = low.isNotNull() & high.isNotNull()
+        rows = F.when(x == low, one(low)).when(inside, near if method == "nearest" else both)
+        t = met.select(x.alias("__new"), F.explode(rows).alias("p")).select(F.col("p.old").alias(a.name), "__new", F.col("p.w").alias("__w"), F.col("p.n").alias("__n"))
+        t = F.broadcast(t) if want.small else t
+        others = [c for x_ in self.rest(i) for c in x_.cols]
+        got = F.when(F.count("value") == F.max("__n"), F.sum(F.col("value") * F.col("__w")))
+        cells = self.cells.join(t, a.name).groupBy(*[f"`{c}`" for c in others], "__new").agg(got.alias("value")).withColumnRenamed("__new", a.name)
+        for fill, off in ((left, F.col("before").isNull()), (right, F.col("after").isNull() & (F.col("before.label") != x))):
+            if fill is not None and not extrapolate:
+                keys = met.where(off).select(x.alias(a.name))
+                cells = cells.unionByName(self._grid(self.spark, self.rest(i)).crossJoin(keys).withColumn("value", F.lit(float(fill))))
+        return self.make(cells, [replace(new, name=a.name) if k == i else x_ for k, x_ in enumerate(self.axes)])
+
     def interp_like(self, other, **k):
         out = self
         for a in other.axes:
-            if a.name in self.dims and a.numeric:
-                out = out.interp_axis(a.values, a.name, **k)
+            if a.name in self.dims and (not a.is_counted or a.numeric):
+                out = out.interp_axis(a if a.is_open else a.values, a.name, **k)
         return out
 
     def interp2d(self, newaxes, dims=(-2, -1), method: str = "linear", bounds_error: bool = True, fill_value: float | None = float("nan")):

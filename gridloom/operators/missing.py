@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from ..axis import plain
@@ -34,6 +37,8 @@ class MissingOps:
         i = self.axis_no(axis)
         if self.axes[i].members:
             return self.one_key(i).dropna(i, minvalid)
+        if self.axes[i].is_open:
+            return self._dropna_open(self.ordered(i), i, minvalid)
         a = self.axes[i]
         others = 1
         for x in self.rest(i):
@@ -43,3 +48,14 @@ class MissingOps:
         keys = {r[0] for r in good.select(f"`{a.name}`").collect()}
         at = [k for k in range(a.size) if a.key(k) in keys or need <= 0]
         return self._pick(i, at)
+
+    @staticmethod
+    def _dropna_open(src, i: int, minvalid: int | None):
+        """Along an open axis the labels that stay are a table too."""
+        a = src.axes[i]
+        need = math.prod(x.size for x in src.rest(i)) if minvalid is None else minvalid
+        if need <= 0:
+            return src
+        good = src.cells.groupBy(F.col(f"`{a.name}`").alias("label")).agg(F.count("value").alias("n")).where(F.col("n") >= need)
+        new = replace(a, order=a.order.kept(good))
+        return src.make(new.order.joined(src.cells, a.name, "left_semi"), [new if x is a else x for x in src.axes])

@@ -79,7 +79,7 @@ class ReduceOps:
         """The result over all dimensions is a plain value."""
         nos = self.axis_nos(axis)
         gone, rest = [self.axes[i] for i in nos], self.rest(*nos)
-        n = None if any(a.is_open for a in gone) else math.prod(a.size for a in gone)
+        n = math.prod(a.size for a in gone) if all(a.is_counted for a in gone) else None
         if n is None and not skipna:
             raise ValueError("an open axis has no known size: use skipna=True")
         kind = self.dtype
@@ -93,20 +93,22 @@ class ReduceOps:
             v, kind = v.cast("bigint"), "bigint"
         whole = kind in ("bigint", "int")
         got, full = _aggregate(op, v.cast("bigint") if whole and op == "prod" else v, n, ddof, whole), F.count(F.col("value")) == F.lit(n)
-        fill = {"sum": 0, "prod": 1, "all": True, "any": False}.get(op)
+        neutral = {"sum": 0, "prod": 1, "all": True, "any": False}.get(op)  # of no cells
+        fill = neutral
         if op == "all":
             got = F.coalesce(got, F.lit(True))
         elif op == "any":
             got = F.coalesce(got, F.lit(False)) if skipna else F.coalesce(got, F.lit(False)) | ~full
-            fill = False if skipna else True
-        elif skipna:
-            got = F.coalesce(got, F.lit(fill).cast(dict(self.cells.agg(got.alias("x")).dtypes)["x"])) if fill is not None else got
+            fill = not skipna and n != 0
         else:
-            got, fill = F.when(full, got), None
+            if neutral is not None and (skipna or n == 0):
+                got = F.coalesce(got, F.lit(neutral).cast(dict(self.cells.agg(got.alias("x")).dtypes)["x"]))
+            if not skipna:
+                got, fill = F.when(full, got), neutral if n == 0 else None
         cols = [c for a in rest for c in a.cols]
         cells = self.cells.groupBy(*[f"`{c}`" for c in cols]).agg(got.alias("value"))
         out = self.make(cells, rest)
-        if fill is not None and rest and n and not any(a.is_open for a in rest):
+        if fill is not None and rest and n is not None and not any(a.is_open for a in rest):
             out = out.make(out.dense().cells.withColumn("value", F.coalesce("value", F.lit(fill).cast(out.dtype))), rest)
         if keepdims:
             for i in nos:
@@ -136,6 +138,8 @@ class ReduceOps:
     def _extreme(self, axis, skipna: bool, largest: bool):
         """Label of the first smallest or largest cell in the order of the dimensions as given."""
         nos = self.axis_nos(axis)
+        for i in nos:
+            self = self.ordered(i)
         gone, rest = [self.axes[i] for i in nos], self.rest(*nos)
         src = self if skipna else self.dense()
         cells = src.cells
@@ -158,7 +162,7 @@ class ReduceOps:
         levels = [m for a in gone for m in a.levels]
         if got is None:
             return None
-        named = tuple(m.values[x] if m.by_pos else x for m, x in zip(levels, got if not one else (got,), strict=True))
+        named = tuple((m.order.at([x])[0] if m.order else m.values[x]) if m.by_pos else x for m, x in zip(levels, got if not one else (got,), strict=True))
         return named[0] if one else named
 
     def argmin(self, axis=None, skipna: bool = False):
@@ -207,8 +211,8 @@ class ReduceOps:
         many = isinstance(pct, (list, tuple)) or hasattr(pct, "__len__")
         asked = [float(p) for p in (pct if many else [pct])]
         most = options.get_option("reduce.sort_rows")
-        if not rest and (a.is_open or a.size > most):
-            if a.is_open and not skipna:
+        if not rest and (not a.is_counted or a.size > most):
+            if not a.is_counted and not skipna:
                 raise ValueError("an open axis has no known size: use skipna=True")
             found = _percentiles(self.cells, [p / scale for p in asked], most) if skipna or self.count() == a.size else [None] * len(asked)
             if not many:

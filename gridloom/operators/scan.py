@@ -12,6 +12,8 @@ from ..axis import Axis
 class ScanOps:
     def _scan(self, axis, skipna: bool, product: bool):
         i = self.axis_no(axis)
+        if not self.axes[i].is_counted:
+            return self.ordered(i)._scan(i, skipna, product)
         a = self.axes[i]
         cells = self.with_pos(self.dense().cells, a)
         neutral = 1 if product else 0
@@ -83,7 +85,10 @@ class ScanOps:
 
     def moving(self, op: str, width: int, axis=-1, skipna: bool = False):
         """sum, mean, min, max or std over the last width cells; missing before the first full window."""
-        a = self.axis(axis)
+        i = self.axis_no(axis)
+        if not self.axes[i].is_counted:
+            return self.ordered(i).moving(op, width, i, skipna)
+        a = self.axes[i]
         cells = self.with_pos(self.dense().cells, a)
         total = {"sum": F.sum, "mean": F.avg, "min": F.min, "max": F.max, "std": F.stddev_pop}[op]
 
@@ -106,6 +111,8 @@ class ScanOps:
             if scheme == "centered":
                 raise ValueError("labels of several dimensions have no mean")
             return self.one_key(i).diff(i, scheme, keepaxis)
+        if not self.axes[i].is_counted:
+            return self.ordered(i).diff(i, scheme, keepaxis)
         a = self.axes[i]
         cells = self.with_pos(self.dense().cells, a)
         pos = self.order(a)[0]
@@ -123,7 +130,7 @@ class ScanOps:
         elif scheme == "backward":
             cells, new = cells.where(pos > 0), a.take(range(1, m))
         else:
-            cells, new = cells.where(pos > 0), Axis.of(a.name, [(x + y) / 2 for x, y in zip(a.values, a.values[1:], strict=False)], a.tol)
+            cells, new = cells.where(pos > 0), a.midpoints()
         axes = [new if k == i else x for k, x in enumerate(self.axes)]
         if scheme == "forward" or (new.by_pos == a.by_pos and not new.by_pos and scheme == "backward"):
             if new.by_pos == a.by_pos:

@@ -13,13 +13,7 @@ import gridloom as gl
 
 from ..array import LabelArray
 from ..dataset import Dataset
-
-def shared_folder(spark: SparkSession) -> str:
-    """Where all executors can write; a folder of this machine only on a local master."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return root.rstrip("/") if root else f"file://{tempfile.mkdtemp()}"
+from ..scratch import shared_folder
 
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
