@@ -139,7 +139,7 @@ def manifest(docs: DataFrame, id: str = "doc_id", source: str = "source", column
     """
     tree = F.coalesce(F.concat(F.lit("s"), F.col(f"`{source}`").cast("string")), F.lit(""))
     leaves = spread(docs).select(tree.alias("tree"), F.col(f"`{id}`").alias("id"), leaf_digest([F.col(f"`{c}`") for c in columns]).alias("hash"), *[c.alias(n) for n, c in (keep or {}).items()])
-    leaves = materialize(number(leaves, ["id", "hash"]), "numbered")
+    leaves = materialize(number(materialize(leaves, "digests"), ["id", "hash"]), "numbered")  # texts are read and hashed once
     levels = levels_above(leaves, fanout)
     roots = tops(leaves, levels).select(F.lit("").alias("tree"), F.col("tree").alias("of"), "hash")
     roots = materialize(number(roots, ["of"]), "subroots")

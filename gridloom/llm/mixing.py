@@ -128,7 +128,7 @@ def mix_sized(docs: DataFrame, source: str = "source", by: str = "doc_id", mix:
     docs named like the new ones are replaced. One row a source is on the driver, and one source's
     distinct sizes meet in a task, never its documents.
     """
-    key, row = fresh(docs, "key"), fresh(docs, "row")
+    key, row, cell, given = (fresh(docs, x) for x in ("key", "row", "n", "copies"))
     sized = docs.drop("source_size", "target", "copies", "taken").withColumn(key, F.coalesce(F.concat(F.lit("s"), F.col(f"`{source}`").cast("string")), F.lit("")))
     sized = materialize(sized, "sized")
     cells = materialize(sized.groupBy(F.col(key).alias("key"), "size").agg(F.count(F.lit(1)).alias("n")), "cells")
@@ -151,11 +151,11 @@ def mix_sized(docs: DataFrame, source: str = "source", by: str = "doc_id", mix:
         return pdf[["key", "size", "n", "source_size", "target", "copies"]]
 
     plan = rated.select("key", "size", "n", "source_size", "target", "rate").groupBy("key").applyInPandas(round_source, "key string, size long, n long, source_size long, target double, copies long")
-    plan = materialize(plan.select(F.col("key").alias(key), "size", F.col("n").alias("__n"), "source_size", "target", F.col("copies").alias("__copies")), "plan")
+    plan = materialize(plan.select(F.col("key").alias(key), "size", F.col("n").alias(cell), "source_size", "target", F.col("copies").alias(given)), "plan")
     ranked = rank_within(sized, [key, "size"], [by], row, plan=plan)
-    copies = F.floor(F.col("__copies") / F.col("__n")) + F.when(F.col(row) < F.col("__copies") % F.col("__n"), 1).otherwise(0)
+    copies = F.floor(F.col(given) / F.col(cell)) + F.when(F.col(row) < F.col(given) % F.col(cell), 1).otherwise(0)
     out = ranked.withColumn("copies", copies.cast("long"))
-    return out.withColumn("taken", F.col("copies") * F.col("size")).drop(key, row, "__n", "__copies")
+    return out.withColumn("taken", F.col("copies") * F.col("size")).drop(key, row, cell, given)
 
 
 def repeat_copies(mixed: DataFrame) -> DataFrame:

@@ -106,7 +106,7 @@ def _best(scores: np.ndarray, k: int) -> np.ndarray:
 
 def _valid(rows: DataFrame, id_col: str, vector: str) -> DataFrame:
     kind = "array<float>" if rows.schema[vector].dataType.simpleString() == "array<float>" else "array<double>"
-    v = rows.select(F.col(id_col).cast("long").alias("id"), F.col(f"`{vector}`").cast(kind).alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull())
+    v = rows.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{vector}`").cast(kind).alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull())
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return v.where(F.coalesce(fine, F.lit(False)) & F.exists("v", lambda x: x != 0)).select("id", "v", F.xxhash64("v").alias("a"), F.xxhash64(F.lit(1), "v").alias("b"))
 
@@ -119,7 +119,7 @@ def inner_product(x: str, y: str) -> Column:
 def nearest(rows: DataFrame, is_query: Callable[[Column], Column], id_col: str = "vec_id", vector: str = "embedding", k: int = 20, how: Curves = Curves()) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of up to k nearest rows of each query row.
 
-    is_query: a function from the id column to a boolean column. Rows with a null id, and vectors
+    is_query: a function from the id column, of any type with an order, to a boolean column. Rows with a null id, and vectors
     that are null, zero, or hold null or non-finite components, take no part. Vectors of each length
     are searched among themselves, one length after the other. Equal vectors are handled once, with
     their k + 1 smallest ids, so a vector that a third of the rows share costs no more than another.
@@ -128,7 +128,8 @@ def nearest(rows: DataFrame, is_query: Callable[[Column], Column], id_col: str =
     the smaller id. An empty table gives no rows; other columns are not used.
     """
     valid = materialize(_valid(rows, id_col, vector), "vectors")
-    out = rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    kind = rows.schema[id_col].dataType.simpleString()
+    out = rows.sparkSession.createDataFrame([], f"query_id {kind}, rank int, vec_id {kind}, score double")
     for r in valid.select(F.size("v").alias("n")).distinct().orderBy("n").collect():
         out = out.unionByName(_nearest(valid.where(F.size("v") == r.n), is_query, r.n, k, how))
     return out

@@ -116,7 +116,8 @@ def _first_pass(docs: DataFrame, id_col: str, text: str, how: Join) -> DataFrame
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], longs), pa.array(rows[3], longs)], names=names)
 
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), _text_hash(text).alias("h"), F.col(f"`{text}`")).mapInArrow(run, "id long, h long, n long, fp long, slice array<long>, spill array<long>")
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(f"`{id_col}`").alias("id"), _text_hash(text).alias("h"), F.col(f"`{text}`")).mapInArrow(run, f"id {kind}, h long, n long, fp long, slice array<long>, spill array<long>")
 
 
 def _hot_tokens(nodes: DataFrame, n: int, how: Join, rows: int = 20_000) -> DataFrame:
@@ -230,7 +231,7 @@ def _compare(rows: DataFrame, how: Join) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", how: Join = Join()) -> DataFrame:
-    """id, n_shingles and component_id, the smallest id reachable by links, of each row of docs.
+    """id, n_shingles and component_id, the smallest id reachable by links, of each row of docs. Ids may be of any type with an order.
 
     Null texts, empty texts and texts without words have no shingles and are linked with nothing:
     their component is their own. Rows with equal sets are linked. A null id takes part under no
@@ -265,7 +266,7 @@ def _links(docs: DataFrame, id_col: str, text: str, classes: DataFrame, how: Joi
     """Links that hold the components together: (u, v). classes: node, id of a row with its text, component."""
     classes = materialize(classes.where("id is not null"), "members")
     few = classes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    some = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).join(F.broadcast(classes) if few else classes, "id")
+    some = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text")).join(F.broadcast(classes) if few else classes, "id")
 
     def whole(batches: Iterable[pa.RecordBatch]):
         known = _Hashes()
@@ -357,7 +358,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", how
     best = found.where("part is not null").groupBy("part").agg(F.min(F.struct("id", "h")).alias("best"), F.count(F.lit(1)).alias("of")).where("of > 1").drop("of")
     marked = lookup(found, materialize(best, "best"), ["part"], "left", spread=F.xxhash64("id", "h")).select("id", "h", F.coalesce(F.struct("id", "h") != F.col("best"), F.lit(False)).alias(gone))
     marked = materialize(marked.groupBy("id", "h").agg(F.max(gone).alias(gone), F.count(F.lit(1)).alias("times")), "marked")
-    keys = lambda d: d.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), F.col("h").alias(h))
+    keys = lambda d: d.select(F.col("id").alias(id_col), F.col("h").alias(h))
     out, mine = docs.withColumn(h, _text_hash(text)), marked.where(F.col(gone))
     few = mine.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     out = out.join(F.broadcast(keys(mine)) if few else keys(mine), [id_col, h], "left_anti")

@@ -185,20 +185,20 @@ def personal_data(docs: DataFrame, text: str = "text", how: Bootstrap = Bootstra
     KINDS. Null and empty texts have none. Spans depend on the text alone, so repeated rows have equal
     ones. Columns of docs named base or spans are replaced; others but the text pass through.
     """
-    a, b = fresh(docs, "hash_a"), fresh(docs, "hash_b")
+    a, b, held, more = (fresh(docs, x) for x in ("hash_a", "hash_b", "instances", "extra"))
     whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     rest = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in (text.lower(), "base", "spans")]
-    scanned = docs.select(*rest, F.xxhash64(whole).alias(a), F.xxhash64(F.lit(1), whole).alias(b), base_spans(whole).alias("base"), _instances(whole).alias("__instances"))
+    scanned = docs.select(*rest, F.xxhash64(whole).alias(a), F.xxhash64(F.lit(1), whole).alias(b), base_spans(whole).alias("base"), _instances(whole).alias(held))
     scanned = materialize(scanned, "scanned")
-    found = discover(scanned.select(F.col("base").alias("spans"), F.col("__instances").alias("instances")), how)
-    out = scanned.drop("__instances")
+    found = discover(scanned.select(F.col("base").alias("spans"), F.col(held).alias("instances")), how)
+    out = scanned.drop(held)
     found = materialize(found, "identifiers")
-    at = scanned.where(F.size("__instances") > 0).select(a, b, "base", F.explode("__instances").alias("i"))
+    at = scanned.where(F.size(held) > 0).select(a, b, "base", F.explode(held).alias("i"))
     hits = lookup(at.withColumn("token", F.col("i.token")), found, ["token"], "inner", spread=F.xxhash64(a, "i.start"))
     free = ~F.exists("base", lambda s: (s.start < F.col("i.end")) & (s.end > F.col("i.start")))
-    extra = hits.where(free).groupBy(a, b).agg(F.collect_set(F.struct(F.col("i.start").alias("start"), F.col("kind").alias("kind"), F.col("i.end").alias("end"))).alias("extra"))
+    extra = hits.where(free).groupBy(a, b).agg(F.collect_set(F.struct(F.col("i.start").alias("start"), F.col("kind").alias("kind"), F.col("i.end").alias("end"))).alias(more))
     both = lookup(out, materialize(extra, "extra"), [a, b], "left", spread=F.xxhash64(*rest) if rest else None)
-    return both.withColumn("spans", F.array_sort(F.concat("base", F.coalesce("extra", F.array().cast("array<struct<start:int,kind:int,end:int>>"))))).drop(a, b, "extra")
+    return both.withColumn("spans", F.array_sort(F.concat("base", F.coalesce(more, F.array().cast("array<struct<start:int,kind:int,end:int>>"))))).drop(a, b, more)
 
 
 def _line(spans: str) -> Column:

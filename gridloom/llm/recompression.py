@@ -38,7 +38,7 @@ class Repeats:
     holds before it hands the rest on; words: of texts that are compared before anything is shuffled."""
 
     window: int = 13
-    rounds: int = 1
+    rounds: int = 2
     held: int = 200_000
     words: int = 1 << 18
 

@@ -66,7 +66,8 @@ class Index:
 
     def __init__(self, vectors: list[tuple[tuple[int, ...], tuple[int, ...]]], votes: list[tuple[int, int, int]], weight: np.ndarray, other: float, how: Votes):
         self.weight, self.other, self.how = weight, other, how
-        self.clean, self.toxic, self.ids = (np.array([v[i] for v in votes], np.int64) for i in range(3))
+        self.clean, self.toxic = (np.array([v[i] for v in votes], np.int64) for i in range(2))
+        self.ids = [v[2] for v in votes]
         self.votes, self.n = self.clean + self.toxic, len(vectors)
         sizes = [len(t) for t, _ in vectors]
         row = np.repeat(np.arange(self.n), sizes)
@@ -162,7 +163,7 @@ def _examples(docs: DataFrame, labelled: DataFrame, id_col: str, text: str, how:
             got = [sorted(count_terms(t).items()) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([[t for t, _ in g] for g in got], pa.list_(pa.string())), pa.array([[c for _, c in g] for g in got], pa.list_(pa.int64())), b.column(1), b.column(2)], names=["terms", "counts", "toxic", "id"])
 
-    vectors = own.select("text", "toxic", F.col(id_col).cast("long").alias("id")).mapInArrow(run, "terms array<string>, counts array<long>, toxic int, id long")
+    vectors = own.select("text", "toxic", F.col(id_col).alias("id")).mapInArrow(run, f"terms array<string>, counts array<long>, toxic int, id {docs.schema[id_col].dataType.simpleString()}")
     return vectors.collect()  # how.fit_rows rows at most
 
 
@@ -215,7 +216,7 @@ def fit(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text: str
 
 
 def score_toxicity(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text: str = "text", how: Votes = Votes(), drop: tuple[str, ...] = ()) -> DataFrame:
-    """Add score, predicted and evidence (nearest examples' ids and cosines, up to 3) to each row of docs.
+    """Add score, predicted and evidence (nearest examples' ids and cosines, up to 3) to each row of docs. Ids may be of any type with an order.
 
     labelled: id, toxic; rows with a null in either are left out, of several for one id the largest
     counts. At most how.fit_rows of them, and their vectors, are on the driver. Where an id stands on
@@ -239,7 +240,7 @@ def score_toxicity(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id",
                 return bare, []
             w = cos * cos
             score = ((w * index.toxic[best]).sum() + how.prior * share) / ((w * (index.toxic + index.clean)[best]).sum() + how.prior)
-            return float(score), [{"id": int(i), "cosine": float(x)} for i, x in zip(index.ids[best[:3]], cos[:3], strict=True)]
+            return float(score), [{"id": i, "cosine": float(x)} for i, x in zip([index.ids[b] for b in best[:3]], cos[:3], strict=True)]
 
         def run(texts: list) -> dict[str, list]:
             got = [one(t) for t in texts]
@@ -247,7 +248,7 @@ def score_toxicity(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id",
 
         return run
 
-    fields = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("evidence", T.ArrayType(T.StructType([T.StructField("id", T.LongType()), T.StructField("cosine", T.DoubleType())])))]
+    fields = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("evidence", T.ArrayType(T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("cosine", T.DoubleType())])))]
     return add_from_column(docs, text, fields, judge, drop)
 
 

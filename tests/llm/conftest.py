@@ -6,7 +6,7 @@ from pyspark.sql import types as T
 SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType()),
     # names that operators use themselves
-    *[T.StructField(n, T.StringType()) for n in ("kept", "size", "score", "piece", "component_id", "base", "spans", "n_lines", "length", "__hash", "__key", "toxic", "tokens", "target", "copies")],
+    *[T.StructField(n, T.StringType()) for n in ("kept", "size", "score", "piece", "component_id", "base", "spans", "n_lines", "length", "__hash", "__key", "toxic", "tokens", "target", "copies", "extra", "__n", "__copies", "__instances", "removed", "n_words", "__t", "__id", "idx", "hash")],
 ])
 
 
@@ -23,7 +23,7 @@ def rows() -> list[tuple]:
     base += [(200, None, None, None, None), (201, "", "en", "s0", 0), (202, " \n\t ", "en", "s1", 3), (None, prose(77, 30), "en", "s2", 1), (203, "one", "en", "s2", 3), (204, "a b", "en", "s2", 3)]
     base += [(300, prose(5, 30_000), "en", "s0", 1), (301, "x" * 300_000, "en", "s1", 1), (302, "\n".join(["same line here"] * 500), "en", "s2", 1)]
     base += [base[7], base[7]]
-    return [(*b, *["clash"] * 15) for b in base]
+    return [(*b, *["clash"] * 25) for b in base]
 
 
 @pytest.fixture(scope="session")
