@@ -13,7 +13,8 @@ from ..array import LabelArray
 from ..axis import Axis
 from ..dataset import Dataset
 from ..sources import cf, netcdf
-from .queries import ev, li, od, od_count, pt, pt3, query, shared_folder
+from ..scratch import RUN, shared_folder
+from .queries import ev, li, od, od_count, pt, pt3, query
 
 
 def _rows(spark, rows, schema):
@@ -379,9 +380,10 @@ def scalar_conversions(spark, sf):
 
 @query("SELECT * FROM grid3 WHERE p_size BETWEEN 11 AND 30", dense=True)
 def netcdf_round_trip(spark, sf):
-    path = f"{shared_folder(spark)}/prices-{uuid.uuid4().hex}.nc"
-    netcdf.write_file(pt3(spark, sf), path, "price")
-    return netcdf.read_files(spark, path, "price", {"p_size": slice(11, 30)})
+    """A file for each 16 sizes, written by the tasks that hold their cells and read back by ranges."""
+    path = f"{shared_folder(spark)}/{RUN}/prices-{uuid.uuid4().hex}"
+    netcdf.write_slabs(pt3(spark, sf), path, "p_size", 16, "price")
+    return netcdf.read_files(spark, f"{path}/*.nc", "price", axis="p_size").sel(p_size=slice(11, 30)).transpose("p_brand", "p_size")
 
 
 @query("SELECT event_type, day, CASE WHEN day = 30 THEN value * 2 ELSE value END AS value FROM ev WHERE day > 20", 2)
@@ -394,10 +396,10 @@ def store_append_and_put(spark, sf):
     return gl.read(spark, path, "amount")
 
 
-@query("SELECT o_orderkey, o_orderkey IS NOT NULL AS same, round(date_diff('second', TIMESTAMP '1990-01-01 00:00:00', o_orderdate::TIMESTAMP) / 86400.0, 6)::DOUBLE AS value FROM orders WHERE o_orderkey % 97 = 0")
+@query("SELECT o_orderkey, o_orderkey IS NOT NULL AS same, round(date_diff('second', TIMESTAMP '1990-01-01 00:00:00', o_orderdate::TIMESTAMP) / 86400.0, 6)::DOUBLE AS value FROM orders")
 def cf_times(spark, sf):
     utc = F.concat(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"), F.lit("Z")).cast("timestamp")  # whatever the session's zone
-    t = spark.read.parquet(f"{sf}/orders.parquet").where("o_orderkey % 97 = 0").select("o_orderkey", utc.alias("t"), cf.encode_datetime(utc, "days since 1990-01-01").alias("days"))
+    t = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", utc.alias("t"), cf.encode_datetime(utc, "days since 1990-01-01").alias("days"))
     return t.select("o_orderkey", (cf.decode_datetime(F.col("days"), "days since 1990-01-01") == F.col("t")).alias("same"), F.round("days", 6).alias("value"))
 
 
@@ -408,3 +410,28 @@ def read_many_files(spark, sf):
     for k in range(3):
         a.isel(p_brand=[k]).write(f"{root}/{k}", "w", "price")
     return gl.read(spark, [f"{root}/{k}" for k in range(3)], "price", axis="p_brand")
+
+
+_LEAP = "(CASE WHEN y % 4 = 0 AND (y % 100 <> 0 OR y % 400 = 0) THEN 1 ELSE 0 END)"
+_PASSED = "(CASE WHEN m > 2 THEN 1 ELSE 0 END)"
+
+
+@query(f"""SELECT o_orderkey,
+  CASE WHEN NOT (m = 2 AND d = 29) THEN 365 * (y - 1990) + doy - 1 - {_LEAP} * {_PASSED} END::DOUBLE AS noleap,
+  (366 * (y - 1990) + doy - 1 + (1 - {_LEAP}) * {_PASSED})::DOUBLE AS all_leap,
+  CASE WHEN d <= 30 THEN 360 * (y - 1990) + 30 * (m - 1) + d - 1 END::DOUBLE AS days360,
+  (date_diff('day', DATE '1990-01-01', t) + (y - 1) // 100 - (y - 1) // 400 - 15 + CASE WHEN y % 100 = 0 AND y % 400 <> 0 THEN {_PASSED} ELSE 0 END)::DOUBLE AS julian,
+  date_diff('day', DATE '1990-01-01', t)::DOUBLE AS standard,
+  true AS back
+FROM (SELECT o_orderkey, o_orderdate::DATE AS t, year(o_orderdate) AS y, month(o_orderdate) AS m, day(o_orderdate) AS d, dayofyear(o_orderdate) AS doy FROM orders)""")
+def cf_calendars(spark, sf):
+    """Order dates counted in each calendar, and read back from the numbers."""
+    names = {"noleap": "noleap", "all_leap": "all_leap", "days360": "360_day", "julian": "julian", "standard": "standard"}
+    t = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", F.year("o_orderdate").alias("y"), F.month("o_orderdate").alias("m"), F.day("o_orderdate").alias("d"))
+    units, zero = "days since 1990-01-01", F.lit(0).cast("bigint")
+    t = t.select("*", *[cf.encode_calendar(F.col("y"), F.col("m"), F.col("d"), zero, units, c).alias(n) for n, c in names.items()])
+    back = F.lit(True)
+    for n, c in names.items():
+        x = cf.decode_calendar(F.col(n), units, c)
+        back = back & (F.col(n).isNull() | ((x.year == F.col("y")) & (x.month == F.col("m")) & (x.day == F.col("d")) & (x.micros == 0)))
+    return t.select("o_orderkey", *names, back.alias("back"))
