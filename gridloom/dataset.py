@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .array import LabelArray
 from .axis import Axis
 from .operators import align as al
+from .operators.interp import weigh
 
 
 class Dataset:
@@ -161,11 +162,21 @@ class Dataset:
         return self._with({n: v.reindex_like(other, **k) for n, v in self.items()})
 
     def interp_axis(self, values, axis=0, **k) -> Dataset:
-        d = self.axis(axis).name
-        return self._each(d, lambda v: v.interp_axis(values, d, **k))
+        """The weights are made once, for all variables on the axis."""
+        a = self.axis(axis)
+        if a.is_open or isinstance(values, Axis) and values.is_open:
+            return self._each(a.name, lambda v: v.interp_axis(values, a.name, **k))
+        w = weigh(next(iter(self.values())).spark, a, values, **k)
+        return self._each(a.name, lambda v: v.interp_axis(w, a.name))
 
     def interp_like(self, other, **k) -> Dataset:
-        return self._with({n: v.interp_like(other, **k) for n, v in self.items()})
+        """One table of weights a dimension, and one join with all of them for each variable."""
+        mine = {a.name: a for a in self.axes}
+        if any(a.is_open or mine[a.name].is_open for a in other.axes if a.name in mine):
+            return self._with({n: v.interp_like(other, **k) for n, v in self.items()})
+        spark = next(iter(self.values())).spark
+        weights = [weigh(spark, mine[a.name], a.values, **k) for a in other.axes if a.name in mine and a.numeric]
+        return self._with({n: v.regrid(weights) for n, v in self.items()})
 
     def reduce(self, op: str, axis=0, skipna: bool = False, **k) -> Dataset:
         d = self.axis(axis).name

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import options
 from ..axis import Axis
+from .ranks import percentiles
 
 
 def _aggregate(op: str, v: Column, n: int | None, ddof: int, whole: bool = False) -> Column:
@@ -32,46 +33,10 @@ def _aggregate(op: str, v: Column, n: int | None, ddof: int, whole: bool = False
     return {"sum": F.sum, "prod": F.product, "mean": F.avg, "min": F.min, "max": F.max, "median": F.median, "ptp": lambda x: F.max(x) - F.min(x), "all": lambda x: F.bool_and(x), "any": lambda x: F.bool_or(x)}[op](v)
 
 
-def _of_rank(part: DataFrame, rank: int, most: int, accuracy: int = 10_000):
-    """The value of a rank from 0 among the values of part, none of which is null.
-
-    Approximate percentiles on both sides of the rank bound the values that come into question,
-    until at most ``most`` of them are left; counts of what lies below keep the rank exact. Each round leaves
-    a few thousandths, whatever repeats, since the bounds themselves are answers or left out.
-    """
-    v = F.col("value")
-    n = part.count()
-    while n > most:
-        share = rank / (n - 1)
-        low, high = part.agg(F.percentile_approx(v, [max(0.0, share - 2 / accuracy), min(1.0, share + 2 / accuracy)], accuracy)).first()[0]
-        below, at_low, inside = part.agg(F.count_if(v < low), F.count_if(v == low), F.count_if((v > low) & (v < high))).first()
-        if below <= rank < below + at_low:
-            return low
-        at_high = below + at_low + inside
-        if below + at_low <= rank < at_high:
-            part, rank, n = part.where((v > low) & (v < high)), rank - below - at_low, inside
-        elif rank < below:
-            part, n = part.where(v < low), below
-        else:
-            more = part.where(v >= high)
-            equal = more.where(v == high).count()
-            if rank < at_high + equal:
-                return high
-            part, rank, n = part.where(v > high), rank - at_high - equal, n - at_high - equal
-    return part.sort("value").offset(rank).first()[0]
-
-
 def _percentiles(values: DataFrame, shares: list[float], most: int) -> list[float | None]:
     """Percentiles of all values with linear interpolation, without a task that sees them all."""
-    values = values.where("value is not null")
-    n = values.count()
-    out = []
-    for s in shares:
-        at = s * (n - 1)
-        low = math.floor(at)
-        below = float(_of_rank(values, low, most)) if n else None
-        out.append(below if below is None or at == low else (low + 1 - at) * below + (at - low) * float(_of_rank(values, low + 1, most)))
-    return out
+    got = percentiles(values, [], shares, most).first()
+    return list(got["value"]) if got and got["value"] else [None] * len(shares)
 
 
 class ReduceOps:
@@ -86,6 +51,8 @@ class ReduceOps:
         most = options.get_option("reduce.sort_rows")
         if op == "median" and not rest and not keepdims and (n is None or n > most):
             return _percentiles(self.cells, [0.5], most)[0] if skipna or self.count() == n else None
+        if op == "median" and rest and (n is None or n > most):
+            return self._grouped([0.5], gone, rest, n, skipna, keepdims, nos)
         v = F.col("value")
         if op in ("all", "any") and kind != "boolean":
             v = v != 0
@@ -115,6 +82,16 @@ class ReduceOps:
                 out = out.newaxis(self.axes[i].name, pos=i)
         return out if out.ndim else out.item()
 
+    def _grouped(self, shares: list[float], gone: list[Axis], rest: list[Axis], n: int | None, skipna: bool, keepdims: bool, nos: list[int]):
+        """The first of some percentiles along dimensions that may hold more cells than a task should sort."""
+        keys = [c for a in rest for c in a.cols]
+        got = percentiles(self.cells, keys, shares, options.get_option("reduce.sort_rows"))
+        value = F.get("value", F.lit(0))
+        out = self.make(got.withColumn("value", value if skipna else F.when(F.col("count") == F.lit(n), value)), rest)
+        for i in nos if keepdims else ():
+            out = out.newaxis(self.axes[i].name, pos=i)
+        return out
+
     sum = lambda self, axis=None, skipna=False, **k: self.reduce("sum", axis, skipna, **k)
     prod = lambda self, axis=None, skipna=False, **k: self.reduce("prod", axis, skipna, **k)
     mean = lambda self, axis=None, skipna=False, **k: self.reduce("mean", axis, skipna, **k)
@@ -220,10 +197,19 @@ class ReduceOps:
             own = Axis.of(newaxis or f"{a.name}_percentile", asked)
             rows = [(own.key(k), x) for k, x in enumerate(found)]
             return self.make(self.spark.createDataFrame(rows, f"`{own.name}` {own.key_type()}, value double"), [own], keep=False)
-        got = F.percentile("value", F.array(*[F.lit(p / scale) for p in asked]))
-        if not skipna:
-            got = F.when(F.count("value") == a.size, got)
-        cells: DataFrame = self.cells.groupBy(*[f"`{c}`" for x in rest for c in x.cols]).agg(got.alias("value"))
+        keys = [c for x in rest for c in x.cols]
+        shares = [p / scale for p in asked]
+        if rest and (not a.is_counted or a.size > most):
+            if not a.is_counted and not skipna:
+                raise ValueError("an open axis has no known size: use skipna=True")
+            found = percentiles(self.cells, keys, shares, most)
+            got = F.col("value") if skipna else F.when(F.col("count") == a.size, F.col("value"))
+            cells: DataFrame = found.select(*[f"`{c}`" for c in keys], got.alias("value"))
+        else:
+            got = F.percentile("value", F.array(*map(F.lit, shares)))
+            if not skipna:
+                got = F.when(F.count("value") == a.size, got)
+            cells = self.cells.groupBy(*[f"`{c}`" for c in keys]).agg(got.alias("value"))
         if not many:
             out = self.make(cells.withColumn("value", F.get("value", F.lit(0))), rest, keep=False)
             return out if out.ndim else out.item()

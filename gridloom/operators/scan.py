@@ -2,11 +2,36 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import options
 from ..axis import Axis
+from ..scratch import keep
+from .ranks import sliding
+
+#: What a product of whole numbers beyond 64 bits has become; only a zero ends it.
+BEYOND = "beyond"
+
+
+def exact_product(x, y):
+    """Of whole numbers, exact or BEYOND."""
+    if x == 0 or y == 0:
+        return 0
+    if BEYOND in (x, y):
+        return BEYOND
+    p = x * y
+    return p if -(1 << 63) <= p < 1 << 63 else BEYOND
+
+
+def in_range(x):
+    if x == BEYOND:
+        raise OverflowError("a product of whole numbers exceeds 64 bits")
+    return x
 
 
 class ScanOps:
@@ -14,13 +39,13 @@ class ScanOps:
         i = self.axis_no(axis)
         if not self.axes[i].is_counted:
             return self.ordered(i)._scan(i, skipna, product)
+        if product and self.dtype in ("bigint", "int"):
+            return self.accumulate(exact_product, i, "bigint", skipna, start=1, back=in_range)
         a = self.axes[i]
         cells = self.with_pos(self.dense().cells, a)
         neutral = 1 if product else 0
         cast = "bigint" if self.dtype in ("bigint", "int") else self.dtype
         v = F.coalesce(F.col("value"), F.lit(neutral).cast(self.dtype)) if skipna else F.col("value")
-        if product and cast == "bigint":
-            return self._whole_product(cells, a, v, skipna)
         total = F.product if product else F.sum
         others = [c for x in self.rest(i) for c in x.cols]
         by = [f"`{c}`" for c in others]
@@ -66,16 +91,68 @@ class ScanOps:
         w = Window.partitionBy(*others, "__block").orderBy("__at")
         return cells.withColumn("value", f(w)).where("__block = __own")
 
-    def _whole_product(self, cells, a: Axis, v, skipna: bool):
-        """Exact products of whole numbers: the factors other than 0, 1 and -1 so far, of which 63 fit at most before Spark's overflow error."""
-        w = self.window(a).rowsBetween(Window.unboundedPreceding, 0)
-        v = v.cast("bigint")
-        zero, minus = F.coalesce(F.max((v == 0).cast("int")).over(w), F.lit(0)), F.sum((v == -1).cast("int")).over(w)
-        cells = cells.withColumns({"__v": v, "__zero": zero, "__minus": F.coalesce(minus, F.lit(0)), "__ok": F.count("value").over(w) == F.count(F.lit(1)).over(w)})
-        factors = F.collect_list(F.when((F.col("__zero") == 0) & (F.abs("__v") > 1), F.col("__v"))).over(w)
-        out = F.aggregate(factors, F.lit(1).cast("bigint"), lambda x, y: x * y) * F.when(F.col("__minus") % 2 == 1, -1).otherwise(1)
-        out = F.when(F.col("__zero") == 1, F.lit(0).cast("bigint")).otherwise(out)
-        return self.make(cells.withColumn("value", out if skipna else F.when(F.col("__ok"), out)), self.axes)
+    def accumulate(self, join: Callable, axis=-1, dtype: str | None = None, skipna: bool = False, start=None, of: Callable = lambda x: x, back: Callable = lambda x: x):
+        """The running result of any associative function of two values, in order along an axis.
+
+        Long lines are cut into blocks: each block gives its total, the totals before a block give what it begins
+        with, and then each block runs on its own, so a line takes many tasks. join works on states:
+        of(value) makes one and back(state) gives a value of type dtype. A missing cell makes all later ones
+        missing; with skipna it is passed over, and start is the result before the first value.
+        """
+        i = self.axis_no(axis)
+        if not self.axes[i].is_counted:
+            return self.ordered(i).accumulate(join, i, dtype, skipna, start, of, back)
+        a = self.axes[i]
+        dtype = dtype or self.dtype
+        cells = self._cut(self.with_pos(self.dense().cells, a), a, options.get_option("scan.block"))
+        others, own = [c for x in self.rest(i) for c in x.cols], list(a.cols)
+        kinds = dict(self.cells.dtypes)
+        whole = self.dtype in ("bigint", "int")
+
+        def run(state, values) -> list:
+            """States after each value; None before the first, and for good after a missing one."""
+            out, lost = [], state == "lost"
+            for v in values:
+                if v is None or v != v:
+                    lost = lost or not skipna
+                elif not lost:
+                    x = of(int(v) if whole else v)
+                    state = (x,) if state is None else (join(state[0], x),)
+                out.append("lost" if lost else state)
+            return out
+
+        def plain(values: pd.Series) -> list:
+            return [None if pd.isna(v) else v for v in values]
+
+        by = [f"`{c}`" for c in others]
+        named = [*by, "__block"]
+        texts = cells.select(*named, "__at", *[f"`{c}`" for c in own], F.col("value").cast("string").alias("__v") if whole else F.col("value").alias("__v"))
+
+        def total(pdf: pd.DataFrame) -> pd.DataFrame:
+            last = run(None, plain(pdf.sort_values("__at")["__v"]))[-1]
+            return pdf.head(1)[[*others, "__block"]].assign(__state=[pickle.dumps(last)])
+
+        def carry(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("__block")
+            state, before = None, []
+            for x in pdf["__state"]:
+                before.append(pickle.dumps(state))
+                x = pickle.loads(x)
+                state = "lost" if "lost" in (state, x) else x if state is None else state if x is None else (join(state[0], x[0]),)
+            return pdf.assign(__state=before)
+
+        def finish(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("__at")
+            states = run(pickle.loads(pdf["__state"].iloc[0]), plain(pdf["__v"]))
+            values = [None if s == "lost" else start if s is None else back(s[0]) for s in states]
+            return pdf[[*others, *own]].assign(value=pd.Series(values, index=pdf.index, dtype=object))
+
+        key = ", ".join([*[f"`{c}` {kinds[c]}" for c in others], "__block bigint", "__state binary"])
+        sums = texts.groupBy(*named).applyInPandas(total, key)
+        sums = keep(sums.groupBy(*by).applyInPandas(carry, key), "carry")  # a row for each block
+        out = ", ".join([*[f"`{c}` {kinds[c]}" for c in [*others, *own]], f"value {dtype}"])
+        done = texts.join(sums, [*others, "__block"]).groupBy(*named).applyInPandas(finish, out)
+        return self.make(done, self.axes)
 
     def cumsum(self, axis=-1, skipna: bool = False):
         return self._scan(axis, skipna, False)
@@ -84,7 +161,12 @@ class ScanOps:
         return self._scan(axis, skipna, True)
 
     def moving(self, op: str, width: int, axis=-1, skipna: bool = False):
-        """sum, mean, min, max or std over the last width cells; missing before the first full window."""
+        """sum, mean, min, max, std, median, rank, argmin or argmax over the last width cells; missing before the first full window.
+
+        rank is the last cell's place in its window from -1 to 1; argmin and argmax count the cells back to the nearest such cell.
+        """
+        if op in ("median", "rank", "argmin", "argmax"):
+            return self._moving_order(op, width, axis, skipna)
         i = self.axis_no(axis)
         if not self.axes[i].is_counted:
             return self.ordered(i).moving(op, width, i, skipna)
@@ -99,6 +181,28 @@ class ScanOps:
 
         return self.make(self._beside(cells, a, over, back=width - 1), self.axes)
 
+    def _moving_order(self, op: str, width: int, axis, skipna: bool):
+        """Windows that keep their cells in order, by blocks that also hold the cells that their windows look back at."""
+        i = self.axis_no(axis)
+        if not self.axes[i].is_counted:
+            return self.ordered(i)._moving_order(op, width, i, skipna)
+        a = self.axes[i]
+        block = max(options.get_option("scan.block"), width)
+        cells = self._cut(self.with_pos(self.dense().cells, a), a, block).withColumnRenamed("__block", "__own")
+        cells = cells.withColumn("__block", F.explode(F.array_compact(F.array("__own", F.when(F.col("__at") % block >= block - width + 1, F.col("__own") + 1)))))
+        others, own = [c for x in self.rest(i) for c in x.cols], list(a.cols)
+        kinds = dict(self.cells.dtypes)
+
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("__at")
+            got = sliding(op, pdf["value"].astype("float64").to_numpy(), width, skipna)
+            pdf = pdf[[*others, *own, "__own", "__block", "__at"]].assign(value=got)
+            return pdf[pdf["__own"] == pdf["__block"]][[*others, *own, "value"]]
+
+        schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in [*others, *own]], "value double"])
+        done = cells.select(*[f"`{c}`" for c in [*others, *own]], F.col("value").cast("double").alias("value"), "__at", "__own", "__block").groupBy(*[f"`{c}`" for c in others], "__block").applyInPandas(run, schema)
+        return self.make(done.withColumn("value", F.when(~F.isnan("value"), F.col("value"))), self.axes)
+
     def diff(self, axis=-1, scheme: str = "backward", keepaxis: bool = False, n: int = 1):
         if n > 1:
             return self.diff(axis, scheme, keepaxis).diff(axis, scheme, keepaxis, n - 1)

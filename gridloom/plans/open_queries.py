@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 import gridloom as gl
 
 from ..array import LabelArray
-from .queries import CTE, SQL, Q, by_user, query
+from ..operators.ranks import percentiles
+from .queries import CTE, SQL, by_user, ev, query
 
 
 def totals(spark: SparkSession, sf: str) -> LabelArray:
@@ -161,4 +162,62 @@ def open_shape(spark, sf) -> DataFrame:
     return spark.range(1).select(F.round(F.lit(a.sum()), 1).alias("total"), F.lit(a.shape[0]).cast("bigint").alias("n"), F.lit(last).cast("bigint").alias("last"))
 
 
-__all__ = ["Q"]
+# -- order statistics and scans over blocks -----------------------------------------------------
+
+
+@open_query("SELECT l_returnflag, quantile_cont(l_extendedprice, 0.1) AS low, quantile_cont(l_extendedprice, 0.5) AS mid, quantile_cont(l_extendedprice, 0.999) AS high, count(*) AS n FROM lineitem GROUP BY ALL")
+def percentiles_narrowed(spark, sf):
+    """A few groups that hold all line items: ranks are narrowed, no group is sorted in a task."""
+    cells = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_returnflag", F.col("l_extendedprice").alias("value"))
+    got = percentiles(cells, ["l_returnflag"], [0.1, 0.5, 0.999], most=1000)
+    return got.select("l_returnflag", *[F.get("value", F.lit(i)).alias(n) for i, n in enumerate(("low", "mid", "high"))], F.col("count").alias("n"))
+
+
+@open_query("SELECT event_type, CASE WHEN count(value) > 0 THEN median(value) END AS value FROM us GROUP BY ALL", 6)
+def median_two_dims(spark, sf):
+    """Along a listed and an open dimension."""
+    return by_user(spark, sf).median(("day", "user_id"), skipna=True)
+
+
+_W = "FROM tot WINDOW w AS (ORDER BY key ROWS 29 PRECEDING)"
+
+
+@open_query(f"SELECT key, CASE WHEN count(*) OVER w = 30 THEN median(value) OVER w END AS value {_W}", 3, True)
+def moving_median(spark, sf):
+    return totals(spark, sf).moving("median", 30, "key")
+
+
+@open_query(f"SELECT key, CASE WHEN len(l) = 30 THEN 2 * (len(list_filter(l, lambda x: x < value)) + (len(list_filter(l, lambda x: x = value)) + 1) / 2 - 1) / 29 - 1 END AS value FROM (SELECT key, value, list(value) OVER w AS l {_W})", 6, True)
+def moving_rank(spark, sf):
+    return totals(spark, sf).moving("rank", 30, "key")
+
+
+@open_query(f"SELECT key, CASE WHEN len(l) = 30 THEN 30 - list_position(l, list_max(l)) END::DOUBLE AS value FROM (SELECT key, list(value) OVER w AS l {_W})", None, True)
+def moving_argmax(spark, sf):
+    return totals(spark, sf).moving("argmax", 30, "key")
+
+
+@open_query("SELECT key, (product(CASE WHEN key % 5000 = 0 THEN -3.0 WHEN key % 3 = 0 THEN -1.0 ELSE 1.0 END) OVER (ORDER BY key))::BIGINT AS value FROM tot")
+def cumprod_blocks(spark, sf):
+    """Exact products of whole numbers along a line of several blocks."""
+    a = totals(spark, sf)
+    t = a.cells.select("key", F.when(F.col("key") % 5000 == 0, -3).when(F.col("key") % 3 == 0, -1).otherwise(1).cast("bigint").alias("value"))
+    return a.make(t, a.axes).cumprod("key")
+
+
+@open_query("SELECT key, max(value) OVER (ORDER BY key) AS value FROM tot")
+def accumulate_max(spark, sf):
+    return totals(spark, sf).accumulate(max, "key")
+
+
+_NEW = "(VALUES (1.0), (2.5), (17.25), (30.0)) t(day)"
+
+
+@open_query(f"""WITH n AS (SELECT day AS x, floor(day)::BIGINT AS lo, ceil(day)::BIGINT AS hi FROM {_NEW})
+SELECT 'sold' AS name, a.event_type, n.x::DOUBLE AS day, (a.value * (1 - (n.x - n.lo)) + b.value * (n.x - n.lo))::DOUBLE AS value FROM n, ev a, ev b WHERE a.day = n.lo AND b.day = n.hi AND a.event_type = b.event_type
+UNION ALL SELECT 'twice', a.event_type, n.x, 2 * (a.value * (1 - (n.x - n.lo)) + b.value * (n.x - n.lo)) FROM n, ev a, ev b WHERE a.day = n.lo AND b.day = n.hi AND a.event_type = b.event_type""", 4)
+def dataset_weights(spark, sf):
+    """Two variables by one table of weights."""
+    a = ev(spark, sf)
+    ds = gl.Dataset({"sold": a, "twice": a * 2}).interp_axis([1.0, 2.5, 17.25, 30.0], "day")
+    return gl.stack({k: ds[k] for k in ds}, "name")
