@@ -145,6 +145,16 @@ class LabelArray(IndexOps, AlignOps, ArithOps, ReduceOps, ScanOps, InterpOps, Mi
 
         return load(spark, data)
 
+    @classmethod
+    def from_json_column(cls, df: DataFrame, column: str, dims: Sequence[str], keep: Sequence[str] = (), kinds: dict[str, str] | None = None, value: str = "double", **how) -> LabelArray:
+        """From a column of nested JSON texts, one or many a table; nothing of it passes the driver but the labels.
+
+        keep: columns of df that are dimensions too, before dims, the levels of the JSON. Other arguments as for from_dataframe.
+        """
+        from .sources.jsons import cells_of
+
+        return cls.from_dataframe(cells_of(df, column, dims, keep, kinds, value), [*keep, *dims], **how)
+
     # -- description --------------------------------------------------------------------------
 
     spark = property(lambda self: self.cells.sparkSession)

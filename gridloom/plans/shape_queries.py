@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 import numpy as np
@@ -364,9 +365,11 @@ def axis_function_order(spark, sf):
 
 @query("SELECT count(value) AS n, 150 - count(value) AS missing, 3::BIGINT AS brands, 50::BIGINT AS sizes FROM grid3")
 def summary_counts(spark, sf):
-    a = pt3(spark, sf)
-    n = int(a.count())
-    return _rows(spark, [(n, a.size - n, *a.shape)], "n long, missing long, brands long, sizes long")
+    """The numbers as the summary gives them."""
+    lines = pt3(spark, sf).summary().split("\n")
+    n, missing = (int(x) for x in re.findall(r"(\d+)", lines[0]))
+    brands, sizes = (int(re.search(r"\((\d+)\)", x)[1]) for x in lines[1:3])
+    return _rows(spark, [(n, missing, brands, sizes)], "n long, missing long, brands long, sizes long")
 
 
 @query("SELECT count(*) > 0 AS found, (SELECT sum(value)::BIGINT FROM odc) AS total FROM odc WHERE value = (SELECT max(value) FROM odc)")
@@ -435,3 +438,44 @@ def cf_calendars(spark, sf):
         x = cf.decode_calendar(F.col(n), units, c)
         back = back & (F.col(n).isNull() | ((x.year == F.col("y")) & (x.month == F.col("m")) & (x.day == F.col("d")) & (x.micros == 0)))
     return t.select("o_orderkey", *names, back.alias("back"))
+
+
+@query("SELECT * FROM ev")
+def json_column(spark, sf):
+    """A JSON text for each event type, nested by weeks and days, walked by the executors."""
+    t = ev(spark, sf).to_dataframe()
+    week = t.groupBy("event_type", F.expr("day div 7").alias("week")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("day").cast("string"), "value"))).alias("days"))
+    texts = week.groupBy("event_type").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("week").cast("string"), "days")))).alias("text"))
+    a = LabelArray.from_json_column(texts, "text", ["week", "day"], keep=["event_type"], kinds={"day": "bigint"})
+    return a.sum("week", skipna=True)  # a day is in one week
+
+
+@query("SELECT event_type, day, CASE WHEN event_type = 'click' AND day BETWEEN 9 AND 17 THEN 0.0 ELSE value END AS value FROM ev")
+def put_tile(spark, sf):
+    """A partial write into two of five tiles, and another that is undone by opening the version before it."""
+    path = f"{shared_folder(spark)}/{RUN}/tiles-{uuid.uuid4().hex}"
+    ev(spark, sf).write(path, "w", "amount", tiles={"day": 6})
+    s = gl.open_store(spark, path)
+    s.put("amount", {"event_type": "click", "day": slice(9, 17)}, 0.0)
+    s.put("amount", {"day": slice(20, None)}, -1.0)
+    return gl.open_store(spark, path, version=2)["amount"]
+
+
+@query("SELECT p_brand, p_size, value, 'USD' AS unit, 'mean price' AS title FROM grid3 WHERE value IS NOT NULL")
+def attrs_and_fill_on_disk(spark, sf):
+    """Missing cells written as a fill value, and attributes, come back."""
+    path = f"{shared_folder(spark)}/{RUN}/attrs-{uuid.uuid4().hex}"
+    a = pt3(spark, sf)
+    a.unit = "USD"
+    gl.Dataset({"price": a}, attrs={"title": "mean price"}).write(path, "w", fill_value=-999.0)
+    ds = gl.read(spark, path)
+    return ds["price"].to_dataframe().where("value is not null").select("*", F.lit(ds["price"].unit).alias("unit"), F.lit(ds.attrs["title"]).alias("title"))
+
+
+@query("SELECT year, sum(value) AS value, 'kept' AS by_selection, 'kept' AS by_reduction, 'dropped' AS by_arithmetic FROM od GROUP BY year", 2)
+def attrs_propagation(spark, sf):
+    a = od(spark, sf)
+    a.unit = "USD"
+    total = a.sum(("o_orderpriority", "o_orderstatus"))
+    said = lambda x: F.lit("kept" if x.attrs.get("unit") == "USD" else "dropped")
+    return total.to_dataframe().select("*", said(a.sel(year=slice(1995, 1996))).alias("by_selection"), said(total).alias("by_reduction"), said(a + a).alias("by_arithmetic"))

@@ -1,12 +1,15 @@
-"""Small arrays as JSON, and axes as dicts."""
+"""Arrays as JSON, small ones on the driver and columns of texts in the executors; axes as dicts."""
 
 from __future__ import annotations
 
 import datetime as dt
 import json
 
+from collections.abc import Sequence
+
 import numpy as np
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..axis import Axis
 
@@ -45,3 +48,24 @@ def load(spark: SparkSession, data: str | dict):
     holes = any(x is None for x in flat.reshape(-1))
     values = flat.astype(float) if holes else np.array(d["values"])
     return LabelArray.from_values(spark, values.reshape(d["shape"]), list(zip(d["dims"], d["labels"], strict=True)), attrs=d.get("meta"))
+
+
+def cells_of(df: DataFrame, column: str, dims: Sequence[str], keep: Sequence[str] = (), kinds: dict[str, str] | None = None, value: str = "double") -> DataFrame:
+    """Rows of keep, dims and value from a column of nested JSON texts, or of variants, walked level by level in Spark.
+
+    The keys of an object, or the places in a list, are the labels of a level; after as many levels as dims
+    there are values, of which those that are no ``value`` are missing. kinds: SQL types of labels other than
+    string; keys that are no such label, null texts and texts that are no JSON give no cell, and
+    neither do branches that end early. Columns of df but those in keep are not used.
+    """
+    names = [f"__d{i}" for i in range(len(dims))]
+    kind = dict(df.dtypes)[column]
+    source = F.col(f"`{column}`") if kind == "variant" else F.try_parse_json(F.col(f"`{column}`"))
+    rows = df.select(*[F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(keep)], source.alias("__v"))
+    carried = [f"__k{i}" for i in range(len(keep))]
+    for n, d in zip(names, dims, strict=True):
+        step = df.sparkSession.tvf.variant_explode(F.col("__v").outer()).select(F.coalesce("key", F.col("pos").cast("string")).alias(n), F.col("value").alias("__next"))
+        rows = rows.lateralJoin(step).select(*carried, F.col(n).try_cast((kinds or {}).get(d, "string")).alias(n), F.col("__next").alias("__v")).where(F.col(n).isNotNull())
+        carried.append(n)
+    got = F.try_variant_get("__v", "$", value)
+    return rows.select(*[F.col(c).alias(d) for c, d in zip(carried, [*keep, *dims], strict=True)], got.alias("value"))

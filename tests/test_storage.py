@@ -132,3 +132,13 @@ def test_streaming(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {r.k: r.value for r in spark.table("run_sum").collect()} == {"a": 4.0, "b": 2.0}
+
+
+def test_json_columns(spark):
+    rows = [("p", '{"a": {"1": 1.5, "2": 2}, "b": {"1": "x", "z": 4}}'), ("q", '{"b": {"2": 7}, "c": 5}'), ("r", None), ("s", "no json"), ("t", "[[1, 2], {\"0\": 3}]")]
+    df = spark.createDataFrame(rows, "k string, text string")
+    a = LabelArray.from_json_column(df, "text", ["x", "y"], keep=["k"], kinds={"y": "bigint"})
+    got = {(r.k, r.x, r.y): r.value for r in a.to_dataframe().collect() if r.value is not None}
+    assert got == {("p", "a", 1): 1.5, ("p", "a", 2): 2.0, ("q", "b", 2): 7.0, ("t", "0", 0): 1.0, ("t", "0", 1): 2.0, ("t", "1", 0): 3.0}
+    assert a.dims == ("k", "x", "y") and a.labels[2] == (0, 1, 2)
+    assert LabelArray.from_json_column(df.where("false"), "text", ["x"]).shape == (0,)
