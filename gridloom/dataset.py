@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from copy import deepcopy
+from dataclasses import fields, replace
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -14,6 +15,53 @@ from .operators import align as al
 from .operators.interp import weigh
 
 
+class SharedAxis(Axis):
+    """An axis of a dataset: a new name, new labels or another attribute goes to all its arrays."""
+
+    def __setattr__(self, key: str, value) -> None:
+        owner = self.__dict__.get("_owner")
+        if owner is None or key not in ("name", "labels", "values", "attrs"):
+            super().__setattr__(key, value)
+            return
+        owner._change(self.name, replace(self.plain(), attrs=dict(value)) if key == "attrs" else self.plain().relabel(None, value) if key == "name" else self.plain().relabel(list(value)))
+        found = owner.axis(value if key == "name" else self.name)
+        self.__dict__.update({f.name: getattr(found, f.name) for f in fields(Axis)})
+
+    def plain(self) -> Axis:
+        return Axis(**{f.name: getattr(self, f.name) for f in fields(Axis)})
+
+
+class SharedAxes(list):
+    """The axes of a dataset, by position or name; assigning one changes it in all arrays, at the same size."""
+
+    def __init__(self, owner: Dataset, axes: Iterable[Axis]):
+        super().__init__(SharedAxis(**{f.name: getattr(a, f.name) for f in fields(Axis)}) for a in axes)
+        self.owner = owner
+        for a in self:
+            a.__dict__["_owner"] = owner
+
+    def _place(self, k) -> int:
+        names = [a.name for a in self]
+        if isinstance(k, str) and k not in names:
+            raise IndexError(f"no axis {k!r}; there are {names}")
+        return names.index(k) if isinstance(k, str) else k
+
+    def __getitem__(self, k):
+        return super().__getitem__(k if isinstance(k, slice) else self._place(k))
+
+    def __setitem__(self, k, new) -> None:
+        at = self._place(k)
+        old = super().__getitem__(at)
+        new = new if isinstance(new, Axis) else Axis.of(old.name, list(new), old.tol, **old.attrs)
+        if new.size != old.size:
+            raise ValueError(f"axis {old.name!r} has {old.size} labels, not {new.size}")
+        self.owner._change(old.name, new)
+        super().__setitem__(at, SharedAxes(self.owner, [new])[0])
+
+    def __reduce__(self):
+        return list, (list(self),)
+
+
 class Dataset:
     """Arrays by name. The constructor aligns them (outer); assignment asks for equal axes."""
 
@@ -26,18 +74,27 @@ class Dataset:
     # -- structure ----------------------------------------------------------------------------
 
     @property
-    def axes(self) -> list[Axis]:
+    def axes(self) -> SharedAxes:
         found: dict[str, Axis] = {}
         for v in self.variables.values():
             for a in v.axes:
                 found.setdefault(a.name, a)
-        return list(found.values())
+        return SharedAxes(self, found.values())
+
+    def _change(self, name: str, new: Axis) -> None:
+        """Another axis in place of one, in the arrays themselves."""
+        if new.name != name and new.name in self.dims:
+            raise ValueError(f"dimension {new.name!r} exists")
+        for v in self.variables.values():
+            if name in v.dims:
+                out = v.set_axis(list(new.values), name, new.name) if not v.axis(name).is_open else v.rename(**{name: new.name})
+                v.cells, v.axes = out.cells, tuple(replace(x, attrs=dict(new.attrs), tol=new.tol) if x.name == new.name else x for x in out.axes)
 
     dims = property(lambda self: tuple(a.name for a in self.axes))
     labels = property(lambda self: tuple(a.values for a in self.axes))
 
     def axis(self, which) -> Axis:
-        return self.axes[which] if isinstance(which, int) else next(a for a in self.axes if a.name == which)
+        return self.axes[which].plain()
 
     def keys(self):
         return self.variables.keys()

@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -148,11 +149,12 @@ class ReduceOps:
     def argmax(self, axis=None, skipna: bool = False):
         return self._extreme(axis, skipna, True)
 
-    def apply_along_axis(self, f: Callable, axis, dtype: str = "double", same: bool = False):
+    def apply_along_axis(self, f: Callable, axis, dtype: str = "double", same: bool | str = False):
         """A Python function on the values of each slice, in order; missing cells come as NaN.
 
         It gives one value, or with same=True as many as it gets, such as a cumulative function; then
-        the axis stays. Slices are grouped in Spark; each must fit a task.
+        the axis stays; or with same="diff" one less, which belong to all labels but the first. Another number
+        raises. Slices are grouped in Spark; each must fit a task.
         """
         nos = self.axis_nos(axis)
         gone, rest = [self.axes[i] for i in nos], self.rest(*nos)
@@ -171,12 +173,26 @@ class ReduceOps:
         if same:
             own = [c for a in gone for c in a.cols]
 
+            less = int(same == "diff")
+            if less and (len(nos) > 1 or gone[0].members):
+                raise ValueError("differences run along one dimension")
+
             def along(pdf):
                 pdf = pdf.sort_values(order)
-                return pdf.assign(value=f(pdf["value"].to_numpy()))[[*cols, *own, "value"]]
+                got = np.asarray(f(pdf["value"].to_numpy()))
+                if got.shape != (len(pdf) - less,):
+                    raise ValueError(f"the function gives {got.shape} of {len(pdf)} values")
+                return pdf.iloc[less:].assign(value=got)[[*cols, *own, "value"]]
 
             schema = ", ".join([*[f"`{c}` {types[c]}" for c in [*cols, *own]], f"value {dtype}"])
-            return self.make(cells.groupBy(*[f"`{c}`" for c in cols]).applyInPandas(along, schema), self.axes)
+            out = cells.groupBy(*[f"`{c}`" for c in cols]).applyInPandas(along, schema)
+            if not less:
+                return self.make(out, self.axes)
+            a = gone[0]
+            new = a.take(range(1, a.size))
+            if a.by_pos or new.by_pos != a.by_pos:
+                raise ValueError(f"labels of {a.name!r} repeat")
+            return self.make(out, [new if x is a else x for x in self.axes])
         schema = ", ".join([*[f"`{c}` {types[c]}" for c in cols], f"value {dtype}"])
         out = self.make(cells.groupBy(*[f"`{c}`" for c in cols]).applyInPandas(run, schema), rest)
         return out if out.ndim else out.item()

@@ -102,6 +102,12 @@ def open_file(spark: SparkSession, path: str, slab_bytes: int = 32 << 20) -> Dat
     return ds
 
 
+def summary(spark: SparkSession, path: str) -> str:
+    """What a file holds, from its header and coordinates alone."""
+    ds = open_file(spark, path)
+    return "\n".join([ds.summary(), *[f"    {n}: {v.dtype} {v.dims} {v.attrs}" for n, v in ds.items()]])
+
+
 def _whole_cells(name: str, mine: list[Axis], kind: str, fill):
     def cells(batches: Iterable[pd.DataFrame]):
         for pdf in batches:

@@ -263,3 +263,33 @@ def test_axis_methods():
     assert Axis.from_pandas(x.to_pandas()) == x and len(x) == 3 and not x.is_monotonic()
     two = Axis("a,b", members=(Axis.of("a", [0, 1]), Axis.of("b", ["u", "v"])))
     assert Axis.from_pandas(two.to_pandas()) == two and two.values[1] == (0, "v")
+
+
+def test_axes_shared_by_a_dataset(spark):
+    v = lambda x, *axes: LabelArray.from_values(spark, np.array(x), list(axes))
+    x, y = ("x", [11.0, 22.0, 33.0]), ("y", ["a", "b"])
+    ds = gl.Dataset(v0=v([1.0, 2, 3], x), v1=v([4, 5], y), v2=v([[1, 2], [3, 4], [5, 6]], x, y))
+    ds.axes["x"] = Axis.of("x", [22.0, 44.0, 66.0], units="m")
+    assert ds["v0"].labels[0] == ds["v2"].labels[0] == (22.0, 44.0, 66.0) and ds["v2"].axes[0].attrs == {"units": "m"}
+    assert ds["v0"].sel(x=44.0) == 2.0 and ds["v2"].sel(x=66.0, y="b") == 6
+    ds.axes[0].name = "z"
+    assert ds.dims == ("z", "y") and ds["v0"].dims == ("z",) and ds["v2"].sel(z=66.0).values.tolist() == [5, 6] and ds["v1"].dims == ("y",)
+    ds.axes["y"].labels = ["c", "d"]
+    ds.axes["y"].attrs = {"long": "letters"}
+    assert ds["v1"].sel(y="d") == 5 and ds["v2"].labels[1] == ("c", "d") and ds["v1"].axes[0].attrs == {"long": "letters"}
+    with pytest.raises(ValueError):
+        ds.axes["y"] = ["only one"]
+    with pytest.raises(ValueError):
+        ds.axes["y"].name = "z"
+    with pytest.raises(IndexError):
+        ds.axes["none"]
+    assert [a.name for a in ds.axes] == ["z", "y"] and ds.axes[0] == ds["v0"].axes[0] and (ds * 2)["v0"].sum() == 12
+
+
+def test_functions_along_an_axis_by_shape(spark):
+    a = LabelArray.from_values(spark, np.array([[1.0, 4, 9], [2, 2, 5]]), [("g", ["p", "q"]), ("t", [10, 20, 30])])
+    d = a.apply_along_axis(np.diff, "t", same="diff")
+    assert d.labels[1] == (20, 30) and d.values.tolist() == [[3, 5], [0, 3]]
+    assert a.apply_along_axis(np.cumsum, "t", same=True).values.tolist() == [[1, 5, 14], [2, 4, 9]]
+    with pytest.raises(Exception, match="gives"):
+        a.apply_along_axis(lambda x: x[:1], "t", same=True).values  # noqa: B018
