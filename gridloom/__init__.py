@@ -6,6 +6,11 @@ from .dataset import Dataset, concatenate_ds, stack_ds
 from .functions import percentile, quantile
 from .operators.align import align, align_dims, array, broadcast_arrays, concatenate, stack
 from .options import get_option, print_options, reset_options, set_option
+from .sources.netcdf import open_file as open_nc
+from .sources.netcdf import read_files as read_nc
+from .sources.netcdf import summary as summary_nc
+from .sources.netcdf import write_file as write_nc
+from .sources.netcdf import write_slabs
 from .sources.store import open_store, read
 
 
@@ -56,5 +61,5 @@ def interp2d(a: LabelArray, newaxes, dims=(-2, -1), **how) -> LabelArray:
 
 __all__ = [
     "Axis", "Dataset", "LabelArray", "align", "align_dims", "array", "broadcast_arrays", "concatenate", "concatenate_ds", "empty", "empty_like", "full", "get_option", "interp1d", "interp2d", "nans", "nans_like",
-    "ones", "ones_like", "open_store", "percentile", "print_options", "quantile", "read", "reset_options", "set_option", "stack", "stack_ds", "zeros", "zeros_like",
+    "ones", "ones_like", "open_nc", "open_store", "percentile", "print_options", "quantile", "read", "read_nc", "reset_options", "set_option", "stack", "stack_ds", "summary_nc", "write_nc", "write_slabs", "zeros", "zeros_like",
 ]

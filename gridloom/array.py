@@ -26,6 +26,7 @@ from .operators.missing import MissingOps
 from .operators.reduce import ReduceOps
 from .operators.scan import ScanOps
 from .operators.shape import ShapeOps
+from .scratch import keep
 
 
 def clean(value: Column, kind: str) -> Column:
@@ -51,7 +52,9 @@ class LabelArray(IndexOps, AlignOps, ArithOps, ReduceOps, ScanOps, InterpOps, Mi
     def from_dataframe(cls, df: DataFrame, dims: Sequence[str], value: str = "value", axes: dict | None = None, listed: bool | str = True, attrs: dict | None = None, aggregate: Callable[[Column], Column] | None = None) -> LabelArray:
         """From rows with one column a dimension; the dims must identify a row, or rows are aggregated first.
 
-        aggregate: a function of the value column, such as F.sum. Rows with a null label are left out.
+        aggregate: a function of the value column, such as F.sum; where labels are to be found as well, the
+        aggregated cells are written once to the shared folder, so that the rows are read once, whatever
+        is asked of the array. Rows with a null label are left out.
 
         axes: known labels by dimension; other axes list the sorted distinct labels found (one job
         for all), or stay open with listed=False; with listed="ordered" open axes get a table of labels at once. Rows with labels off a given axis are left out.
@@ -62,6 +65,8 @@ class LabelArray(IndexOps, AlignOps, ArithOps, ReduceOps, ScanOps, InterpOps, Mi
             cells = cells.groupBy(*[f"`{d}`" for d in dims]).agg(aggregate(F.col("value")).alias("value"))
         axes = dict(axes or {})
         ask = [d for d in dims if d not in axes and listed is True]
+        if aggregate is not None and (ask or listed == "ordered"):
+            cells = keep(cells, "cells")
         if ask:
             found = cells.select(*[F.array_sort(F.collect_set(d)).alias(d) for d in ask]).first()
             axes |= {d: found[d] for d in ask}

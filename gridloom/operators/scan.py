@@ -161,7 +161,7 @@ class ScanOps:
         return self._scan(axis, skipna, True)
 
     def moving(self, op: str, width: int, axis=-1, skipna: bool = False):
-        """sum, mean, min, max, std, median, rank, argmin or argmax over the last width cells; missing before the first full window.
+        """sum, mean, min, max, std, var, median, rank, argmin or argmax over the last width cells; missing before the first full window.
 
         rank is the last cell's place in its window from -1 to 1; argmin and argmax count the cells back to the nearest such cell.
         """
@@ -172,7 +172,7 @@ class ScanOps:
             return self.ordered(i).moving(op, width, i, skipna)
         a = self.axes[i]
         cells = self.with_pos(self.dense().cells, a)
-        total = {"sum": F.sum, "mean": F.avg, "min": F.min, "max": F.max, "std": F.stddev_pop}[op]
+        total = {"sum": F.sum, "mean": F.avg, "min": F.min, "max": F.max, "std": F.stddev_pop, "var": F.var_pop}[op]
 
         def over(w):
             w = w.rowsBetween(-(width - 1), 0)

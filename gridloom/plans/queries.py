@@ -23,20 +23,24 @@ SQL: dict[str, str] = {}
 # -- cubes ------------------------------------------------------------------------------------
 
 
+def _cents(c):
+    return F.round(F.sum(c), 2)
+
+
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
 def li(spark: SparkSession, sf: str) -> LabelArray:
     """Revenue by return flag, line status and ship month."""
-    t = _table(spark, sf, "lineitem").groupBy("l_returnflag", "l_linestatus", (F.year("l_shipdate") * 100 + F.month("l_shipdate")).cast("bigint").alias("month"))
-    return LabelArray.from_dataframe(t.agg(F.round(F.sum("l_extendedprice"), 2).alias("value")), ["l_returnflag", "l_linestatus", "month"])
+    t = _table(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", (F.year("l_shipdate") * 100 + F.month("l_shipdate")).cast("bigint").alias("month"), "l_extendedprice")
+    return LabelArray.from_dataframe(t, ["l_returnflag", "l_linestatus", "month"], "l_extendedprice", aggregate=_cents)
 
 
 def pt(spark: SparkSession, sf: str) -> LabelArray:
     """Mean price by brand and size; sizes are 1 to 50, and many cells have no part."""
-    t = _table(spark, sf, "part").groupBy("p_brand", F.col("p_size").cast("bigint").alias("p_size")).agg(F.round(F.avg("p_retailprice"), 4).alias("value"))
-    return LabelArray.from_dataframe(t, ["p_brand", "p_size"], axes={"p_size": range(1, 51)})
+    t = _table(spark, sf, "part").select("p_brand", F.col("p_size").cast("bigint").alias("p_size"), "p_retailprice")
+    return LabelArray.from_dataframe(t, ["p_brand", "p_size"], "p_retailprice", axes={"p_size": range(1, 51)}, aggregate=lambda c: F.round(F.avg(c), 4))
 
 
 def pt3(spark: SparkSession, sf: str) -> LabelArray:
@@ -46,19 +50,19 @@ def pt3(spark: SparkSession, sf: str) -> LabelArray:
 
 def od(spark: SparkSession, sf: str) -> LabelArray:
     """Order value by priority, status and year."""
-    t = _table(spark, sf, "orders").groupBy("o_orderpriority", "o_orderstatus", F.year("o_orderdate").cast("bigint").alias("year")).agg(F.round(F.sum("o_totalprice"), 2).alias("value"))
-    return LabelArray.from_dataframe(t, ["o_orderpriority", "o_orderstatus", "year"])
+    t = _table(spark, sf, "orders").select("o_orderpriority", "o_orderstatus", F.year("o_orderdate").cast("bigint").alias("year"), "o_totalprice")
+    return LabelArray.from_dataframe(t, ["o_orderpriority", "o_orderstatus", "year"], "o_totalprice", aggregate=_cents)
 
 
 def od_count(spark: SparkSession, sf: str) -> LabelArray:
-    t = _table(spark, sf, "orders").groupBy("o_orderpriority", "o_orderstatus", F.year("o_orderdate").cast("bigint").alias("year")).agg(F.count(F.lit(1)).alias("value"))
-    return LabelArray.from_dataframe(t, ["o_orderpriority", "o_orderstatus", "year"])
+    t = _table(spark, sf, "orders").select("o_orderpriority", "o_orderstatus", F.year("o_orderdate").cast("bigint").alias("year"), F.lit(1).cast("bigint").alias("value"))
+    return LabelArray.from_dataframe(t, ["o_orderpriority", "o_orderstatus", "year"], aggregate=F.count)
 
 
 def ev(spark: SparkSession, sf: str) -> LabelArray:
     """Event values by type and day of month."""
-    t = _table(spark, sf, "events").groupBy("event_type", F.dayofmonth("ts").cast("bigint").alias("day")).agg(F.round(F.sum("value"), 2).alias("value"))
-    return LabelArray.from_dataframe(t, ["event_type", "day"])
+    t = _table(spark, sf, "events").select("event_type", F.dayofmonth("ts").cast("bigint").alias("day"), "value")
+    return LabelArray.from_dataframe(t, ["event_type", "day"], aggregate=_cents)
 
 
 def by_user(spark: SparkSession, sf: str) -> LabelArray:

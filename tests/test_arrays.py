@@ -293,3 +293,11 @@ def test_functions_along_an_axis_by_shape(spark):
     assert a.apply_along_axis(np.cumsum, "t", same=True).values.tolist() == [[1, 5, 14], [2, 4, 9]]
     with pytest.raises(Exception, match="gives"):
         a.apply_along_axis(lambda x: x[:1], "t", same=True).values  # noqa: B018
+
+
+def test_rows_are_read_once_for_labels_and_cells(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    spark.createDataFrame([("a", 1, 2.0), ("a", 1, 3.0), ("b", 2, 4.0)], "k string, t long, v double").write.parquet(f"{tmp_path}/rows")
+    a = LabelArray.from_dataframe(spark.read.parquet(f"{tmp_path}/rows"), ["k", "t"], "v", aggregate=F.sum)
+    assert a.labels == (("a", "b"), (1, 2)) and all("/rows/" not in f for f in a.cells.inputFiles()) and a.sum(skipna=True) == 9.0

@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 from gridloom import LabelArray
 
 SF = "/root/testdata/sf0.01"
-TELLING = ["reduce_sum_strict", "reduce_median_strict", "reduce_all_present", "reduce_any", "mask_cells", "mask_1d", "mask_mixed", "take_numpy", "compare", "setna_mask", "dropna", "flatten_diff", "flatten_dropna", "flatten_reindex", "count_missing", "prod_exact"]
+TELLING = ["reduce_sum_strict", "reduce_median_strict", "reduce_all_present", "reduce_any", "mask_cells", "mask_1d", "mask_mixed", "take_numpy", "compare", "setna_mask", "dropna", "flatten_diff", "flatten_dropna", "flatten_reindex", "count_missing", "prod_exact", "open_cumsum", "open_align_outer", "open_reindex_nearest", "mask_cells_open", "moving_rank", "cumprod_blocks", "json_column", "put_tile"]
 
 
 @pytest.mark.parametrize("name", TELLING)

@@ -58,6 +58,18 @@ def test_a_slab_costs_its_own_bytes(spark, big):
     assert a.sel(t=slice(1e6, None)).count() == 0
 
 
+def test_names_of_the_package(spark, big, tmp_path):
+    import gridloom as gl
+
+    text = gl.summary_nc(spark, big[0])
+    assert "title: 'big'" in text and "0 / t (4000): 0.0 to 7998.0" in text and "v: double ('t', 's')" in text
+    a = gl.read_nc(spark, big[0], "v").isel(t=slice(0, 6))
+    gl.write_nc(a, str(tmp_path / "w.nc"), "v")
+    gl.write_slabs(a, str(tmp_path / "w"), "t", 4, "v")
+    np.testing.assert_array_equal(gl.open_nc(spark, str(tmp_path / "w.nc"))["v"].values, big[1][:6])
+    np.testing.assert_array_equal(gl.read_nc(spark, f"{tmp_path}/w/*.nc", "v", axis="t").values, big[1][:6])
+
+
 def test_header_longer_than_the_first_piece(big):
     read = slabs.ranges_of(big[0])
     assert Header.of(read, first=16).variables == Header.of(read).variables
