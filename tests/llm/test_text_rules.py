@@ -115,6 +115,22 @@ def test_fitted_bands_equal_brute_force(spark):
     assert [got[i].kept for i in range(600, 605)] == [False] * 5 and sum(got[i].kept for i in range(600)) >= 597
 
 
+def test_bands_are_fitted_to_all_texts(spark):
+    import zstandard
+
+    r = random.Random(9)
+    vocab = ["".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 9))) for _ in range(3000)]
+    prose = lambda n: " ".join(r.choice(vocab) for _ in range(n))
+    block = [r.choice(vocab) for _ in range(600)]
+    shuffled = " ".join(w for _ in range(3) for w in r.sample(block, len(block)))  # usual chunks, but the same words again and again
+    texts = [prose(12) for _ in range(20_000)] + [prose(r.randint(1700, 1900)) for _ in range(60)] + [shuffled]
+    assert quality.compression(shuffled, quality.Bands(), zstandard.ZstdCompressor(level=3))[3]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    rejected = lambda **k: {x.doc_id for x in quality.compression_bands(df, **k).where("not kept and doc_id >= 20000").collect()}
+    assert rejected() == {20_060}  # 61 texts are this long, of which a sample of 8,192 rows holds too few for a band
+    assert rejected(fit=quality.Fit(sort_rows=100)) == {20_060}
+
+
 def test_fitted_bands_reject_junk_of_the_sample_table(spark):
     sf = "/root/testdata/sf0.1"
     out = quality.op1_compression_bands(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet").groupBy("doc_id").agg(F.min("quality").alias("quality")), "doc_id", "left")
