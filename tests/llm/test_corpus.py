@@ -85,6 +85,22 @@ def test_word_ids():
         assert np.frombuffer(packing.text_ids(t, ids, None), "<u4").tolist() == e.ids
 
 
+def test_new_words_are_merged_together(monkeypatch):
+    r = random.Random(2)
+    word = lambda: "".join(r.choice("eeetaoinshrdluéèÀß.,'1-") for _ in range(r.randint(1, 70)))
+    texts = [" ".join(word() for _ in range(r.randint(0, 80))) for _ in range(200)] + [None, "", "a", "the " * 500, " ".join(word() for _ in range(3000)), "Жук 🙂 <|endoftext|> \x00a"]
+    own, small = packing.WordIds(packing.default_tokenizer(), 100_000), packing.WordIds(packing.default_tokenizer(), 500)
+    want = [e.ids for e in own.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    want = [[*w, packing.END] for w in want]
+    assert [np.frombuffer(x, "<u4").tolist() for x in small.texts(texts)] == want and len(small) <= 500
+    one_by_one = []
+    monkeypatch.setattr(packing.WordIds, "merge", lambda self, raw: one_by_one.append(raw))
+    for at_once in (1 << 17, 100, 1):  # 1: every text is a long one
+        monkeypatch.setattr(packing, "AT_ONCE", at_once)
+        assert [np.frombuffer(x, "<u4").tolist() for x in own.texts(texts)] == want
+    assert not one_by_one and not own.fresh
+
+
 def test_packing_round_trip(odd, void):
     packed = packing.pack(odd, ids=True)
     rows, n = packed.collect(), odd.count()
