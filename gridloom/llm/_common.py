@@ -57,8 +57,18 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def few_rows(batches: Iterable[pa.RecordBatch], most: int = 500) -> Iterable[pa.RecordBatch]:
-    """The batches in slices, so that few texts are Python objects at a time; in the end freed memory goes back to the system."""
+#: Cached functions whose values a worker keeps for the next task of one operator.
+held: list = []
+
+
+def few_rows(batches: Iterable[pa.RecordBatch], most: int = 500, keep: Callable | None = None) -> Iterable[pa.RecordBatch]:
+    """The batches in slices, so that few texts are Python objects at a time; in the end freed memory goes back to the system.
+
+    What the worker holds for other operators goes first; keep: the cached function of this one.
+    """
+    for cached in held:
+        if cached is not keep:
+            cached.cache_clear()
     for b in batches:
         for i in range(0, b.num_rows, most):
             yield b.slice(i, most)
@@ -68,6 +78,17 @@ def few_rows(batches: Iterable[pa.RecordBatch], most: int = 500) -> Iterable[pa.
         trim(0)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Python workers get at most so many rows at a time; a smaller setting of the session stays.
+
+    By default they get 10,000, and executor and worker each hold the texts of a batch in and one out. Plans
+    read the setting when they run, so it holds for the rest of the session.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

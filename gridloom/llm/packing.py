@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ._common import few_rows, materialize, rank_within, spread, table
+from ._common import few_rows, held, materialize, rank_within, spread, table
 
 LIMIT = 4096
 END = 1
@@ -235,6 +235,9 @@ def word_ids(path: str, most: int = REMEMBERED) -> WordIds:
     return WordIds(path, most)
 
 
+held.append(word_ids)
+
+
 def text_ids(text: str | None, known: WordIds, end: int | None = END) -> bytes:
     body = b"".join(map(known.__getitem__, text.encode().split())) if text else b""
     return body + (struct.pack("<I", end) if end is not None else b"")
@@ -252,7 +255,7 @@ def cut_pieces(docs: DataFrame, id_col: str = "doc_id", text: str = "text", toke
 
     def run(batches: Iterable[pa.RecordBatch]):
         known = word_ids(path, remembered)
-        for b in few_rows(batches):
+        for b in few_rows(batches, keep=word_ids):
             rows: list[list] = [[] for _ in names]
             for i, raw in zip(b.column(0).to_pylist(), known.texts(b.column(1).to_pylist()), strict=True):
                 for k in range(0, len(raw), 4 * limit):

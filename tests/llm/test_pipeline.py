@@ -6,7 +6,9 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from gridloom.llm import _common, mixing, packing, toxicity
 
@@ -110,6 +112,44 @@ def test_run_and_empty_tables(spark, tables):
         assert got.count() == 0 and (name == "pack" or got.columns == none.columns)
 
 
+def test_stages_hold_few_texts(spark, tables, monkeypatch):
+    import corpus_pipeline
+
+    sf, docs, _ = tables
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows]}, schema=pa.schema([("n", pa.int64())]))
+
+    try:
+        spark.conf.set(key, "10000")
+        frame = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+        monkeypatch.setattr(mixing, "add_from_column", None)  # sizes are counted without Python
+        for stage in dict(corpus_pipeline.STAGES).values():
+            spark.conf.set(key, "10000")
+            stage(spark, frame, sf)
+            assert max(r.n for r in spark.range(0, 3000, 1, 1).mapInArrow(sizes, "n long").collect()) <= 1000
+        spark.conf.set(key, "7")
+        _common.small_batches(spark)
+        assert spark.conf.get(key) == "7"
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_workers_drop_what_others_held():
+    known = packing.word_ids(packing.default_tokenizer())
+    assert not list(_common.few_rows([], keep=packing.word_ids)) and packing.word_ids(packing.default_tokenizer()) is known
+    assert not list(_common.few_rows([])) and packing.word_ids.cache_info().currsize == 0
+
+
+def test_native_sizes_equal_words(spark):
+    texts = [None, "", " ", "a", "\u00a0a b", "\x0ba\x0c\x1cb\x85c", "  x\n\n y\t", "\u2003a \ufeff b\x00c", " \n", "one " * 5000]
+    got = spark.createDataFrame(list(enumerate(texts)), "i long, text string").select("i", _common.word_count(F.col("text")).alias("n")).collect()
+    assert {r.i: r.n for r in got} == {i: len(_common.words(t)) for i, t in enumerate(texts)}
+
+
 def test_rates_equal_bisection(spark):
     r = random.Random(5)
     cells = [(s, size, r.randint(1, 9)) for s in "abcd" for size in r.sample(range(1, 400), 30)]
