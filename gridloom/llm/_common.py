@@ -72,6 +72,11 @@ def few_rows(batches: Iterable[pa.RecordBatch], most: int = 500, keep: Callable
     for b in batches:
         for i in range(0, b.num_rows, most):
             yield b.slice(i, most)
+    give_back()
+
+
+def give_back() -> None:
+    """Memory that this process has freed goes back to the system."""
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:

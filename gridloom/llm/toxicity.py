@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import add_from_column, few_rows, materialize, spread, table
+from ._common import add_from_column, few_rows, give_back, materialize, spread, table
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -230,6 +230,8 @@ def score_toxicity(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id",
     """
     vocab, index, bare, share = fit(docs, labelled, id_col, text, how)
     shared = docs.sparkSession.sparkContext.broadcast((vocab, index))
+    del vocab, index
+    give_back()  # the driver needs neither any more
 
     def judge():
         words, index = shared.value

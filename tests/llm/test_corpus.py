@@ -9,7 +9,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from gridloom.llm import _common, chat, mixing, neighbours, ngram_join, packing, urls
+from gridloom.llm import _common, chat, graph, mixing, neighbours, ngram_join, packing, urls
 from gridloom.llm.graph import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -188,6 +188,36 @@ def test_components(spark):
     assert components(edges.limit(0)).count() == 0
 
 
+def test_few_edges_take_few_jobs(spark):
+    # a path of 3,000 nodes in random order, which rounds alone contract some ten times
+    r = random.Random(3)
+    names = r.sample(range(100_000), 3000)
+    edges = _common.materialize(spark.createDataFrame([*zip(names, names[1:], strict=False)], "u long, v long"), "path")
+    spark.sparkContext.setJobGroup("few", "few")
+    try:
+        got = {x.node: x.component for x in components(edges).collect()}
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("few"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == dict.fromkeys(names, min(names))
+    assert jobs <= 8, jobs
+
+
+@pytest.mark.parametrize("few", [0, 3, 40])
+def test_components_by_rounds(spark, monkeypatch, few):
+    monkeypatch.setattr(graph, "FEW_EDGES", few)
+    r = random.Random(few)
+    pairs = [(f"n{r.randrange(150)}", f"n{r.randrange(150)}") for _ in range(110)] + [("hub", f"n{i}") for i in range(0, 150, 5)] + [(None, "n1"), ("n2", "n2")]
+    group = {x: {x} for p in pairs for x in p if x}
+    for u, v in pairs:
+        if u and v and group[u] is not group[v]:
+            both = group[u] | group[v]
+            group |= dict.fromkeys(both, both)
+    want = {x: min(g) for x, g in group.items() if len(g) > 1}
+    got = [(x.node, x.component) for x in components(spark.createDataFrame(pairs, "u string, v string")).collect()]
+    assert len(got) == len(want) and dict(got) == want
+
+
 def test_hilbert_keys():
     side = 8
     cells = np.array([(x, y) for x in range(side) for y in range(side)])
