@@ -54,9 +54,26 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Cut the lineage: write to the shared folder and read back, so that no lost executor can lose it."""
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    tidy(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Share of the driver's largest heap from which materialize has garbage collected.
+HEAP_SHARE = 0.5
+
+
+def tidy(spark: SparkSession) -> None:
+    """The driver's JVM collects its garbage if its heap has grown beyond HEAP_SHARE of what it may take.
+
+    Left alone, the heap of a long run grows by steps to its limit, though little of it is in use, while busy
+    cores make collections slow; a full collection gives the rest back, and shuffle files that nobody needs go.
+    """
+    jvm = spark.sparkContext._jvm
+    heap = jvm.java.lang.Runtime.getRuntime()
+    if heap.totalMemory() > HEAP_SHARE * heap.maxMemory():
+        jvm.java.lang.System.gc()
+
+
 #: Cached functions whose values a worker keeps for the next task of one operator.
 held: list = []
 

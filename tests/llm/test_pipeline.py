@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import pyarrow as pa
 import pytest
@@ -138,6 +139,41 @@ def test_stages_hold_few_texts(spark, tables, monkeypatch):
         spark.conf.set(key, before)
 
 
+def test_a_grown_heap_of_the_driver_is_collected(spark, monkeypatch):
+    """At each intermediate table, so that a long run's heap does not grow to its limit by garbage."""
+    done = []
+
+    class Jvm:
+        """A driver whose heap has grown to so many of 750 MB."""
+
+        def __init__(self, mb: int):
+            heap = SimpleNamespace(totalMemory=lambda: mb << 20, maxMemory=lambda: 750 << 20)
+            self.java = SimpleNamespace(lang=SimpleNamespace(Runtime=SimpleNamespace(getRuntime=lambda: heap), System=SimpleNamespace(gc=lambda: done.append(mb))))
+
+    for mb in (200, 370, 380, 750):
+        _common.tidy(SimpleNamespace(sparkContext=SimpleNamespace(_jvm=Jvm(mb))))
+    assert done == [380, 750]
+    monkeypatch.setattr(_common, "HEAP_SHARE", 0.0)
+    monkeypatch.setattr(spark.sparkContext, "_jvm", tap := Tap(spark.sparkContext._jvm))
+    assert _common.materialize(spark.range(10), "ten").count() == 10 and tap.collected == 1
+
+
+class Tap:
+    """The JVM, with its explicit collections counted."""
+
+    def __init__(self, jvm):
+        self._real, self.collected = jvm, 0
+        lang = SimpleNamespace(Runtime=jvm.java.lang.Runtime, System=SimpleNamespace(gc=self.collect))
+        self.java = SimpleNamespace(lang=lang)
+
+    def collect(self):
+        self.collected += 1
+        self._real.java.lang.System.gc()
+
+    def __getattr__(self, name):
+        return getattr(self._real, name)
+
+
 def test_workers_drop_what_others_held():
     known = packing.word_ids(packing.default_tokenizer())
     assert not list(_common.few_rows([], keep=packing.word_ids)) and packing.word_ids(packing.default_tokenizer()) is known
